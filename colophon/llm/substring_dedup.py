@@ -42,8 +42,6 @@ GRAM = 32
 #: Bytes that one round of array work handles, and anchors that a task holds before it sends them.
 CHUNK = 1 << 20
 FLUSH = 1 << 20
-#: A joined table of intervals or requests is broadcast up to this size and shuffled beyond it.
-BROADCAST_BYTES = 32 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ANCHOR = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("left", "u1"), ("right", "u1")])
@@ -370,7 +368,7 @@ def _fetch(docs: DataFrame, requests: DataFrame) -> DataFrame:
             yield batch(schema, bucket=list(held), blob=[b"".join(x) for x in held.values()])
 
     asked = requests.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "k")).alias("wanted"))
-    joined = _join(docs, asked, requests.count() * 24, "inner")
+    joined = _join(docs, asked, "inner")
     sent = joined.select("doc_id", "text", "wanted").mapInArrow(work, "bucket int, blob binary")
 
     def sort(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -381,9 +379,9 @@ def _fetch(docs: DataFrame, requests: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(sort, "doc_id long, a long, b long")
 
 
-def _join(docs: DataFrame, side: DataFrame, size: int, how: str) -> DataFrame:
-    """Texts with what belongs to them; texts move only if ``side`` is too large to send."""
-    return docs.join(F.broadcast(side) if size <= BROADCAST_BYTES else side.hint("shuffle_hash"), "doc_id", how)
+def _join(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
+    """Texts with what belongs to them: a shuffle at every size, and no sort of texts."""
+    return docs.join(side.hint("shuffle_hash"), "doc_id", how)
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -401,7 +399,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gone = keep(find_repeats(docs), "repeat-intervals")
     spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    joined = _join(docs, spans, gone.count() * 24, "left")
+    joined = _join(docs, spans, "left")
     schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")], ("kept", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
