@@ -7,8 +7,8 @@ dealt by hash into shards of about ``SHARD_PIECES`` pieces; a shard is packed by
 orders.  The gene is a bin, not a piece (Falkenauer, 1996): crossover injects
 the other parent's well-filled bins whole, deletes the bins that now hold a
 piece twice, and puts the displaced pieces back by best fit.  After each epoch
-every island sends its elite to the next.  A shard stops when it meets the
-lower bound ceil(tokens / capacity).  Bins that stay badly filled are dealt
+every island sends its elite to the next.  A shard stops when it meets
+Martello and Toth's lower bound.  Bins that stay badly filled are dealt
 again over all shards and packed as blocks, so the shards' edges cost nothing.
 
 Defined results: null text counts as empty and is the end token alone; repeated
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, keep
+from .common import batch, keep, partitions
 
 CAPACITY = 1024
 END = 2
@@ -153,7 +153,7 @@ def cross(a: list[list[int]], b: list[list[int]], size: list[int], capacity: int
 def evolve(size: list[int], capacity: int, seed: int, migrants: list[list[list[int]]] = (), generations: int = GENERATIONS) -> list[list[int]]:
     """The best packing that one island finds in an epoch."""
     rng = random.Random(seed)
-    bound = -(-sum(size) // capacity)
+    bound = lower_bound(size, capacity)
     score = lambda bins: fitness(bins, size, capacity)
     plain = sorted(range(len(size)), key=lambda i: (-size[i], i))
     people = [*migrants, best_fit(plain, size, capacity)]
@@ -173,6 +173,20 @@ def evolve(size: list[int], capacity: int, seed: int, migrants: list[list[list[i
     return min(people, key=score)
 
 
+def lower_bound(size: list[int], capacity: int) -> int:
+    """Martello and Toth's L2: bins that any packing needs, over all thresholds for small items."""
+    n = np.bincount(np.asarray(size, np.int64), minlength=capacity + 1)[: capacity + 1]
+    count, mass = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    best, half = 0, capacity // 2
+    for small in range(half + 1):
+        big = int(count[capacity] - count[capacity - small])  # nothing of size >= small fits beside them
+        mid = int(count[capacity - small] - count[half])
+        room = mid * capacity - int(mass[capacity - small] - mass[half])
+        rest = int(mass[half] - (mass[small - 1] if small else 0))
+        best = max(best, big + mid + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
 def _flat(bins: list[list[int]], n: int) -> bytes:
     at = np.zeros(n, np.int32)
     for k, b in enumerate(bins):
@@ -191,7 +205,7 @@ def _bins(raw: bytes) -> list[list[int]]:
 STATE = "shard int, island int, sizes binary, plan binary, n_bins int, bound int"
 
 
-def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
+def _epoch(state: DataFrame, capacity: int, epoch: int, islands: int) -> DataFrame:
     """One epoch on every island of the shards that are above their bound."""
     n = F.lit(ISLANDS)
     guests = state.select("shard", F.pmod(F.col("island") + 1, n).alias("island"), F.col("plan").alias("guest"))
@@ -202,9 +216,11 @@ def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
                 size = np.frombuffer(row.sizes, np.int32).tolist()
                 migrants = [_bins(p) for p in (row.plan, row.guest) if p]
                 best = evolve(size, capacity, row.shard * 1009 + row.island * 31 + epoch, migrants)
-                yield pd.DataFrame({"shard": [row.shard], "island": [row.island], "sizes": [row.sizes], "plan": [_flat(best, len(size))], "n_bins": [len(best)], "bound": [-(-sum(size) // capacity)]})
+                yield pd.DataFrame({"shard": [row.shard], "island": [row.island], "sizes": [row.sizes], "plan": [_flat(best, len(size))], "n_bins": [len(best)], "bound": [row.bound]})
 
-    return state.join(guests, ["shard", "island"]).mapInPandas(work, STATE)
+    # few rows, much work: one island a task
+    joined = state.join(guests, ["shard", "island"])
+    return joined.repartition(max(1, min(islands, 4 * partitions(state.sparkSession))), "shard", "island").mapInPandas(work, STATE)
 
 
 def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -213,7 +229,7 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def start(key, pdf):
         size = pdf.sort_values("idx")["size"].to_numpy(np.int32)
         plan = best_fit(sorted(range(len(size)), key=lambda i: (-size[i], i)), size.tolist(), capacity)
-        row = {"shard": int(key[0]), "sizes": size.tobytes(), "plan": _flat(plan, len(size)), "n_bins": len(plan), "bound": -(-int(size.sum()) // capacity)}
+        row = {"shard": int(key[0]), "sizes": size.tobytes(), "plan": _flat(plan, len(size)), "n_bins": len(plan), "bound": lower_bound(size.tolist(), capacity)}
         # at the bound there is nothing left to evolve: one island will do
         return pd.DataFrame([{**row, "island": k} for k in range(ISLANDS if row["n_bins"] > row["bound"] else 1)])[["shard", "island", "sizes", "plan", "n_bins", "bound"]]
 
@@ -221,9 +237,10 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     done = state.where("n_bins <= bound")
     open_ = state.where("n_bins > bound")
     for epoch in range(EPOCHS):
-        if open_.isEmpty():
+        islands = open_.count()
+        if not islands:
             break
-        open_ = keep(_epoch(open_, capacity, epoch), f"pack-epoch{epoch}")
+        open_ = keep(_epoch(open_, capacity, epoch, islands), f"pack-epoch{epoch}")
         met = open_.groupBy("shard").agg(F.min(F.col("n_bins") - F.col("bound")).alias("gap"))
         done = done.unionByName(open_.join(met.where("gap <= 0"), "shard").drop("gap"))
         open_ = open_.join(met.where("gap > 0"), "shard").drop("gap")
