@@ -8,7 +8,7 @@ orders.  The gene is a bin, not a piece (Falkenauer, 1996): crossover injects
 the other parent's well-filled bins whole, deletes the bins that now hold a
 piece twice, and puts the displaced pieces back by best fit.  After each epoch
 every island sends its elite to the next.  A shard stops when it meets
-Martello and Toth's lower bound.  Bins that stay badly filled are dealt
+Martello and Toth's lower bound, or when an epoch gains nothing.  Bins that stay badly filled are dealt
 again over all shards and packed as blocks, so the shards' edges cost nothing.
 
 Defined results: null text counts as empty and is the end token alone; repeated
@@ -240,10 +240,13 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         islands = open_.count()
         if not islands:
             break
-        open_ = keep(_epoch(open_, capacity, epoch, islands), f"pack-epoch{epoch}")
-        met = open_.groupBy("shard").agg(F.min(F.col("n_bins") - F.col("bound")).alias("gap"))
-        done = done.unionByName(open_.join(met.where("gap <= 0"), "shard").drop("gap"))
-        open_ = open_.join(met.where("gap > 0"), "shard").drop("gap")
+        before, open_ = open_, keep(_epoch(open_, capacity, epoch, islands), f"pack-epoch{epoch}")
+        # a shard leaves when it meets its bound, or when no island of it gained a bin in this epoch
+        now = open_.groupBy("shard").agg(F.min("n_bins").alias("now"), F.first("bound").alias("least"))
+        best_before = before.groupBy("shard").agg(F.min("n_bins").alias("was"))
+        goes_on = now.join(best_before, "shard").where("now > least AND now < was").select("shard")
+        done = done.unionByName(open_.join(goes_on, "shard", "left_anti"))
+        open_ = open_.join(goes_on, "shard", "left_semi")
     best = done.unionByName(open_).groupBy("shard").agg(F.min_by("plan", F.struct("n_bins", "island")).alias("plan"))
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
