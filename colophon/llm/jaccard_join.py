@@ -52,10 +52,11 @@ MAX_LIGHT = 24
 #: A shingle is frequent in more than one of so many documents; the list of them stays below a bound.
 FREQUENT = 2000
 MAX_FREQUENT = 2_000_000
-SKETCH_BITS = 1024
+#: Sketch bits for each element; the first scan folds sketches to a quarter of that.
+SKETCH_BITS = 2
+FOLD = 4
 #: Partners that a class names in the first, second, ... scan.
 NAMES = (1, 4, 16, 64)
-BROADCAST_BYTES = 32 << 20
 FLUSH = 4 << 20
 #: Pairs that one round of array work compares.
 PAIRS = 1 << 20
@@ -109,10 +110,20 @@ def class_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the elements in each of SKETCH_BITS cells: equal elements cancel in the XOR of two sketches."""
-    odd = np.bincount((s >> np.uint64(20) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the elements in each of a power of two of cells: equal elements cancel in the XOR of two sketches."""
+    bits = max(128 * FOLD, 1 << (SKETCH_BITS * len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def fold(raw: bytes, times: int = FOLD) -> bytes:
+    """A sketch with ``times`` as few cells: halves are XORed."""
+    x = np.frombuffer(raw, np.uint64)
+    while times > 1:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        times //= 2
+    return x.tobytes()
 
 
 def _rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -122,12 +133,16 @@ def _rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int,
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """(kind, id, n, c): kind 0 documents with set size and class, kind 1 shingles and their count in a task."""
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64())])
+    """(kind, id, n, c, sketch): kind 0 documents with set size and class, kind 1 shingles and their count in a task.
+
+    A class's sketch stands once in a task at least.
+    """
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("sketch", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         out: list[tuple[int, int, int]] = []
+        marks: list[bytes | None] = []
         size, seen = 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -135,22 +150,23 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
             often = n >= 2
             token, n = token[often].view(np.int64), n[often].astype(np.int64)
             ids, ns, cs = (np.array(x, np.int64) for x in (zip(*out, strict=True) if out else ([], [], [])))
-            yield batch(schema, kind=pa.array(np.repeat(np.int32([0, 1]), [len(ids), len(token)])), id=pa.array(np.concatenate([ids, token])), n=pa.array(np.concatenate([ns, n])), c=pa.array(np.concatenate([cs, np.zeros(len(token), np.int64)])))
+            yield batch(schema, kind=pa.array(np.repeat(np.int32([0, 1]), [len(ids), len(token)])), id=pa.array(np.concatenate([ids, token])), n=pa.array(np.concatenate([ns, n])), c=pa.array(np.concatenate([cs, np.zeros(len(token), np.int64)])), sketch=marks + [None] * len(token))
 
         for doc_id, s in _rows(batches, words):
             c = class_id(s)
             out.append((doc_id, len(s), c))
+            marks.append(sketch(s) if c not in seen and len(s) else None)
             if c not in seen:
                 seen.add(c)
                 held.append(s)
                 size += len(s)
             if size >= FLUSH or len(out) >= 1 << 16:
                 yield from flush()
-                held, out, size, seen = [], [], 0, set()
+                held, out, marks, size, seen = [], [], [], 0, set()
         if out:
             yield from flush()
 
-    return docs.mapInArrow(work, "kind int, id long, n long, c long")
+    return docs.mapInArrow(work, "kind int, id long, n long, c long, sketch binary")
 
 
 def _light(s: np.ndarray, limit: int, num: int, den: int) -> tuple[list[int], list[int]]:
@@ -260,7 +276,10 @@ class _Scan:
         self.n = pdf["n"].to_numpy(np.int64)[first]
         self.comp = pdf["comp"].to_numpy(np.int64)[first]
         self.cursor = pdf["cursor"].to_numpy(np.int64)[first]
-        self.sketch = np.frombuffer(b"".join(pdf["sketch"].iloc[first]), np.uint64).reshape(len(ids), -1)
+        raw = pdf["sketch"].iloc[first].tolist()
+        self.words = np.array([len(r) // 8 for r in raw], np.int64)
+        self.begin = np.cumsum(self.words) - self.words
+        self.sketch = np.frombuffer(b"".join(raw), np.uint64)
         key = pdf["key"].to_numpy(np.int64)
         member = np.searchsorted(ids, pdf["c"].to_numpy(np.int64))
         order = np.lexsort((member, key))
@@ -282,35 +301,80 @@ class _Scan:
             yield self.member[x], self.member[y]
             lo = hi
 
-    def pairs(self) -> np.ndarray:
-        """(larger, smaller) ids: the ``names`` least partners of each class that may link."""
-        best, m = np.zeros(0, np.int64), len(self.ids)
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """A lower bound on the symmetric difference of each pair."""
+        out = np.zeros(len(x), np.int64)
+        sizes = self.words[x] << 32 | self.words[y]
+        for both in np.unique(sizes):
+            wx, wy = int(both) >> 32, int(both) & 0xFFFFFFFF
+            w = min(wx, wy)
+            mine = np.flatnonzero(sizes == both)
+            step = max(1, PAIRS * 8 // max(wx, wy))
+            for lo in range(0, len(mine), step):
+                at = mine[lo : lo + step]
+                total = np.zeros((len(at), w), np.uint64)
+                for side, width in ((x, wx), (y, wy)):
+                    for k in range(0, width, w):  # the longer sketch is folded
+                        total ^= self.sketch[self.begin[side[at]][:, None] + np.arange(k, k + w)]
+                out[at] = np.bitwise_count(total).sum(1)
+        return out
+
+    def survivors(self) -> Iterator[np.ndarray]:
+        """Codes larger * m + smaller of the pairs that neither size nor sketch nor component excludes."""
+        m = len(self.ids)
         for x, y in self.blocks():
             ok = (self.comp[x] != self.comp[y]) & (self.ids[y] > self.cursor[x])
             small, large = np.minimum(self.n[x], self.n[y]), np.maximum(self.n[x], self.n[y])
             ok &= self.den * small >= self.num * large
             key = np.unique(x[ok] * m + y[ok])
-            x, y = key // m, key % m
-            both = self.n[x] + self.n[y]
+            both = self.n[key // m] + self.n[key % m]
             need = -(-self.num * both // (self.num + self.den))
-            apart = np.zeros(len(x), np.int64)
-            for w in range(self.sketch.shape[1]):
-                apart += np.bitwise_count(self.sketch[x, w] ^ self.sketch[y, w])
-            key = key[apart <= both - 2 * need]
+            yield key[self.apart(key // m, key % m) <= both - 2 * need]
+
+    def pairs(self) -> np.ndarray:
+        """(larger, smaller) ids: the ``names`` least partners of each class that may link."""
+        best, m = np.zeros(0, np.int64), len(self.ids)
+        for key in self.survivors():
             if len(key):
                 best = np.unique(np.concatenate([best, key]))
                 at, n = runs(best // m)
                 best = best[np.arange(len(best)) - np.repeat(at, n) < self.names]
         return self.ids[np.stack([best // m, best % m], 1)]
 
+    def touched(self) -> np.ndarray:
+        """Ids of the classes that may link with any other."""
+        hit, m = np.zeros(len(self.ids), bool), len(self.ids)
+        for key in self.survivors():
+            hit[key // m] = hit[key % m] = True
+        return self.ids[hit]
+
+
+def _bucketed(lists: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
+    rows = lists.join(state, "c").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    return rows.select("bucket", "key", "c", "n", "comp", "cursor", "sketch").groupBy("bucket")
+
+
+def _touched(lists: DataFrame, state: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """(c) of the classes that a first scan with folded sketches cannot exclude."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": _Scan(pdf, 0, num, den).touched()})
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("c", pa.int64()), ("comp", pa.int64()), ("cursor", pa.int64()), ("sketch", pa.binary())])
+        for b in batches:
+            yield batch(schema, c=b.column(0), comp=b.column(1), cursor=b.column(2), sketch=[fold(r.as_py()) for r in b.column(3)])
+
+    small = state.select("c", "comp", "cursor", "sketch").mapInArrow(folded, "c long, comp long, cursor long, sketch binary")
+    return _bucketed(lists, small, buckets).applyInPandas(work, "c long").distinct()
+
 
 def _named(lists: DataFrame, state: DataFrame, buckets: int, names: int, num: int, den: int) -> DataFrame:
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         p = _Scan(pdf, names, num, den).pairs()
         return pd.DataFrame({"x": p[:, 0], "y": p[:, 1]})
 
-    rows = lists.join(state, "c").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    found = rows.select("bucket", "key", "c", "n", "comp", "cursor", "sketch").groupBy("bucket").applyInPandas(work, "x long, y long").distinct()
+    found = _bucketed(lists, state, buckets).applyInPandas(work, "x long, y long").distinct()
     rank = F.row_number().over(W.partitionBy("x").orderBy("y"))
     return found.withColumn("rank", rank).where(F.col("rank") <= names).select("x", "y")
 
@@ -329,8 +393,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 good.append(den * same >= num * (len(s) + len(t) - same))
             yield b.select(["x", "y"]).filter(pa.array(good, pa.bool_())).cast(schema)
 
-    sx = sets.select(F.col("c").alias("x"), F.col("s").alias("sx"))
-    sy = sets.select(F.col("c").alias("y"), F.col("s").alias("sy"))
+    # only the sets that are named move
+    ids = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct()
+    needed = keep(sets.join(ids, "c", "left_semi"), "named-sets")
+    sx = needed.select(F.col("c").alias("x"), F.col("s").alias("sx"))
+    sy = needed.select(F.col("c").alias("y"), F.col("s").alias("sy"))
     return pairs.join(sx, "x").join(sy, "y").select("x", "y", "sx", "sy").mapInArrow(work, "x long, y long")
 
 
@@ -339,12 +406,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     both = keep(profiles(docs, words), "profiles")
-    prof = both.where("kind = 0").select("id", "n", "c")
+    prof = both.where("kind = 0").select("id", "n", "c", "sketch")
     n_docs = prof.count()
     often = both.where("kind = 1").groupBy("id").agg(F.sum("n").alias("df")).where(F.col("df") >= max(8, n_docs // FREQUENT))
     often = often.orderBy(F.col("df").desc(), "id").limit(MAX_FREQUENT).select("id").toArrow()  # MAX_FREQUENT at most
     frequent = spark.sparkContext.broadcast(np.sort(often.column("id").to_numpy().view(np.uint64)))
-    classes = keep(prof.where("n > 0").groupBy("c").agg(F.min("id").alias("first"), F.min("n").alias("n")), "classes")
+    classes = keep(prof.where("n > 0").groupBy("c").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
     sizes = {r.n: r.k for r in classes.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").agg(F.count("*").alias("k")).collect()}
     limit = choose_boundary(sizes, num, den)
     total = classes.agg(F.sum(F.col("n"))).first()[0] or 0
@@ -352,17 +419,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = keep(_lists(_post(docs, words, limit, frequent, buckets, num, den)), "lists")
     links = lists.where("kind = 2").select(F.col("key").alias("x"), F.col("c").alias("y"))
     lists = lists.where("kind = 1").select("key", "c", "n")
-    sets = keep(_sets(docs, lists.select("c").distinct().join(classes, "c").select(F.col("first").alias("id"), "c"), words), "sets")
     labels = keep(components(links, "x", "y").select("node", F.col("component").alias("comp")), "labels")
-    start = sets.select("c", "sketch").join(labels.withColumnRenamed("node", "c"), "c", "left")
-    state = keep(start.select("c", "sketch", F.coalesce("comp", "c").alias("comp"), F.lit(-(1 << 63)).cast("long").alias("cursor")), "scan0")
-    scan_buckets = max(1, min(buckets, partitions(spark)))
+    start = classes.select("c", "sketch").join(lists.select("c").distinct(), "c").join(labels.withColumnRenamed("node", "c"), "c", "left")
+    state = start.select("c", "sketch", F.coalesce("comp", "c").alias("comp"), F.lit(-(1 << 63)).cast("long").alias("cursor"))
+    touched = keep(_touched(lists, state, buckets, num, den), "touched")
+    state = keep(state.join(touched, "c", "left_semi"), "scan0")
+    lists = keep(lists.join(touched, "c", "left_semi").select("key", "c", "n"), "lists")
+    sets = keep(_sets(docs, classes.join(touched, "c", "left_semi").select(F.col("first").alias("id"), "c"), words), "sets")
+    scan_buckets = partitions(spark)
     for turn in range(200):
         names = NAMES[turn] if turn < len(NAMES) else NAMES[-1] * 4 ** min(turn - len(NAMES) + 1, 6)
         named = keep(_named(lists, state, scan_buckets, names, num, den), "named")
         if named.isEmpty():
             break
-        good = keep(_verified(named, sets.select("c", "s"), num, den), "verified")
+        good = keep(_verified(named, sets, num, den), "verified")
         comp = state.select("c", "comp")
         ends = good.join(comp.withColumnsRenamed({"c": "x", "comp": "a"}), "x").join(comp.withColumnsRenamed({"c": "y", "comp": "b"}), "y")
         merged = keep(components(ends).withColumnsRenamed({"node": "comp", "component": "to"}), "merged")
@@ -377,6 +447,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         raise RuntimeError("the scans did not settle")
     scanned = state.select("c", "comp")
+    # light sets that no scan had to touch keep the label of their subsets
     light = labels.withColumnRenamed("node", "c").join(scanned, "c", "left_anti")
     nodes = classes.join(scanned.unionByName(light), "c").select("c", "comp", "first")
     root = nodes.groupBy("comp").agg(F.min("first").alias("root"))
@@ -387,19 +458,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(c, s, sketch): the whole set of each wanted class, from its first document."""
-    schema = pa.schema([("c", pa.int64()), ("s", pa.binary()), ("sketch", pa.binary())])
+    """(c, s): the whole set of each wanted class, from its first document."""
+    schema = pa.schema([("c", pa.int64()), ("s", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c, sets, marks = [], [], []
+            c, sets = [], []
             for want, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingles(text.as_py(), words)
                 if class_id(s) == want:  # another row of the same id may hold another text
                     c.append(want)
                     sets.append(s.tobytes())
-                    marks.append(sketch(s).tobytes())
-            yield batch(schema, c=c, s=sets, sketch=marks)
+            yield batch(schema, c=c, s=sets)
 
-    side = F.broadcast(wanted) if wanted.count() * 16 <= BROADCAST_BYTES else wanted.hint("shuffle_hash")
-    return docs.join(side, "id").select("c", "text").mapInArrow(work, "c long, s binary, sketch binary").dropDuplicates(["c"])
+    found = docs.join(wanted.hint("shuffle_hash"), "id").select("c", "text").mapInArrow(work, "c long, s binary")
+    return found.dropDuplicates(["c"])
