@@ -57,12 +57,12 @@ def chunks(rows: Iterator[tuple]) -> Iterator[tuple[list[tuple], np.ndarray, np.
         held.append(row)
         size += len(row[-1])
         if size >= CHUNK:
-            yield _joined(held)
+            yield joined(held)
             held, size = [], 0
     if held:
-        yield _joined(held)
+        yield joined(held)
 
 
-def _joined(rows: list[tuple]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+def joined(rows: list[tuple]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     cps = points(" ".join(r[-1] for r in rows) + " ")
     return rows, cps, np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[-1]) + 1 for r in rows])
