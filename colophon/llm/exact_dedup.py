@@ -12,7 +12,8 @@ third of the corpus reaches no task as rows.
 
 Defined results: null text counts as empty, and all empty texts form one group;
 a repeated row counts as a member of its group each time, and rows that share
-id and text are all marked kept or all not; extra columns are ignored.
+id and text are all marked kept or all not; a null id only stays where no other
+row can; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,4 +62,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = keep(digest_runs(docs, id_col, text_col), "digest-runs")
     groups = merge_runs(runs)
     joined = runs.join(groups, ["digest", "sha", "norm_len"])
-    return joined.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return joined.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

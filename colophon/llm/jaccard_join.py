@@ -23,8 +23,8 @@ with a chance of about n**2 / 2**65.
 
 Defined results: null text and text without words have an empty set, linked with
 nothing; fewer words than a shingle are one shingle; rows that share an id are
-handled as one document each, and the component is the smallest id; extra
-columns are ignored; an empty table gives an empty result.
+handled as one document each, and the component is the smallest id; a row
+without an id has no component and links nothing; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -405,6 +405,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id), one row for each input row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    nameless = profiles(docs.where("id IS NULL").select(F.lit(0).cast("long").alias("id"), "text"), words).where("kind = 0")
+    docs = docs.where("id IS NOT NULL")
     both = keep(profiles(docs, words), "profiles")
     prof = both.where("kind = 0").select("id", "n", "c", "sketch")
     n_docs = prof.count()
@@ -454,7 +456,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = nodes.join(root, "comp").select("c", "root")
     final = classes.join(nodes, "c", "left").select("c", F.coalesce("root", "first").alias("root"))
     out = prof.join(final, "c", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("root")).alias("component_id"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("root")).alias("component_id"))
+    none = F.lit(None).cast("long")
+    return out.unionByName(nameless.select(none.alias(id_col), F.col("n").alias("n_shingles"), none.alias("component_id")))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:

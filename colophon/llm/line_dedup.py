@@ -14,7 +14,8 @@ join the exact table directly, with the same result.
 
 Defined results: null or empty text is one empty line; rows with the same id
 are one document for the counts, and each row loses its own lines; a line is
-kept in the largest id that holds it, wherever it stands there; extra columns
+kept in the largest id that holds it, wherever it stands there; rows without an
+id count as one document and lose nothing; extra columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -208,18 +209,18 @@ def dropped_lines(state: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with columns n_lines, n_dropped and kept_text added."""
     state = keep(postings(docs, id_col, text_col, min_chars), "line-postings")
-    drop = dropped_lines(state, min_docs).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("drop").alias("_drop"))
+    drop = dropped_lines(state, min_docs).select(F.col("doc_id").alias("__line_id"), F.col("copy").alias("__line_copy"), F.col("drop").alias("__line_drop"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     # hash join: the lists of dropped lines are the small side, and texts need no sort
-    joined = docs.join(drop.hint("shuffle_hash"), (F.col(id_col) == F.col("_id")) & (F.hash(F.col(text_col)) == F.col("_copy")), "left")
+    joined = docs.join(drop.hint("shuffle_hash"), (F.col(id_col) == F.col("__line_id")) & (F.hash(F.col(text_col)) == F.col("__line_copy")), "left")
     # the one-element array binds the split lines, so that they are made once a text
-    parts = F.array(F.struct(F.split(text, "\n", -1).alias("lines"), F.col("_drop").alias("drop")))
+    parts = F.array(F.struct(F.split(text, "\n", -1).alias("lines"), F.col("__line_drop").alias("drop")))
     left = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p.lines) - 1), p.drop)
     kept = F.get(F.transform(parts, lambda p: F.array_join(F.transform(left(p), lambda i: F.get(p.lines, i)), "\n")), F.lit(0))
     n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return joined.select(
         *[docs[c] for c in docs.columns],
         n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"),
-        F.when(F.col("_drop").isNull(), text).otherwise(kept).alias("kept_text"),
+        F.when(F.col("__line_drop").isNull(), 0).otherwise(F.size("__line_drop")).cast("long").alias("n_dropped"),
+        F.when(F.col("__line_drop").isNull(), text).otherwise(kept).alias("kept_text"),
     )

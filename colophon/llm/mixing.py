@@ -185,13 +185,13 @@ def _select(df: DataFrame) -> DataFrame:
 
 def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mixed documents: one row for each pass over a document, whole or its first words."""
-    taken = plan.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).groupBy("_id").agg(F.max("_size").alias("_size"), F.max("_taken").alias("_taken"))
-    df = docs.join(taken, docs[id_col] == taken._id).where("_taken > 0")
-    df = df.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_pass") - 1) * F.col("_size"))
+    taken = plan.select(F.col(id_col).alias("__mix_id"), F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken")).groupBy("__mix_id").agg(F.max("__mix_size").alias("__mix_size"), F.max("__mix_taken").alias("__mix_taken"))
+    df = docs.join(taken, docs[id_col].eqNullSafe(taken["__mix_id"])).where("__mix_taken > 0")
+    df = df.withColumn("__mix_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__mix_taken") / F.col("__mix_size")).cast("int"))))
+    words = F.least(F.col("__mix_size"), F.col("__mix_taken") - (F.col("__mix_pass") - 1) * F.col("__mix_size"))
     # pieces that each start at a word; a blank beginning is a piece of its own
     pieces = F.split(F.col(text_col), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     blank = F.when(F.col(text_col).rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     front = F.array_join(F.slice(pieces, F.lit(1), words.cast("int") + blank), "")
-    df = df.withColumn(text_col, F.when(words < F.col("_size"), front).otherwise(F.col(text_col)))
+    df = df.withColumn(text_col, F.when(words < F.col("__mix_size"), front).otherwise(F.col(text_col)))
     return df.select(*[F.col(c) for c in docs.columns])

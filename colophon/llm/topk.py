@@ -10,7 +10,8 @@ q.x = (|q|^2 + |x|^2 - |q-x|^2) / 2 from above; the second pass reads only the
 annuli whose bound reaches the k-th score, in rising order of their lower
 distance bound, and stops within a block's annuli as the bounds allow.
 
-Vectors that are null, or hold a null or non-finite component, take no part.
+Vectors that are null, or hold a null or non-finite component, and rows without
+an id take no part.
 The usual length is that of most vectors; rows of another length raise an error
 (their inner product is not defined).  Ties go to the smaller id; a repeated
 row is a candidate of its own; extra columns are ignored; an empty table gives
@@ -47,7 +48,7 @@ def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
     """(id, v): floor(scale * x) of the vectors that take part."""
     v = F.col(vec_col)
     ok = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    return df.where(F.coalesce(ok, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -36,11 +36,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates."""
+    """Keeps the smallest id of each group of near-duplicates; rows without an id are in no group."""
     docs = docs.select(*COLUMNS)
     groups = jaccard_join.near_components(docs.select("doc_id", "text"), words=SHINGLE_WORDS, num=SIMILAR_NUM, den=SIMILAR_DEN)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
