@@ -42,6 +42,8 @@ BLOCK = 1024
 SLICE = 8192
 #: Blocks that the first pass reads for a query.
 FIRST_BLOCKS = 2
+#: Score of a query's own row: below all scores, and its negative is a number too.
+_OWN = -(1 << 62)
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -115,11 +117,11 @@ def _scan(pairs: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
                 part = right.iloc[lo : lo + 512]
                 q, qid, least = np.array(part["v"].tolist(), np.float64), part["id"].to_numpy(), part["least"].to_numpy()
                 score = np.rint(q @ x.T).astype(np.int64)
-                score[qid[:, None] == ids[None, :]] = np.iinfo(np.int64).min
+                score[qid[:, None] == ids[None, :]] = _OWN
                 # ids rise, so a stable sort of falling scores breaks ties by id
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 best = np.take_along_axis(score, top, 1)
-                ok = (best >= least[:, None]) & (best > np.iinfo(np.int64).min)
+                ok = (best >= least[:, None]) & (best > _OWN)
                 out.append(pd.DataFrame({"query_id": np.repeat(qid, top.shape[1])[ok.ravel()], "vec_id": ids[top][ok], "score": best[ok]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
 

@@ -132,6 +132,12 @@ def test_topk_edges(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_equal_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(40)] + [(i, [0.5, 0.1]) for i in range(100, 120)], "vec_id long, embedding array<float>")
+    got = topk.top_k(df, F.col("vec_id") % 100 == 0).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 11))  # the query's own row takes no place
+
+
 def test_pii(spark):
     text = "mail a.b@c.org_d@e.fr now 1.2.3.400 10.0.0.255, card 4111 1111 1111 1111, call +49 (30) 1234-5678. IBAN DE89370400440532013000 é ssn 123-45-6789"
     got = pii.digest(pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
