@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colophon.functions import text as T
-from colophon.operators import chunking, federated, library, retrieval
+from colophon.operators import chunking, federated, library, retrieval, sections
+from colophon.sources import html
 from colophon.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -340,3 +341,34 @@ def gaps_islands(spark: SparkSession, d: str) -> DataFrame:
     e = e.withColumn("new", F.when(F.expr("timestampdiff(MICROSECOND, before, ts)") <= 3600 * 1_000_000, 0).otherwise(1))
     e = e.withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return e.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).where("n >= 2")
+
+
+# --- sections and pages ------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber, l_linenumber % 3 AS level FROM lineitem)
+SELECT l_orderkey, l_linenumber, level, (SELECT min(t.l_linenumber) FROM s t WHERE t.l_orderkey = s.l_orderkey AND t.l_linenumber > s.l_linenumber AND t.level <= s.level) AS next_ordinal FROM s""")
+def section_subtree(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 3).alias("level")).distinct()
+    return sections.subtree_ends(s, "l_orderkey", "l_linenumber", "level")
+
+
+@query(f"SELECT doc_id, md5(array_to_string({TOKENS}, ' ')) AS digest FROM documents WHERE len({TOKENS}) > 0")
+def inverted_abstract(spark: SparkSession, d: str) -> DataFrame:
+    w = read(spark, d, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word"))
+    index = w.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
+    out = sections.rebuild_inverted(index, "doc_id", "word", "positions")
+    return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""WITH s AS (SELECT conv_id, greatest(1, least(5, coalesce(TRY_CAST(regexp_replace(text, '[^0-9]', '', 'g') AS BIGINT), 3))) AS score FROM conversations)
+SELECT conv_id, round(avg(score), 6) AS mean, CAST(max(score) AS INTEGER) AS best, avg(score) < 2 OR max(score) < 3 AS retry FROM s GROUP BY conv_id""")
+def retry_decision(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "conversations").select("conv_id", T.score_from_reply(F.col("text")).alias("score"))
+    out = s.groupBy("conv_id").agg(F.avg("score").alias("m"), F.max("score").alias("best"))
+    return out.select("conv_id", F.round("m", 6).alias("mean"), "best", ((F.col("m") < 2) | (F.col("best") < 3)).alias("retry"))
+
+
+@query()
+def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", html.html_to_markdown("html").alias("markdown"))
