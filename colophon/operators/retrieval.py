@@ -43,6 +43,34 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return ranked(found, k)
 
 
+def per_paper_topk(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, paper, doc_id, score, rank): each paper's k best chunks; chunks have (id, v, paper), queries (id, v).
+
+    A paper's chunks are spread over groups of bounded size; each group sends k
+    rows for a query and paper, so a paper of any length is no hot group.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = max(1, -(-chunks.count() // ROW_BLOCK))
+    q = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    x = chunks.select("id", "v", "paper", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    kind = chunks.schema["paper"].dataType.simpleString()
+
+    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        unit = lambda s: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))(np.array(s.tolist(), np.float64))
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "paper": right["paper"][:0], "doc_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(left):
+            asked, ids = unit(left["v"]), left["id"].to_numpy()
+            for paper, rows in right.sort_values("id").groupby("paper"):
+                score = np.round(asked @ unit(rows["v"]).T, 6)
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "paper": paper, "doc_id": rows["id"].to_numpy()[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()}))
+        return pd.concat(out)
+
+    found = q.groupBy("block", "part").cogroup(x.groupBy("block", "part")).applyInPandas(work, f"query_id long, paper {kind}, doc_id long, score double")
+    order = W.partitionBy("query_id", "paper").orderBy(F.col("score").desc(), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -6,35 +6,16 @@ all benchmark passages, against all rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colophon.functions import text as T
 from colophon.operators import chunking, federated, library, retrieval, sections
+from colophon.plans.base import ORACLE_SQL, QUERIES, query, read  # noqa: F401
 from colophon.sources import html
 from colophon.streaming import progress
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 # --- retrieval ---------------------------------------------------------------
 
 DENSE = """
@@ -372,3 +353,6 @@ def retry_decision(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", html.html_to_markdown("html").alias("markdown"))
+
+
+from colophon.plans import library_queries, paper_queries  # noqa: E402, F401  (they register themselves)
