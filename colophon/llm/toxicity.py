@@ -3,9 +3,9 @@
 1. A character trigram model is counted over the whole corpus (64 symbols, so
    64**3 counts at most).
 2. Tokens that look disguised (digits or signs among letters, letters repeated
-   three times, single letters with gaps) become lattices: each character may be
-   itself or the letters it stands for, a repeated run may be one or two
-   letters, a gap may be nothing.  Viterbi decoding under the character model
+   three times or all doubled, single characters with gaps) become lattices, at
+   any length: each character may be itself or the letters it stands for, a
+   repeated run may be one or two letters, a gap may be nothing.  Viterbi decoding under the character model
    restores the likeliest word.  Other tokens have one path and stay.
 3. Restored texts are scored by a lexicon of words and word beginnings whose
    rates in toxic and other documents differ, learnt from labelled rows, and a
@@ -43,18 +43,28 @@ THRESHOLD = 0.3
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 #: Natural logarithms of the channel.
 P_LEET, P_KEEP_LEET, P_DOUBLE, P_REPEAT, P_GAP, P_SPACE = -0.7, -9.0, -0.5, -0.7, -0.3, -2.5
+#: A wider gap within a word; one letter for two.
+P_WIDE, P_HALVE = -1.5, -3.0
 PREFIXES = (4, 5, 6)
 #: A lexicon entry needs this G2 (log-likelihood ratio) and this share of toxic documents.
 MIN_G2, MIN_RATE = 20.0, 0.35
 #: A word decides alone only if the cautious end of its rate is this high.
 MIN_FLOOR = 0.8
-_SUSPECT = re.compile(
-    r"(?<!\S)[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_]){2,}(?!\w)"  # l o s e r, l.o.s.e.r
-    r"|[\w@$!|+(€]*[^\W\d_](?:[@$!|+(€]|\d)+[^\W_][\w@$!|+(€]*"  # a sign or digit between letters
-    r"|(?<![\w@$!|+(€])[@$!|+(€\d]{1,2}[^\W\d_]{2,}[\w@$!|+(€]*"  # or before them
-    r"|[^\W\d_]{2,}[@\d](?![\w@$!|+(€])"  # or one at the end
-    r"|\w*?([^\W\d_])\1\1+\w*"  # looooser
+_SIGN, _GAP = "@$!|+(€", r"[ .\-_*,]"
+_LETTER = r"[^\W\d_]"
+_UNIT = rf"(?:{_LETTER}|[0-9{_SIGN}])"
+#: Three and more single characters with gaps: l o s e r, l.0.s.e.r, ll oo ss ee rr.
+_SPACED = re.compile(rf"(?<![^\W_])(?<![^\W_]['’])({_UNIT})\1{{0,2}}(?:{_GAP}{{1,3}}({_UNIT})\2{{0,2}}){{2,}}(?![^\W_])")
+_CHUNK = re.compile(rf"[\w{_SIGN}]+")
+#: What makes a chunk of lower-case letters, digits and signs a disguise.
+_DISGUISED = re.compile(
+    rf"{_LETTER}[0-9{_SIGN}]+(?:{_LETTER}|[0-9])"  # a sign or digit between letters
+    rf"|^[0-9{_SIGN}]{{1,2}}{_LETTER}{{2}}"  # or before them
+    rf"|{_LETTER}(?:[@$€]+|([0-9])\1|[0-9{_SIGN}]+[+|])$|{_LETTER}{{2}}[@$€0-9]+$"  # or at the end
+    rf"|({_LETTER})\2\2"  # looooser
+    rf"|({_LETTER})\3({_LETTER})\4({_LETTER})\5"  # lloosseerr
 )
+_DOUBLED = re.compile(rf"(?:({_LETTER})\1)+")
 
 
 # --- the character model -----------------------------------------------------
@@ -92,27 +102,35 @@ def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
     """For each run of a token, the strings it may stand for and their log-probabilities."""
-    spaced = re.fullmatch(r"[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_])+", token)
+    least = min(map(len, re.findall(rf"{_GAP}+", token)), default=0) if spaced else 0
+    low_token = token.lower()
+    doubled = bool(_DOUBLED.fullmatch(low_token)) and len(token) >= 6
+    some_doubled = not doubled and bool(_DISGUISED.search(low_token))
     out: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(token):
         c, j = token[i], i + 1
-        while j < len(token) and token[j].lower() == c.lower():
-            j += 1
-        n = j - i
         low = c.lower()
-        if spaced and not c.isalpha():
-            while j < len(token) and not token[j].isalpha():
+        if spaced and c in " .-_*,":
+            while j < len(token) and token[j] in " .-_*,":
                 j += 1
-            out.append([("", P_GAP), (" ", P_SPACE)])
-        elif low in LEET:
+            # a gap wider than the others is rather the end of a word
+            out.append([("", P_GAP), (" ", P_SPACE)] if j - i == least else [("", P_WIDE), (" ", P_GAP)])
+            i = j
+            continue
+        while j < len(token) and token[j].lower() == low:
+            j += 1
+        n = j - i
+        if low in LEET:
             out.append([(x * min(n, 2), P_LEET) for x in LEET[low]] + [(c * n, P_KEEP_LEET)])
             if n > 1:
                 out[-1] += [(x, P_LEET + P_REPEAT) for x in LEET[low]]
-        elif c.isalpha() and n >= 3:
+        elif c.isalpha() and (n >= 3 or n == 2 and (doubled or spaced)):
             out.append([(low, P_REPEAT), (low * 2, P_REPEAT + P_DOUBLE)])
+        elif c.isalpha() and n == 2 and some_doubled:
+            out.append([(low * 2, 0.0), (low, P_HALVE)])
         else:
             out.append([(low * n, 0.0)])
         i = j
@@ -124,12 +142,12 @@ def _code(c: str) -> int:
     return int(symbols(np.array([ord(c)], np.uint32))[0])
 
 
-def viterbi(token: str, model: np.ndarray) -> str:
-    """The likeliest restored form of a token: beam over the last two symbols."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in [*lattice(token), [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+def viterbi(token: str, model: np.ndarray, spaced: bool = False) -> str:
+    """The likeliest restored form of a token: beam over the last two symbols, with back pointers."""
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    for options in [*lattice(token, spaced), [(" ", 0.0)]]:
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (score, back) in best.items():
             for piece, cost in options:
                 x, y, total = a, b, score + cost
                 for c in piece:
@@ -138,9 +156,14 @@ def viterbi(token: str, model: np.ndarray) -> str:
                         total += float(model[x, y, z])
                         x, y = y, z
                 if (x, y) not in after or total > after[x, y][0]:
-                    after[x, y] = total, text + piece
+                    after[x, y] = total, (back, piece)
         best = after
-    return max(best.values())[1][:-1]
+    back = max(best.values(), key=lambda v: v[0])[1]
+    out = []
+    while back:
+        back, piece = back
+        out.append(piece)
+    return "".join(reversed(out))[:-1]
 
 
 _LEET_TABLE = np.zeros(0x2100, bool)
@@ -149,25 +172,51 @@ _BLANKS = np.zeros(0x3001, bool)
 _BLANKS[[*range(33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 
 
+_GAPS = np.zeros(0x80, bool)
+_GAPS[[ord(c) for c in " .-_*,"]] = True
+
+
 def suspects(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merged spans, from blank to blank, of joined texts in which a disguise can be.
 
-    A sign before a letter or a digit after one, a letter three times, and three
-    single letters in a row: all that ``_SUSPECT`` can match, found by array work.
+    A superset of what ``_SPACED`` and ``_DISGUISED`` match, found by array work:
+    signs or digits beside letters, a letter three times or three doubled letters,
+    and single characters (or runs of one) between gaps and others of their kind.
     """
     s = symbols(cps)
-    letter = s != 0
+    n = len(cps)
+    letter = (s != 0) | (cps >= 128) & ~_BLANKS[np.minimum(cps, 0x3000)]
+    sign = _LEET_TABLE[np.minimum(cps, 0x20FF)]
+    digit = (cps >= 48) & (cps <= 57)
     after, before = np.append(letter[1:], False), np.concatenate([[False], letter[:-1]])
-    low = np.minimum(cps, 0x20FF)
-    sign = _LEET_TABLE[low]
-    tail = ((cps >= 48) & (cps <= 57)) | (cps == 64)
-    flag = (sign & after) | (tail & before)
-    flag[:-2] |= letter[:-2] & (s[:-2] == s[1:-1]) & (s[1:-1] == s[2:])
+    firm = digit | (cps == ord("@")) | (cps == ord("$")) | (cps == ord("€"))
+    flag = sign & (after | before & (firm | np.append(sign[1:], False)))
+    same = np.append((cps[1:] == cps[:-1]) | (s[1:] == s[:-1]) & (s[1:] != 0), False)
+    twice = letter & same
+    flag[:-1] |= twice[:-1] & twice[1:]
+    flag[:-4] |= twice[:-4] & twice[2:-2] & twice[4:]
     at = np.flatnonzero(flag)
-    single = np.flatnonzero(letter & ~after & ~before)
-    near = np.diff(single) <= 3
-    three = np.flatnonzero(near[:-1] & near[1:])
-    lo, hi = np.concatenate([at, single[three]]), np.concatenate([at, single[three + 2]])
+    # runs of one character between gaps, with a likely unit on either side
+    unit, gap = letter | sign, _GAPS[np.minimum(cps, 0x7F)] & (cps < 0x80)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], unit.view(np.int8), [0]])))
+    start, end = edge[::2], edge[1::2]
+    size = end - start
+    ok = (size <= 3) & (start > 1) & (end < n - 1)
+    start, end, size = start[ok], end[ok], size[ok]
+    ok = gap[start - 1] & gap[end] & ((size < 2) | same[start]) & ((size < 3) | same[end - 2])
+    start, end = start[ok], end[ok]
+    left, right = start - 1, end
+    for _ in range(2):
+        left = left - (gap[np.maximum(left - 1, 0)] & (left > 0))
+        right = right + (gap[np.minimum(right + 1, n - 1)] & (right < n - 1))
+    left, right = left - 1, right + 1
+    ok = (left >= 0) & (right < n)
+    start, end, left, right = start[ok], end[ok], left[ok], right[ok]
+    alnum = (s != 0) | digit
+    ok = unit[left] & unit[right]
+    ok &= (left == 0) | ~alnum[left - 1] | same[left - 1]
+    ok &= (right == n - 1) | ~alnum[np.minimum(right + 1, n - 1)] | same[right]
+    lo, hi = np.concatenate([at, np.maximum(left[ok] - 2, 0)]), np.concatenate([at, np.minimum(right[ok] + 2, n - 1)])
     if not len(lo):
         return lo, hi
     blank = np.concatenate([[-1], np.flatnonzero(_BLANKS[np.minimum(cps, 0x3000)] & (cps <= 0x3000)), [len(cps)]])
@@ -186,15 +235,43 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model, self.seen = model, {}
 
-    def token(self, m: re.Match) -> str:
-        raw = m.group()
-        if len(raw) > 64:  # hashes, rules and the like: no word is that long
-            return raw
-        if raw not in self.seen:
+    def decoded(self, raw: str, spaced: bool) -> str:
+        if len(raw) > 64:  # long ones are rare; none is worth keeping
+            return viterbi(raw, self.model, spaced)
+        if (raw, spaced) not in self.seen:
             if len(self.seen) >= self.LIMIT:
                 self.seen.clear()
-            self.seen[raw] = viterbi(raw, self.model)
-        return self.seen[raw]
+            self.seen[raw, spaced] = viterbi(raw, self.model, spaced)
+        return self.seen[raw, spaced]
+
+    def chunk(self, m: re.Match) -> str:
+        raw = m.group()
+        # an opening bracket that is closed, and exclamation marks, are no letters
+        head = raw[:1] if raw[0] == "(" and m.string[m.end() : m.end() + 1] == ")" else ""
+        body = raw[len(head) :].rstrip("!(")
+        if not _DISGUISED.search(body.lower()):
+            return raw
+        return head + self.decoded(body, False) + raw[len(head) + len(body) :]
+
+    def passage(self, raw: str) -> str:
+        """A spaced passage; lists of numbers and formulas stay."""
+        body = raw.lstrip("(|+")
+        body = body.lstrip(" .-_*,") if len(body) < len(raw) else raw
+        head, body = raw[: len(raw) - len(body)], body.rstrip("!|+( .-_*,")
+        units = re.split(rf"{_GAP}+", body)
+        letters, digits = sum(u[:1].isalpha() for u in units), sum(u[:1].isdigit() for u in units)
+        signs = len(units) - letters - digits
+        if len(units) < 3 or letters + signs < digits or not letters or letters < 2 and not set(body) & set("@$") or letters < 3 and set(body) & set("+|("):
+            return raw
+        return head + self.decoded(body, True) + raw[len(head) + len(body) :]
+
+    def sub(self, text: str) -> str:
+        """``text`` with its disguises restored."""
+        out, at = [], 0
+        for m in _SPACED.finditer(text):
+            out += [_CHUNK.sub(self.chunk, text[at : m.start()]), self.passage(m.group())]
+            at = m.end()
+        return "".join([*out, _CHUNK.sub(self.chunk, text[at:])])
 
     def __call__(self, text: str) -> str:
         return next(self.chunks(iter([(text,)])))[0][0][0]
@@ -204,13 +281,17 @@ class Restorer:
         for held, cps, row in chunks(rows):
             lo, hi = suspects(cps)
             if len(lo):
-                begin = np.searchsorted(row, np.arange(len(held)))
+                begin = np.searchsorted(row, np.arange(len(held) + 1))
+                cut = begin[1:-1]
+                of = np.searchsorted(lo, cut, "left") - 1
+                cut = cut[(of >= 0) & (cut < hi[of])]
+                lo, hi = np.sort(np.concatenate([lo, cut])), np.sort(np.concatenate([hi, cut]))  # no span over two texts
                 texts: dict[int, list[str]] = {}
                 done: dict[int, int] = {}
                 for k, a, b in zip(row[lo].tolist(), lo.tolist(), hi.tolist(), strict=True):
                     text, base = held[k][-1], int(begin[k])
                     old = text[a - base : b - base]
-                    new = _SUSPECT.sub(self.token, old)
+                    new = self.sub(old)
                     if new != old:
                         texts.setdefault(k, []).extend([text[done.get(k, 0) : a - base], new])
                         done[k] = b - base

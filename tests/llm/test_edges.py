@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,33 @@ def test_deobfuscation(spark):
     assert fix("stup1d m0ron") == "stupid moron" and fix("we go here") == "we go here"
 
 
+def test_deobfuscation_combined(spark):
+    plain = "you are a stupid loser and a moron we hate you here we go again"
+    docs = spark.createDataFrame([(i, plain) for i in range(200)], "doc_id long, text string")
+    fix = toxicity.Restorer(toxicity.char_model(docs))
+    long = "you are a stupid loser and a moron we hate you"
+    assert fix(" ".join(long.replace(" ", ""))) == long
+    assert fix(" ".join(long.replace(" ", "")) * 40).count("stupid") == 40
+    for hidden, shown in (
+        ("l" + "o" * 70 + "ser", "loser"), ("l 0 s e r", "loser"), ("s t u p 1 d", "stupid"), ('"l o s e r"', '"loser"'), ("(l o s e r)", "(loser)"), ("lloosseerr", "loser"),
+        ("l,o,s,e,r", "loser"), ("l   o   s   e   r", "loser"), ("ll oo ss ee rr", "loser"), ("l o s e r !", "loser !"), ("stup!!d", "stupid"), ("1 2 3 4 5", "1 2 3 4 5"), ("again! (here)", "again! (here)"),
+    ):
+        assert fix(hidden) == shown, (hidden, fix(hidden))
+    rows = [("we l 0",), ("s e r m0ron",), ("",), ("l0ser",)]
+    assert [t for held, _, _ in fix.chunks(iter(rows)) for (t,) in held] == ["we l 0", "ser moron", "", "loser"]
+    docs = spark.createDataFrame([(i, "you ass you said has") for i in range(50)], "doc_id long, text string")
+    assert toxicity.Restorer(toxicity.char_model(docs))("you a$$") == "you ass"
+
+
+def test_suspects_hold_every_disguise():
+    rng = random.Random(1)
+    fix = toxicity.Restorer(np.zeros((64, 64, 64)))
+    texts = ["".join(rng.choices("aabBos015$@!|+(€.,-_* '\"\n½éж漢", k=rng.randrange(1, 40))) for _ in range(20_000)]
+    got = [r[0] for held, _, _ in fix.chunks((t,) for t in texts) for r in held]
+    for raw, new in zip(texts, got, strict=True):
+        assert fix.sub(raw) == new, (raw, new)
+
+
 def test_toxicity_learns(spark):
     name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
     rows = [(i, f"plain words x{name(i)} " * 3 + ("stupid loser" if i % 5 == 0 else "")) for i in range(400)] + [(1000, "quite st00pid l0ser indeed"), (1001, "quite plain words")]
