@@ -8,7 +8,8 @@ orders.  The gene is a bin, not a piece (Falkenauer, 1996): crossover injects
 the other parent's well-filled bins whole, deletes the bins that now hold a
 piece twice, and puts the displaced pieces back by best fit.  After each epoch
 every island sends its elite to the next.  A shard stops when it meets
-Martello and Toth's lower bound, or when an epoch gains nothing.  Bins that stay badly filled are dealt
+Martello and Toth's lower bound, or when an epoch with the elites of other
+islands does not improve its best fitness.  Bins that stay badly filled are dealt
 again over all shards and packed as blocks, so the shards' edges cost nothing.
 
 Defined results: null text counts as empty and is the end token alone; repeated
@@ -125,51 +126,69 @@ def best_fit(order: list[int], size: list[int], capacity: int, bins: list[list[i
     return bins
 
 
-def fitness(bins: list[list[int]], size: list[int], capacity: int) -> tuple[int, int]:
-    """Fewer bins first; then unevenly filled ones, which leave room to empty a bin."""
-    return len(bins), -sum(sum(size[i] for i in b) ** 2 for b in bins)
+def disturbed(size: list[int], capacity: int, rng: random.Random | None) -> list[list[int]]:
+    """Best fit by falling size; with ``rng`` in an order that is disturbed."""
+    noise = [x * rng.uniform(0.9, 1.1) for x in size] if rng else size
+    return best_fit(sorted(range(len(size)), key=lambda i: (-noise[i], i)), size, capacity)
 
 
-def cross(a: list[list[int]], b: list[list[int]], size: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+class Plan:
+    """Bins by falling fill, and their fitness: every sum is taken once."""
+
+    def __init__(self, bins: list[list[int]], size: list[int]):
+        both = sorted(((sum([size[i] for i in b]), b) for b in bins), key=lambda x: -x[0])
+        self.bins, self.fills = [b for _, b in both], [f for f, _ in both]
+        self.square = sum(f * f for f in self.fills)
+        #: fewer bins first; then unevenly filled ones, which leave room to empty a bin
+        self.fitness = len(bins), -self.square
+
+
+def cross(a: Plan, b: Plan, size: list[int], capacity: int, rng: random.Random) -> Plan:
     """Inject well-filled bins of ``b`` into ``a``; best-fit what they displace."""
-    full = sorted(b, key=lambda g: -sum(size[i] for i in g))
-    gift = [g for g in full[: max(1, len(full) // 2)] if rng.random() < 0.7] or full[:1]
-    given = {i for g in gift for i in g}
+    gift = [g for g in b.bins[: max(1, len(b.bins) // 2)] if rng.random() < 0.7] or b.bins[:1]
+    given = set().union(*gift)
     left, loose = [], []
-    for g in a:
+    for g in a.bins:
         if given.isdisjoint(g):
             left.append(g)
         else:
             loose += [i for i in g if i not in given]
     # the emptiest bins are broken up too, or the number of bins could not fall
-    left.sort(key=lambda g: -sum(size[i] for i in g))
-    for g in left[max(0, len(left) - max(2, len(left) // 50)) :]:
+    keep_n = max(0, len(left) - max(2, len(left) // 50))
+    for g in left[keep_n:]:
         loose += g
-    left = left[: max(0, len(left) - max(2, len(left) // 50))]
     loose.sort(key=lambda i: (-size[i], i))
-    return best_fit(loose, size, capacity, left + [list(g) for g in gift])
+    return Plan(best_fit(loose, size, capacity, left[:keep_n] + gift), size)
 
 
-def evolve(size: list[int], capacity: int, seed: int, migrants: list[list[list[int]]] = (), generations: int = GENERATIONS) -> list[list[int]]:
+def evolve(size: list[int], capacity: int, seed: int, migrants: list[list[list[int]]] = (), generations: int = GENERATIONS, bound: int | None = None) -> Plan:
     """The best packing that one island finds in an epoch."""
     rng = random.Random(seed)
-    bound = lower_bound(size, capacity)
-    score = lambda bins: fitness(bins, size, capacity)
-    plain = sorted(range(len(size)), key=lambda i: (-size[i], i))
-    people = [*migrants, best_fit(plain, size, capacity)]
-    best = min(people, key=score)
-    if len(best) <= bound:
-        return best
-    while len(people) < POPULATION:
-        noise = {i: size[i] * rng.uniform(0.9, 1.1) for i in plain}
-        people.append(best_fit(sorted(plain, key=lambda i: -noise[i]), size, capacity))
+    bound = lower_bound(size, capacity) if bound is None else bound
+    score = lambda plan: plan.fitness
+    people: list[Plan] = []
+
+    def admit(plan: Plan) -> None:
+        # equal individuals would only be crossed with themselves
+        if all(plan.fitness != p.fitness or set(map(frozenset, plan.bins)) != set(map(frozenset, p.bins)) for p in people):
+            people.append(plan)
+
+    for bins in migrants or [disturbed(size, capacity, None)]:
+        admit(Plan(bins, size))
+    if len(min(people, key=score).bins) <= bound:
+        return min(people, key=score)
+    for _ in range(2 * POPULATION):  # short lists may have fewer plans than that
+        if len(people) >= POPULATION:
+            break
+        admit(Plan(disturbed(size, capacity, rng), size))
     for _ in range(generations):
         best = min(people, key=score)
-        if len(best) <= bound:
+        if len(best.bins) <= bound:
             break
-        a, b = rng.sample(range(len(people)), 2)
-        children = [cross(people[a], people[b], size, capacity, rng), cross(best, people[b], size, capacity, rng)]
-        people = sorted([*people, *children], key=score)[:POPULATION]
+        a, b = rng.sample(range(len(people)), 2) if len(people) > 1 else (0, 0)
+        for child in (cross(people[a], people[b], size, capacity, rng), cross(best, people[b], size, capacity, rng)):
+            admit(child)
+        people = sorted(people, key=score)[:POPULATION]
     return min(people, key=score)
 
 
@@ -202,36 +221,47 @@ def _bins(raw: bytes) -> list[list[int]]:
     return [b for b in out if b]
 
 
-STATE = "shard int, island int, sizes binary, plan binary, n_bins int, bound int"
+STATE = "shard int, island int, sizes binary, plan binary, n_bins int, square long, bound int"
 
 
 def _epoch(state: DataFrame, capacity: int, epoch: int, islands: int) -> DataFrame:
-    """One epoch on every island of the shards that are above their bound."""
+    """One epoch on every island of the shards that are above their bound.
+
+    In the first epoch the islands are on their own; then each has the elite of the one before it as a guest.
+    """
     n = F.lit(ISLANDS)
-    guests = state.select("shard", F.pmod(F.col("island") + 1, n).alias("island"), F.col("plan").alias("guest"))
+    guests = state.select("shard", F.pmod(F.col("island") + 1, n).alias("island"), (F.col("plan") if epoch else F.lit(None).cast("binary")).alias("guest"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples():
                 size = np.frombuffer(row.sizes, np.int32).tolist()
                 migrants = [_bins(p) for p in (row.plan, row.guest) if p]
-                best = evolve(size, capacity, row.shard * 1009 + row.island * 31 + epoch, migrants)
-                yield pd.DataFrame({"shard": [row.shard], "island": [row.island], "sizes": [row.sizes], "plan": [_flat(best, len(size))], "n_bins": [len(best)], "bound": [row.bound]})
+                best = evolve(size, capacity, row.shard * 1009 + row.island * 31 + epoch, migrants, bound=row.bound)
+                yield pd.DataFrame({"shard": [row.shard], "island": [row.island], "sizes": [row.sizes], "plan": [_flat(best.bins, len(size))], "n_bins": [len(best.bins)], "square": [best.square], "bound": [row.bound]})
 
     # few rows, much work: one island a task
     joined = state.join(guests, ["shard", "island"])
     return joined.repartition(max(1, min(islands, 4 * partitions(state.sparkSession))), "shard", "island").mapInPandas(work, STATE)
 
 
+def start_plans(shard: int, size: np.ndarray, capacity: int) -> pd.DataFrame:
+    """A STATE row for each island: the first packs by falling size, the others in disturbed orders."""
+    sizes, bound, rows = size.tolist(), lower_bound(size.tolist(), capacity), []
+    for island in range(ISLANDS):
+        plan = Plan(disturbed(sizes, capacity, random.Random(shard * 7919 + island) if island else None), sizes)
+        rows.append({"shard": shard, "island": island, "sizes": size.tobytes(), "plan": _flat(plan.bins, len(size)), "n_bins": len(plan.bins), "square": plan.square, "bound": bound})
+        if len(plan.bins) <= bound:
+            # at the bound there is nothing left to evolve: one island will do
+            return pd.DataFrame([{**rows[-1], "island": 0}])
+    return pd.DataFrame(rows)
+
+
 def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(shard, idx, bin) for rows (shard, idx, size): idx counts from 0 in each shard."""
 
     def start(key, pdf):
-        size = pdf.sort_values("idx")["size"].to_numpy(np.int32)
-        plan = best_fit(sorted(range(len(size)), key=lambda i: (-size[i], i)), size.tolist(), capacity)
-        row = {"shard": int(key[0]), "sizes": size.tobytes(), "plan": _flat(plan, len(size)), "n_bins": len(plan), "bound": lower_bound(size.tolist(), capacity)}
-        # at the bound there is nothing left to evolve: one island will do
-        return pd.DataFrame([{**row, "island": k} for k in range(ISLANDS if row["n_bins"] > row["bound"] else 1)])[["shard", "island", "sizes", "plan", "n_bins", "bound"]]
+        return start_plans(int(key[0]), pdf.sort_values("idx")["size"].to_numpy(np.int32), capacity)
 
     state = keep(items.groupBy("shard").applyInPandas(start, STATE), "pack-start")
     done = state.where("n_bins <= bound")
@@ -241,13 +271,15 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if not islands:
             break
         before, open_ = open_, keep(_epoch(open_, capacity, epoch, islands), f"pack-epoch{epoch}")
-        # a shard leaves when it meets its bound, or when no island of it gained a bin in this epoch
-        now = open_.groupBy("shard").agg(F.min("n_bins").alias("now"), F.first("bound").alias("least"))
-        best_before = before.groupBy("shard").agg(F.min("n_bins").alias("was"))
-        goes_on = now.join(best_before, "shard").where("now > least AND now < was").select("shard")
+        # a shard leaves when it meets its bound, or when an epoch with the neighbours' elites did not improve its best fitness
+        fitness = F.struct("n_bins", (-F.col("square")).alias("square"))
+        now = open_.groupBy("shard").agg(F.min(fitness).alias("now"), F.first("bound").alias("least"))
+        best_before = before.groupBy("shard").agg(F.min(fitness).alias("was"))
+        improved = F.col("now") < F.col("was") if epoch else F.lit(True)
+        goes_on = now.join(best_before, "shard").where((F.col("now.n_bins") > F.col("least")) & improved).select("shard")
         done = done.unionByName(open_.join(goes_on, "shard", "left_anti"))
         open_ = open_.join(goes_on, "shard", "left_semi")
-    best = done.unionByName(open_).groupBy("shard").agg(F.min_by("plan", F.struct("n_bins", "island")).alias("plan"))
+    best = done.unionByName(open_).groupBy("shard").agg(F.min_by("plan", F.struct("n_bins", (-F.col("square")).alias("square"), "island")).alias("plan"))
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

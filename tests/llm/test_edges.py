@@ -140,6 +140,21 @@ def test_topk_equal_vectors(spark):
     assert [r.vec_id for r in got] == list(range(1, 11))  # the query's own row takes no place
 
 
+def test_packing_islands_differ_and_meet(spark, monkeypatch):
+    rng = random.Random(4)
+    size = [rng.randrange(200, 700) for _ in range(300)]
+    state = packing.start_plans(0, np.array(size, np.int32), 1024)
+    assert (state["n_bins"] > state["bound"]).all() and len(set(state["plan"])) == packing.ISLANDS
+    seen, epoch = [], packing._epoch
+    monkeypatch.setattr(packing, "_epoch", lambda state, capacity, k, islands: seen.append(k) or epoch(state, capacity, k, islands))
+    got = packing.pack_items(spark.createDataFrame([(0, i, s) for i, s in enumerate(size)], "shard int, idx int, size int")).collect()
+    assert {0, 1} <= set(seen)  # elites met before the shard could leave
+    fill = {}
+    for r in got:
+        fill[r.bin] = fill.get(r.bin, 0) + size[r.idx]
+    assert len(got) == len(size) and max(fill.values()) <= 1024 and len(fill) <= state["n_bins"].min()
+
+
 def test_pii(spark):
     text = "mail a.b@c.org_d@e.fr now 1.2.3.400 10.0.0.255, card 4111 1111 1111 1111, call +49 (30) 1234-5678. IBAN DE89370400440532013000 é ssn 123-45-6789"
     got = pii.digest(pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
