@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNSET = "unset"
 
@@ -69,21 +73,75 @@ def latest(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("back", rank).where(F.col("back") <= n)
 
 
-def verify_quotes(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
+#: Kinds of quote keys, longest first: (least bytes of a quote, bytes of a gram).  The first two kinds
+#: take the grams of least hash in any stretch of so many bytes; shorter quotes meet all grams.
+QUOTE_KEYS = ((48, 16), (24, 8), (12, 12), (6, 6), (3, 3), (1, 1))
+
+
+def _gram_hashes(data: np.ndarray, gram: int, kind: int) -> np.ndarray:
+    n = len(data) - gram + 1
+    h = np.full(max(n, 0), kind + 1, np.uint64)
+    for j in range(gram if n > 0 else 0):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + data[j : j + n]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
+
+
+def _quote_key(data: np.ndarray) -> tuple[int, np.uint64]:
+    """The kind and key of a quote: the gram of least hash, which every text that holds the quote gives too."""
+    kind = next(k for k, (least, _) in enumerate(QUOTE_KEYS) if len(data) >= least)
+    return kind, _gram_hashes(data, QUOTE_KEYS[kind][1], kind).min()
+
+
+def _body_keys(data: np.ndarray, kinds: list[int]) -> np.ndarray:
+    """All keys that quotes of these kinds within a text can have."""
+    out = [np.zeros(0, np.uint64)]
+    for kind in kinds:
+        least, gram = QUOTE_KEYS[kind]
+        h = _gram_hashes(data, gram, kind)
+        if len(data) >= least:
+            out.append(np.unique(np.lib.stride_tricks.sliding_window_view(h, least - gram + 1).min(1)))
+    return np.concatenate(out)
+
+
+def _text_keys(df: DataFrame, id_col: str, text_col: str, kinds: list[int] | None) -> DataFrame:
+    """(id, kind, key) of quotes, or of bodies for the given kinds."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, found, of = [], [], []
+            for i, text in enumerate(b.column(1).cast(pa.binary())):
+                data = np.frombuffer(text.as_py(), np.uint8)
+                kind, keys = (0, _body_keys(data, kinds)) if kinds is not None else _quote_key(data)
+                keys = np.atleast_1d(keys)
+                at.append(np.full(len(keys), i))
+                of.append(np.full(len(keys), kind, np.int32))
+                found.append(keys)
+            if at:
+                ids = b.column(0).take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(of)), pa.array(np.concatenate(found).view(np.int64))], names=[id_col, "kind", "key"])
+
+    rows = df.select(id_col, text_col)
+    schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType())])
+    return rows.mapInArrow(work, schema)
+
+
+def verify_quotes(quotes: DataFrame, chunks: DataFrame, min_words: int = 1) -> DataFrame:
     """(item_id, doc_id): documents that hold a quote, compared without case, blanks and punctuation.
 
-    Candidates share the quote's longest word run key, so no quote meets all documents.
+    Candidates share a gram of the stripped texts, whatever the words' boundaries,
+    so no quote meets all documents.  Quotes without letters or digits are left out.
     """
     norm = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", "")
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
-    key = lambda w, i: F.concat_ws(" ", F.slice(w, i, F.lit(4)))
-    q = quotes.select("item_id", norm(F.col("text")).alias("quote"), words(F.col("text")).alias("w")).where(F.size("w") >= 6)
-    q = q.select("item_id", "quote", key(F.col("w"), F.lit(2)).alias("key"))
-    d = chunks.select("doc_id", norm(F.col("text")).alias("body"), words(F.col("text")).alias("w")).where(F.size("w") >= 4)
-    d = d.select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: key(F.col("w"), i)))).alias("key"))
-    hits = d.select("doc_id", "key").join(q.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    bodies = chunks.select("doc_id", norm(F.col("text")).alias("body"))
-    return hits.join(bodies, "doc_id").join(q.select("item_id", "quote"), "item_id").where(F.contains("body", F.col("quote"))).select("item_id", "doc_id")
+    q = quotes.where(F.size(words(F.col("text"))) >= max(1, min_words)).select("item_id", norm(F.col("text")).alias("quote"))
+    bodies = chunks.where("text IS NOT NULL").select("doc_id", norm(F.col("text")).alias("body"))
+    asked = _text_keys(q, "item_id", "quote", None)
+    kinds = sorted(r.kind for r in asked.select("kind").distinct().collect())  # six at most
+    given = _text_keys(bodies, "doc_id", "body", kinds)
+    hits = given.select("doc_id", "key").join(asked.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    return hits.join(bodies, "doc_id").join(q, "item_id").where(F.contains("body", F.col("quote"))).select("item_id", "doc_id")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -239,7 +239,7 @@ def phrase_filter(spark: SparkSession, d: str) -> DataFrame:
 d AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g') AS body FROM documents)
 SELECT item_id, doc_id FROM q JOIN d ON contains(body, quote) WHERE n >= 6""")
 def citation_verify(spark: SparkSession, d: str) -> DataFrame:
-    return library.verify_quotes(read(spark, d, "benchmark"), read(spark, d, "documents"))
+    return library.verify_quotes(read(spark, d, "benchmark"), read(spark, d, "documents"), min_words=6)
 
 
 @query("""SELECT l.doc_id, l.toxic FROM labels l WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en')""")

@@ -50,3 +50,23 @@ def test_stream_equals_batch(spark):
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     progress.run_latest(stream, "latest_test").awaitTermination()
     assert sorted(map(tuple, spark.table("latest_test").collect())) == sorted(map(tuple, progress.latest_status(batch).collect()))
+
+
+def test_quotes_across_word_boundaries(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choices(["ab", "é", "b", " ", "-\n", ", "], k=n))
+    docs = [(1, "We say that atten-\ntion is all you need, a state-of-the-art idea."), (2, "nothing"), (3, None), (4, "")] + [(i, say(300)) for i in range(5, 25)]
+    quotes = [(1, "say that attention is all you need"), (2, "you need a state of the art idea"), (3, "all"), (4, "..."), (5, None), (6, "é")]
+    for i in range(7, 60):
+        _, text = docs[rng.randrange(4, len(docs))]
+        at = rng.randrange(200)
+        quotes.append((i, text[at : at + rng.randrange(1, 100)].replace("-\n", rng.choice(["", " "])).upper()))
+    strip = lambda t: re.sub(r"[^\w]+", "", (t or "").lower())
+    want = sorted((i, d) for i, q in quotes for d, t in docs if strip(q) and strip(q) in strip(t))
+    s = "id long, text string"
+    q, d = spark.createDataFrame(quotes, s).withColumnRenamed("id", "item_id"), spark.createDataFrame(docs, s).withColumnRenamed("id", "doc_id")
+    assert {(1, 1), (2, 1), (3, 1)} <= set(want)
+    assert sorted(map(tuple, library.verify_quotes(q, d).collect())) == want
