@@ -2,7 +2,7 @@
 
 Regular expressions propose spans; validators confirm them (Luhn for cards,
 mod 97 for IBANs, part and digit bounds for addresses and phone numbers); words
-near a span move its score.  Everything is a Spark column: the text is split at
+before and after a span move its score.  Everything is a Spark column: the text is split at
 the matches, and the positions are running sums of the pieces' lengths, so no
 position needs a second search.
 
@@ -89,7 +89,9 @@ def _kind_spans(rank: int, kind: str, score: float) -> Column:
 
     def span(m: Column, i: Column) -> Column:
         start = F.get(F.col(f"_o_{kind}"), i) + F.get(F.col(f"_g_{kind}"), i).gap
-        near = F.substring(F.col("_t"), F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS)))
+        before = F.substring(F.col("_t"), F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS)))
+        # a line break between them, so that no word is joined across the span
+        near = F.concat(before, F.lit("\n"), F.substring(F.col("_t"), start + F.length(m) + 1, F.lit(CONTEXT_CHARS)))
         points = F.lit(score) + F.when(near.rlike(f"(?i){CONTEXT[kind]}"), CONTEXT_GAIN).otherwise(0.0)
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(m)).alias("end"), F.lit(kind).alias("kind"), m.alias("value"), F.least(points, F.lit(1.0)).alias("score"))
 

@@ -165,6 +165,24 @@ def test_pii(spark):
     assert long.count() == pii.find_spans(long).count()
 
 
+def test_pii_context_on_both_sides(spark):
+    import re
+
+    ssn = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+    word = re.compile("ssn|social|security|tax", re.I)
+    rng = random.Random(5)
+    texts = ["123-45-6789 is my social security number", "my ssn is 123-45-6789", "number 123-45-6789 here", "123-45-6789", "so 123-45-6789cial"]
+    texts += ["".join(rng.choices(["123-45-6789", " ", "é plain words ", "Tax", "so", "cial", "x" * 15, "\n"], k=12)) for _ in range(300)]
+    want = {}
+    for i, t in enumerate(texts):
+        found = [m.span() for m in ssn.finditer(t)]
+        want[i] = [(a, b) for a, b in found if word.search(t[max(0, a - 40) : a]) or word.search(t[b : b + 40])]
+    assert want[0] and want[1] and not want[2] and not want[4]
+    got = by_id(pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        assert [(s.start, s.end) for s in got[i].spans if s.kind == "ssn"] == want[i], t
+
+
 def test_deobfuscation(spark):
     docs = spark.createDataFrame([(i, "you are a stupid loser and a moron here we go again") for i in range(200)], "doc_id long, text string")
     fix = toxicity.Restorer(toxicity.char_model(docs))
