@@ -203,7 +203,7 @@ def dropped_lines(state: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
         maybe = state.select(*names).mapInArrow(test, POSTINGS)
     exact = maybe.join(hot, ["h1", "h2"]).where("doc_id < last_doc")
-    return exact.groupBy("doc_id", "copy").agg(F.flatten(F.collect_list("spots")).alias("drop"))
+    return exact.groupBy("doc_id", "copy").agg(F.array_distinct(F.flatten(F.collect_list("spots"))).alias("drop"))  # repeated rows give the same spots
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

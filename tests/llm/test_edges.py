@@ -183,6 +183,12 @@ def test_pii_context_on_both_sides(spark):
         assert [(s.start, s.end) for s in got[i].spans if s.kind == "ssn"] == want[i], t
 
 
+def test_lines_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, f"one\n{LINE}"), (1, f"one\n{LINE}"), *[(i, LINE) for i in range(2, 7)]], "doc_id long, text string")
+    got = [r for r in line_dedup.dedup_lines(docs).collect() if r.doc_id == 1]
+    assert [(r.n_lines, r.n_dropped, r.kept_text) for r in got] == [(2, 1, "one")] * 2
+
+
 def test_deobfuscation(spark):
     docs = spark.createDataFrame([(i, "you are a stupid loser and a moron here we go again") for i in range(200)], "doc_id long, text string")
     fix = toxicity.Restorer(toxicity.char_model(docs))
