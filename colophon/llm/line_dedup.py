@@ -1,43 +1,58 @@
 """Reversible line dedup: sharded cuckoo filters over exact reference counts.
 
-The state of a corpus is its postings table ``(shard, h1, h2, doc_id, spots)``:
-which document holds which line key, and at which lines.  Reference counts are
-exact aggregates of it.  Keys whose count reaches ``min_docs`` enter the cuckoo
-filter of their shard.  A cuckoo filter supports deletion, so inserting and
-deleting documents only touches the filters of the keys whose counts cross the
-threshold, and a deletion puts back every line that a document had pushed out.
-
-Lines meet the filters first; only lines that a filter reports go to the exact
-table, which removes the filters' false positives.  Filters are sent to all
-tasks only while their total stays under ``FILTER_BYTES``; beyond that, postings
-join the exact table directly, with the same result.
+The state of a corpus (:class:`LineIndex`) is three written tables, all keyed by
+a line key's 128-bit hash or the shard that it falls into:
+
+* ``postings`` (h1, h2, doc_id, copy, spots): which document holds which key, and
+  at which lines;
+* ``counts`` (h1, h2, n_docs, last_doc): in how many documents each key is, and
+  the largest of them, exactly;
+* ``filters`` (shard, buckets, filter): a cuckoo filter of each shard's frequent
+  keys, those in ``min_docs`` documents or more.
+
+:func:`insert_documents` and :func:`delete_documents` change counts by the new
+or leaving documents' own postings, and insert into or delete from the filters
+only the keys whose count crosses ``min_docs``; a shard without such a key keeps
+its filter's bytes.  So a deletion puts back every line that a document had
+pushed out, without counting the corpus again.  A corpus is built by inserting
+it into the empty index.
+
+Postings meet the filter of their shard; only those that it reports go to the
+exact table, which removes the filters' false positives.  A shard's postings are
+dealt over as many slices as its rows need, so neither a hot key nor a large
+corpus fills a task, and no table of filters is sent to all tasks.
 
 Defined results: null or empty text is one empty line; rows with the same id
 are one document for the counts, and each row loses its own lines; a line is
 kept in the largest id that holds it, wherever it stands there; rows without an
 id count as one document and lose nothing; extra columns
-are ignored; an empty table gives an empty result.
+are ignored; an empty table gives an empty result.  Inserting an id that the
+index has already, in part or whole, is an error of the caller; deleting an
+unknown id changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, keep, mix64, partitions, runs
+from .common import batch, keep, mix64, runs
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 SLOTS = 4
-#: Bound on what all filters together may take if they are sent to every task.
-FILTER_BYTES = 64 << 20
-#: Keys that a shard's filter should hold, about.
-SHARD_KEYS = 1 << 18
+#: Shards of the key space.  A shard is a unit of filter updates, not a bound on the corpus: its filter
+#: holds the frequent keys only, two bytes each.
+SHARDS = 256
+#: Postings that meet a filter in one task, about.
+SLICE_ROWS = 1 << 18
 _BLANK = b" \t\n\x0b\x0c\r"
 
 POSTINGS = "h1 long, h2 long, doc_id long, copy int, spots array<int>"
@@ -76,16 +91,6 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return docs.select(F.col(id_col).cast("long"), F.hash(F.col(text_col)), F.col(text_col)).mapInArrow(work, POSTINGS)
 
 
-def insert_documents(state: DataFrame, docs: DataFrame, **cols) -> DataFrame:
-    """The postings after ``docs`` have been added (their ids must be new)."""
-    return state.unionByName(postings(docs, **cols))
-
-
-def delete_documents(state: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The postings after the documents named by ``ids`` have gone."""
-    return state.join(ids.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_anti")
-
-
 def reference_counts(state: DataFrame) -> DataFrame:
     """(h1, h2, n_docs, last_doc): in how many documents each key is, and the largest of them."""
     # first by document, so that a hot key's documents are counted all over the cluster
@@ -168,48 +173,127 @@ class CuckooFilter:
         return (self.table[at] == fp[:, None]).any(axis=1) | (self.table[alt] == fp[:, None]).any(axis=1)
 
 
-def build_filters(hot: DataFrame, shards: int) -> DataFrame:
-    """(shard, buckets, filter): the cuckoo filter of each shard of the keys in ``hot``."""
+@dataclass(frozen=True)
+class LineIndex:
+    """The written state of a corpus; see the module's text."""
+
+    postings: DataFrame
+    counts: DataFrame
+    filters: DataFrame
+    min_docs: int = MIN_DOCS
 
-    def build(key, pdf):
-        import pandas as pd
+    @property
+    def frequent(self) -> DataFrame:
+        return self.counts.where(F.col("n_docs") >= self.min_docs)
 
-        f = CuckooFilter.build(np.sort(pdf["h1"].to_numpy(np.int64)))
-        return pd.DataFrame({"shard": [int(key[0])], "buckets": [len(f.table)], "filter": [f.table.tobytes()]})
 
-    return hot.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1").groupBy("shard").applyInPandas(build, "shard int, buckets int, filter binary")
+def _shard(h1: str = "h1") -> F.Column:
+    return F.pmod(h1, F.lit(SHARDS)).cast("int").alias("shard")
 
 
-def dropped_lines(state: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+_FILTERS = "shard int, buckets int, filter binary, n_keys long"
+
+
+def update_filters(filters: DataFrame | None, crossing: DataFrame) -> DataFrame:
+    """The filters after the keys of ``crossing`` (h1, up) have been inserted (up) or deleted.
+
+    Only shards with a crossing key are loaded.  A filter that cannot take its
+    new keys comes back with ``buckets`` 0; :func:`_settled` builds it again.
+    """
+
+    def change(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        up = new["up"].to_numpy(bool)
+        keys = new["h1"].to_numpy(np.int64)
+        put, out = np.sort(keys[up]), np.sort(keys[~up])
+        if not len(old):
+            f, n = CuckooFilter.build(put), len(put)
+        else:
+            f, n = CuckooFilter(np.frombuffer(old["filter"].iloc[0], np.uint16).reshape(-1, SLOTS).copy()), int(old["n_keys"].iloc[0])
+            f.delete(out)
+            n += len(put) - len(out)
+            if n > 0.9 * f.table.size or not f.insert(put):
+                f.table = np.zeros((0, SLOTS), np.uint16)
+        return pd.DataFrame({"shard": [int(key[0])], "buckets": np.array([len(f.table)], np.int32), "filter": [f.table.tobytes()], "n_keys": [n]})
+
+    crossing = crossing.select(_shard(), "h1", "up")
+    if filters is None:
+        return crossing.groupBy("shard").applyInPandas(lambda key, pdf: change(key, pdf[:0], pdf), _FILTERS)
+    hit = crossing.select("shard").distinct()
+    changed = filters.join(hit, "shard", "left_semi").groupBy("shard").cogroup(crossing.groupBy("shard")).applyInPandas(change, _FILTERS)
+    return filters.join(hit, "shard", "left_anti").unionByName(changed)
+
+
+def _settled(filters: DataFrame, counts: DataFrame, min_docs: int, name: str) -> DataFrame:
+    """The written filters; those that were full are built again from their shards' frequent keys."""
+    filters = keep(filters, name)
+    full = filters.where("buckets = 0").select("shard")
+    if full.isEmpty():
+        return filters
+    keys = counts.where(F.col("n_docs") >= min_docs).select(_shard(), "h1", F.lit(True).alias("up")).join(full, "shard", "left_semi")
+    return keep(filters.where("buckets > 0").unionByName(update_filters(None, keys)), name)
+
+
+def insert_documents(index: LineIndex | None, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
+    """The index after ``docs`` (whose ids must be new to it) have been added; None is the empty index."""
+    new = keep(postings(docs, id_col, text_col, min_chars), "line-postings")
+    more = reference_counts(new)
+    if index is None:
+        counts = keep(more, "line-counts")
+        up = counts.where(F.col("n_docs") >= min_docs).select("h1", F.lit(True).alias("up"))
+        return LineIndex(new, counts, _settled(update_filters(None, up), counts, min_docs, "line-filters"), min_docs)
+    more = more.withColumnsRenamed({"n_docs": "add", "last_doc": "top"})
+    joined = index.counts.join(more, ["h1", "h2"], "full")
+    before, after = F.coalesce("n_docs", F.lit(0)), F.coalesce("n_docs", F.lit(0)) + F.coalesce("add", F.lit(0))
+    moved = keep(joined.select("h1", "h2", before.alias("before"), after.alias("n_docs"), F.greatest("last_doc", "top").alias("last_doc")), "line-counts")
+    counts = moved.select("h1", "h2", "n_docs", "last_doc")
+    up = moved.where((F.col("before") < index.min_docs) & (F.col("n_docs") >= index.min_docs)).select("h1", F.lit(True).alias("up"))
+    filters = _settled(update_filters(index.filters, up), counts, index.min_docs, "line-filters")
+    return LineIndex(index.postings.unionByName(new), counts, filters, index.min_docs)
+
+
+def delete_documents(index: LineIndex, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
+    """The index after the documents named by ``ids`` have gone."""
+    ids = ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    gone = keep(index.postings.join(ids, "doc_id", "left_semi"), "line-gone")
+    left = keep(index.postings.join(ids, "doc_id", "left_anti"), "line-postings")
+    less = reference_counts(gone).withColumnsRenamed({"n_docs": "less", "last_doc": "top"})
+    # a key that lost its largest document takes the next one from the postings of these keys alone
+    orphans = index.counts.join(less, ["h1", "h2"]).where(F.col("last_doc") == F.col("top")).select("h1", "h2")
+    heirs = left.join(orphans, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.max("doc_id").alias("heir"))
+    joined = index.counts.join(less, ["h1", "h2"], "left").join(heirs, ["h1", "h2"], "left")
+    after = F.col("n_docs") - F.coalesce("less", F.lit(0))
+    last = F.when(F.col("last_doc") == F.col("top"), F.col("heir")).otherwise(F.col("last_doc"))
+    moved = keep(joined.select("h1", "h2", F.col("n_docs").alias("before"), after.alias("n_docs"), last.alias("last_doc")), "line-counts")
+    down = moved.where((F.col("before") >= index.min_docs) & (F.col("n_docs") < index.min_docs)).select("h1", F.lit(False).alias("up"))
+    counts = moved.where("n_docs > 0").select("h1", "h2", "n_docs", "last_doc")
+    return LineIndex(left, counts, _settled(update_filters(index.filters, down), counts, index.min_docs, "line-filters"), index.min_docs)
+
+
+def dropped_lines(index: LineIndex) -> DataFrame:
     """(doc_id, copy, drop): the numbers of the lines that each document loses."""
-    spark = state.sparkSession
-    hot = keep(reference_counts(state).where(F.col("n_docs") >= min_docs), "line-counts")
-    n_hot = hot.count()
-    shards = max(1, -(-n_hot // SHARD_KEYS))
-    maybe = state
-    if n_hot * 4 <= FILTER_BYTES:  # two bytes a fingerprint, filters at least half full
-        filters = spark.sparkContext.broadcast({r.shard: (r.buckets, bytes(r.filter)) for r in build_filters(hot, shards).collect()})
-        names = ["h1", "h2", "doc_id", "copy", "spots"]
-
-        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            loaded = {s: CuckooFilter(np.frombuffer(raw, np.uint16).reshape(n, SLOTS)) for s, (n, raw) in filters.value.items()}
-            for b in batches:
-                h = b.column("h1").to_numpy(zero_copy_only=False)
-                hit, shard = np.zeros(len(h), bool), np.mod(h, shards)
-                for s, f in loaded.items():
-                    mine = shard == s
-                    hit[mine] = f.contains(h[mine])
-                yield b.select(names).filter(pa.array(hit))
-
-        maybe = state.select(*names).mapInArrow(test, POSTINGS)
-    exact = maybe.join(hot, ["h1", "h2"]).where("doc_id < last_doc")
+    # SHARDS rows at most
+    slices = index.postings.groupBy(_shard()).agg(F.ceil(F.count("*") / F.lit(SLICE_ROWS)).cast("int").alias("slices"))
+    slices = keep(slices, "line-slices")
+    rows = index.postings.withColumn("shard", _shard()).join(F.broadcast(slices), "shard")
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id"), "slices").cast("int")).select("shard", "slice", "h1", "h2", "doc_id", "copy", "spots")
+    filters = index.filters.join(F.broadcast(slices), "shard").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("shard", "slice", "filter")
+
+    def test(batch_of_postings: pa.Table, of_filter: pa.Table) -> pa.Table:
+        found = batch_of_postings.select(["h1", "h2", "doc_id", "copy", "spots"])
+        if not of_filter.num_rows or not found.num_rows:
+            return found.slice(0, 0)
+        f = CuckooFilter(np.frombuffer(of_filter.column("filter")[0].as_py(), np.uint16).reshape(-1, SLOTS))
+        return found.filter(pa.array(f.contains(found.column("h1").to_numpy())))
+
+    maybe = rows.groupBy("shard", "slice").cogroup(filters.groupBy("shard", "slice")).applyInArrow(test, POSTINGS)
+    exact = maybe.join(index.frequent.select("h1", "h2", "last_doc"), ["h1", "h2"]).where("doc_id < last_doc")
     return exact.groupBy("doc_id", "copy").agg(F.array_distinct(F.flatten(F.collect_list("spots"))).alias("drop"))  # repeated rows give the same spots
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with columns n_lines, n_dropped and kept_text added."""
-    state = keep(postings(docs, id_col, text_col, min_chars), "line-postings")
-    drop = dropped_lines(state, min_docs).select(F.col("doc_id").alias("__line_id"), F.col("copy").alias("__line_copy"), F.col("drop").alias("__line_drop"))
+    index = insert_documents(None, docs, id_col, text_col, min_chars, min_docs)
+    drop = dropped_lines(index).select(F.col("doc_id").alias("__line_id"), F.col("copy").alias("__line_copy"), F.col("drop").alias("__line_drop"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     # hash join: the lists of dropped lines are the small side, and texts need no sort
     joined = docs.join(drop.hint("shuffle_hash"), (F.col(id_col) == F.col("__line_id")) & (F.hash(F.col(text_col)) == F.col("__line_copy")), "left")

@@ -80,15 +80,6 @@ def test_lines(docs):
     assert got[1].kept_text == "one\nend" and got[4].kept_text == "" and got[6].n_lines == 1 and got[5].n_lines == 2
 
 
-def test_lines_are_reversible(spark, docs):
-    d = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    state = line_dedup.postings(d)
-    one = line_dedup.delete_documents(state, spark.createDataFrame([(5,)], "doc_id long"))
-    assert line_dedup.dropped_lines(one).count() == 0  # four documents are left
-    again = line_dedup.insert_documents(one, d.where("doc_id = 5"))
-    assert {r.doc_id for r in line_dedup.dropped_lines(again).collect()} == {1, 2, 3, 4}
-
-
 def test_cuckoo_filter():
     import numpy as np
 
