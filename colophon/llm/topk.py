@@ -2,18 +2,24 @@
 
 Every vector is keyed by its nearest pivot and its distance to it (iDistance,
 Jagadish et al., 2005); rows of one pivot at similar distances form an annulus,
-and an annulus is cut into blocks of about ``BLOCK`` rows.  A query first reads
-the blocks of its own neighbourhood, which gives a lower bound on its k-th
-score.  By the triangle inequality no vector x of an annulus [lo, hi] around
-pivot p is nearer to q than max(d(q,p) - hi, lo - d(q,p), 0), which bounds
-q.x = (|q|^2 + |x|^2 - |q-x|^2) / 2 from above; the second pass reads only the
-annuli whose bound reaches the k-th score, in rising order of their lower
-distance bound, and stops within a block's annuli as the bounds allow.
-
-Vectors that are null, or hold a null or non-finite component, and rows without
-an id take no part.
-The usual length is that of most vectors; rows of another length raise an error
-(their inner product is not defined).  Ties go to the smaller id; a repeated
+and an annulus is cut into blocks of about ``BLOCK`` rows.  By the triangle
+inequality no vector x of an annulus [lo, hi] around pivot p is nearer to q than
+max(d(q,p) - hi, lo - d(q,p), 0), which bounds
+q.x = (|q|^2 + |x|^2 - |q-x|^2) / 2 from above.  A query sorts the annuli by that
+bound and expands in rounds: first the ``FIRST`` best, then ``GROWTH`` times as
+many, and so on; after each round its k-th score is known better, and it stops at
+the first annulus whose bound does not reach it.  Only annuli that some query
+still wants are read and moved in a round, and a block is copied only as often
+as the queries that want it fill slices of ``SLICE``.
+
+Scores are exact integers: matrix products run in float64 where no partial sum
+can reach 2**53, in int64 below 2**62, and in unbounded integers above; a score
+beyond the range of long is set to its nearest end before ranking.
+
+Vectors that are null or empty, or hold a null or non-finite component, and rows
+without an id take no part.  The inner product is defined between vectors of one
+length, so each length is searched for itself; a query has fewer results where
+its length is rare.  Ties go to the smaller id; a repeated
 row is a candidate of its own; extra columns are ignored; an empty table gives
 an empty result.  The pivots come from a seeded sample of ``SAMPLE`` rows at
 most; all rows are indexed, and the result does not depend on the sample.
@@ -22,52 +28,57 @@ most; all rows are indexed, and the result does not depend on the sample.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batch, keep
 
 SCALE = 1024
 K = 10
-PIVOTS = 64
+#: Pivots: about half the root of the rows, between these bounds.
+LEAST_PIVOTS, MOST_PIVOTS = 16, 1024
 RINGS = 16
 #: Rows from which the pivots are drawn, at most.
-SAMPLE = 4096
+SAMPLE = 8192
 BLOCK = 1024
 #: Queries that meet a block in one task, about.
 SLICE = 8192
-#: Blocks that the first pass reads for a query.
-FIRST_BLOCKS = 2
-#: Score of a query's own row: below all scores, and its negative is a number too.
-_OWN = -(1 << 62)
+#: Annuli that a query reads in the first round, and the growth of that number by round.
+FIRST, GROWTH = 2, 8
+#: Bounds that one array operation of the routing may hold.
+CELLS = 1 << 22
+_LOW, _HIGH = -(1 << 63) + 1, (1 << 63) - 1
+#: Score of a query's own row: below all scores.
+_OWN = -(1 << 63)
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(id, v): floor(scale * x) of the vectors that take part."""
     v = F.col(vec_col)
-    ok = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return df.where(F.coalesce(ok, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = np.asarray(column.flatten() if hasattr(column, "flatten") else column.values, np.float64)
-    return flat.reshape(-1, dim)
+    return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
-def choose_pivots(vectors: DataFrame, n: int, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
+def choose_pivots(vectors: DataFrame, n: int, sample: int = SAMPLE) -> np.ndarray:
     """Well-separated rows of a bounded sample (farthest-first)."""
     rows = vectors.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(max(1, n // sample))) == 0).orderBy(F.xxhash64("id"), "id").limit(sample)
     pool = np.array([r.v for r in rows.collect()], np.float64)
-    if not len(pool):
-        return np.zeros((0, 0))
+    if not len(pool):  # the sample may miss a small table
+        pool = np.array([r.v for r in vectors.limit(1).collect()], np.float64)
     pool = np.unique(pool, axis=0)
     chosen = [0]
     near = ((pool - pool[0]) ** 2).sum(1)
-    while len(chosen) < min(pivots, len(pool)):
+    while len(chosen) < min(max(LEAST_PIVOTS, min(MOST_PIVOTS, isqrt(n) // 2)), len(pool)):
         chosen.append(int(near.argmax()))
         near = np.minimum(near, ((pool - pool[chosen[-1]]) ** 2).sum(1))
     # a few rounds of Lloyd's algorithm on the sample bring the pivots into the clusters
@@ -83,125 +94,150 @@ def choose_pivots(vectors: DataFrame, n: int, pivots: int = PIVOTS, sample: int
 def build_index(vectors: DataFrame, pivots: np.ndarray, width: float) -> DataFrame:
     """(pivot, ring, dist, norm2, id, v): nearest pivot, annulus, distance and squared length."""
     dim = pivots.shape[1]
-    schema = pa.schema([("pivot", pa.int32()), ("ring", pa.int32()), ("dist", pa.float64()), ("norm2", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.int64()))])
+    schema = pa.schema([("pivot", pa.int32()), ("ring", pa.int32()), ("dist", pa.float64()), ("norm2", pa.float64()), ("id", pa.int64()), ("v", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column("v"), dim)
                 norm2 = (x**2).sum(1)
-                d2 = norm2[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)
-                own = d2.argmin(1)
+                own = (norm2[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)).argmin(1)
                 dist = np.sqrt(((x - pivots[own]) ** 2).sum(1))
                 ring = np.minimum(dist / width, RINGS - 1).astype(np.int32)
-                yield batch(schema, pivot=pa.array(own.astype(np.int32)), ring=pa.array(ring), dist=pa.array(dist), norm2=pa.array(norm2.astype(np.int64)), id=b.column("id"), v=b.column("v"))
-
-    return vectors.mapInArrow(work, "pivot int, ring int, dist double, norm2 long, id long, v array<long>")
-
-
-def _scan(pairs: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
+                yield batch(schema, pivot=pa.array(own.astype(np.int32)), ring=pa.array(ring), dist=pa.array(dist), norm2=pa.array(norm2), id=b.column("id"), v=b.column("v"))
+
+    return vectors.mapInArrow(work, "pivot int, ring int, dist double, norm2 double, id long, v array<long>")
+
+
+class _Rings:
+    """The annuli (at most MOST_PIVOTS * RINGS) and the bounds that they give a query."""
+
+    def __init__(self, index: DataFrame, pivots: np.ndarray):
+        rows = index.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm2").alias("norm2")).collect()
+        self.pivot, self.ring, self.n = (np.array([r[c] for r in rows], np.int64) for c in ("pivot", "ring", "n"))
+        self.lo, self.hi, self.norm2 = (np.array([r[c] for r in rows], np.float64) for c in ("lo", "hi", "norm2"))
+        self.parts = -(-self.n // BLOCK)
+        self.pivots = pivots
+
+    def caps(self, q: np.ndarray) -> np.ndarray:
+        """For each query and annulus a bound on the score; rounding only makes it larger."""
+        q2, p2 = (q**2).sum(1), (self.pivots**2).sum(1)
+        to = np.sqrt(np.maximum(q2[:, None] - 2 * q @ self.pivots.T + p2, 0))[:, self.pivot]
+        slack = 1e-6 * (1 + np.sqrt(q2)[:, None] + np.sqrt(p2)[None, self.pivot])
+        near = np.maximum(np.maximum(to - self.hi, self.lo - to) - slack, 0)
+        both = q2[:, None] + self.norm2
+        return np.clip((both - near**2) / 2 + 1e-3 + 1e-12 * both, _LOW, _HIGH)
+
+    def wanted(self, pdf: pd.DataFrame, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, annulus) pairs: the places lo to hi of each query's order, as far as its k-th score lets it go."""
+        step = max(1, CELLS // max(1, len(self.n)))
+        for at in range(0, len(pdf), step):
+            part = pdf.iloc[at : at + step]
+            cap = self.caps(np.array(part["v"].tolist(), np.float64))
+            order = np.argsort(-cap, axis=1, kind="stable")[:, lo:hi]
+            least = part["kth"].fillna(_LOW).to_numpy(np.int64)
+            row, col = np.nonzero(np.take_along_axis(cap, order, 1) >= least[:, None].astype(np.float64))
+            yield at + row, order[row, col]
+
+
+def _scores(q: list, x: list, reach: float) -> np.ndarray:
+    """Exact inner products as long; ``reach`` bounds every sum of products."""
+    if reach < 2.0**52:
+        return (np.array(q, np.float64) @ np.array(x, np.float64).T).astype(np.int64)
+    if reach < 2.0**62:
+        return np.array(q, np.int64) @ np.array(x, np.int64).T
+    return np.clip(np.array(q, object) @ np.array(x, object).T, _LOW, _HIGH).astype(np.int64)
+
+
+def _scan(blocks: DataFrame, queries: DataFrame, k: int, reach: float) -> DataFrame:
     """Each block's k best for each query that was sent to it.
 
-    ``pairs``: the blocks' vectors and the queries, both with pivot, ring, part
-    and slice.  Both sides of a group are bounded: a block has about BLOCK rows
-    and a slice about SLICE queries.
+    Both sides of a group are bounded: a block has about BLOCK rows and a slice
+    about SLICE queries.
     """
     schema = "query_id long, vec_id long, score long"
 
     def work(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})]
         if len(left) and len(right):
             left = left.sort_values("id", kind="stable")
-            x, ids = np.array(left["v"].tolist(), np.float64), left["id"].to_numpy()
+            x, ids = left["v"].tolist(), left["id"].to_numpy()
             for lo in range(0, len(right), 512):
                 part = right.iloc[lo : lo + 512]
-                q, qid, least = np.array(part["v"].tolist(), np.float64), part["id"].to_numpy(), part["least"].to_numpy()
-                score = np.rint(q @ x.T).astype(np.int64)
+                qid, least = part["id"].to_numpy(), part["kth"].fillna(_LOW).to_numpy(np.int64)
+                score = _scores(part["v"].tolist(), x, reach)
                 score[qid[:, None] == ids[None, :]] = _OWN
-                # ids rise, so a stable sort of falling scores breaks ties by id
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                # ids rise, so a stable sort of falling scores breaks ties by id; ~ turns the order and cannot overflow
+                top = np.argsort(~score, axis=1, kind="stable")[:, :k]
                 best = np.take_along_axis(score, top, 1)
                 ok = (best >= least[:, None]) & (best > _OWN)
                 out.append(pd.DataFrame({"query_id": np.repeat(qid, top.shape[1])[ok.ravel()], "vec_id": ids[top][ok], "score": best[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+        return pd.concat(out)
 
-    blocks, queries = pairs
     keys = ["pivot", "ring", "part", "slice"]
     return blocks.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(work, schema)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(df: DataFrame, query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows that ``query`` marks, against all other rows."""
-    spark = df.sparkSession
-    vectors = keep(quantised(df.withColumn("_q", F.coalesce(query, F.lit(False))), id_col, vec_col, scale).select("id", "v"), "vectors")
-    marked = quantised(df.where(F.coalesce(query, F.lit(False))), id_col, vec_col, scale)
+def _search(vectors: DataFrame, marked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank) for vectors and queries (id, v) of one length; queries have distinct ids or equal rows."""
+    spark = vectors.sparkSession
     n = vectors.count()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not n:
-        return empty
-    dims = [r.d for r in vectors.select(F.size("v").alias("d")).distinct().limit(2).collect()]
-    if len(dims) > 1:
-        raise ValueError("vectors of different lengths have no inner product")
     pivots = choose_pivots(vectors, n)
-    reach = vectors.select(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)).alias("m")).first().m
-    width = max(1.0, 2.0 * float(np.sqrt(reach)) / RINGS / 1.5)
-    index = keep(build_index(vectors, pivots, width), "pivot-index")
-    # at most PIVOTS * RINGS rows
-    rings = index.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.max("norm2").alias("norm2")).collect()
-    ring = {name: np.array([r[name] for r in rings]) for name in ("pivot", "ring", "n", "lo", "hi", "norm2")}
-    parts = -(-ring["n"] // BLOCK)
-    dim = pivots.shape[1]
-    table = spark.createDataFrame([(int(p), int(r), int(c)) for p, r, c in zip(ring["pivot"], ring["ring"], parts, strict=True)], "pivot int, ring int, parts int")
-    blocks = index.join(F.broadcast(table), ["pivot", "ring"])  # at most PIVOTS * RINGS rows
-    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).select("pivot", "ring", "part", "id", "v")
+    double = lambda x: x.cast("double") * x.cast("double")
+    reach = vectors.select(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + double(x))).alias("m")).first().m
+    index = keep(build_index(vectors, pivots, max(1.0, 2.0 * float(np.sqrt(reach)) / RINGS / 1.5)), "pivot-index")
+    rings = _Rings(index, pivots)
+    sent = spark.sparkContext.broadcast(rings)
+    best, lo, hi = None, 0, FIRST
+    while lo < len(rings.n):
+        kth = None if best is None else best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        open_ = marked.withColumn("kth", F.lit(None).cast("long")) if kth is None else marked.join(kth, marked.id == kth.query_id, "left").select("id", "v", "kth")
+
+        def count(batches: Iterator[pd.DataFrame], lo=lo, hi=hi) -> Iterator[pd.DataFrame]:
+            n = np.zeros(len(sent.value.n), np.int64)
+            for pdf in batches:
+                for _, to in sent.value.wanted(pdf, lo, hi):
+                    n += np.bincount(to, minlength=len(n))
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"at": at.astype(np.int32), "n": n[at]})
 
-    def bounds(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each query and annulus: least distance, and bound on the score."""
-        to = np.sqrt(np.maximum(((q**2).sum(1)[:, None] - 2 * q @ pivots.T + (pivots**2).sum(1)), 0))[:, ring["pivot"]]
-        near = np.maximum(np.maximum(to - ring["hi"], ring["lo"] - to), 0) - 1e-6 * (1 + to)
-        near = np.maximum(near, 0)
-        return near, ((q**2).sum(1)[:, None] + ring["norm2"] - near**2) / 2 + 1e-3
+        def route(batches: Iterator[pd.DataFrame], lo=lo, hi=hi) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for row, to in sent.value.wanted(pdf, lo, hi):
+                    yield pd.DataFrame({"at": to.astype(np.int32), "id": pdf["id"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "kth": pdf["kth"].astype("Int64").to_numpy()[row]})
+
+        asked = open_.mapInPandas(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # at most one row an annulus
+        if not asked:
+            break
+        plan = [(r["at"], int(rings.pivot[r["at"]]), int(rings.ring[r["at"]]), int(rings.parts[r["at"]]), -(-r.n // SLICE)) for r in asked]
+        plan = F.broadcast(spark.createDataFrame(plan, "at int, pivot int, ring int, parts int, slices int"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        blocks = index.join(plan, ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("slice", every("slices"))
+        queries = open_.mapInPandas(route, "at int, id long, v array<long>, kth long").join(plan, "at")
+        queries = queries.withColumn("slice", F.pmod(F.xxhash64(F.lit(9), "id"), "slices").cast("int")).withColumn("part", every("parts"))
+        keys = ["pivot", "ring", "part", "slice"]
+        found = _scan(blocks.select(*keys, "id", "v"), queries.select(*keys, "id", "v", "kth"), k, reach)
+        best = keep(_best(found if best is None else best.select("query_id", "vec_id", "score").unionByName(found), k), "top-k")
+        lo, hi = hi, hi * GROWTH
+    return best
 
-    route = "pivot int, ring int, part int, slice int, id long, v array<long>, least long"
 
-    def send(first: bool):
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                q = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), dim)
-                _, cap = bounds(q)
-                order = np.argsort(-cap, axis=1, kind="stable")
-                if first:  # the most promising annuli, until they hold k rows and FIRST_BLOCKS blocks
-                    filled = np.cumsum(ring["n"][order], axis=1)
-                    go = (np.arange(order.shape[1]) < FIRST_BLOCKS) | (np.concatenate([np.zeros((len(q), 1)), filled[:, :-1]], 1) <= k)
-                    least = np.full(len(q), np.iinfo(np.int64).min + 1)
-                else:
-                    least = pdf["kth"].fillna(np.iinfo(np.int64).min + 1).to_numpy(np.int64)
-                    go = np.take_along_axis(cap, order, 1) >= least[:, None]
-                who, col = np.nonzero(go)
-                to = order[who, col]
-                rep = parts[to].astype(int)
-                who, to = np.repeat(who, rep), np.repeat(to, rep)
-                part = np.concatenate([np.arange(c) for c in rep]) if len(rep) else np.zeros(0, int)
-                ids = pdf["id"].to_numpy()[who]
-                yield pd.DataFrame({"pivot": ring["pivot"][to].astype(np.int32), "ring": ring["ring"][to].astype(np.int32), "part": part.astype(np.int32), "slice": pdf["slice"].to_numpy(np.int32)[who], "id": ids, "v": pdf["v"].to_numpy()[who], "least": least[who]})
-
-        return work
-
-    slices = max(1, -(-marked.count() // SLICE))
-    marked = marked.withColumn("slice", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(slices)).cast("int"))
-    blocks = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    seeds = marked.mapInPandas(send(True), route)
-    seen = _best(_scan((blocks, seeds), k), k)
-    kth = seen.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    kth = keep(kth, "kth")
-    again = marked.join(kth, marked.id == kth.query_id, "left").select("id", "v", "slice", "kth").mapInPandas(send(False), route)
-    return _best(_scan((blocks, again), k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+def top_k(df: DataFrame, query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows that ``query`` marks, against all other rows.
+
+    Of query rows that share an id, one is asked for each length (the least vector).
+    """
+    spark = df.sparkSession
+    vectors = keep(quantised(df, id_col, vec_col, scale), "vectors")
+    marked = quantised(df.where(F.coalesce(query, F.lit(False))), id_col, vec_col, scale)
+    marked = keep(marked.groupBy("id", F.size("v").alias("dim")).agg(F.min("v").alias("v")), "queries")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for r in marked.select("dim").distinct().orderBy("dim").collect():  # one row for each length that is asked
+        found = _search(vectors.where(F.size("v") == r.dim), marked.where(F.col("dim") == r.dim).select("id", "v"), k)
+        out = out.unionByName(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    return out
