@@ -3,12 +3,17 @@
 Every partition of the corpus is a run: its rows carry the 64-bit digest of the
 normalised text, sorted by it.  ``2**bits`` nodes merge the runs in binomial
 rounds.  In a round each node hands every row to the partner that agrees with
-the digest in the next ``RADIX_BITS`` bits, and merges what it receives: equal
-digests meet, are verified (SHA-256 and length of the normalised text must
-agree), and keep one representative and a count.  After ``bits / RADIX_BITS``
-rounds each node owns one digest range, fully merged.  Rows of one digest
-shrink by partial aggregation before every exchange, so a group that holds a
-third of the corpus reaches no task as rows.
+the digest in the next ``RADIX_BITS`` bits and with the node in all others: rows
+move by node (one exchange, on ``node`` alone), and the receiver merges its
+``2**RADIX_BITS`` runs in the order of their digests.  Equal digests meet there,
+are verified (SHA-256 and length of the normalised text must agree), and keep
+one representative and a count, which is all that the next round moves.  After
+``bits / RADIX_BITS`` rounds each node owns one digest range, fully merged.
+
+A group that holds a third of the corpus starts on as many nodes as partitions
+and shrinks to one row a node in the first merge, so no task ever gets it as
+rows.  On the way back, the few groups above 1/HOT of all rows are
+sent to every task (at most HOT of them), the others are joined.
 
 Defined results: null text counts as empty, and all empty texts form one group;
 a repeated row counts as a member of its group each time, and rows that share
@@ -26,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import SPACE, keep, partitions
 
 #: Bits of the digest that one round settles: each round merges 2**RADIX_BITS runs.
-RADIX_BITS = 3
+RADIX_BITS = 2
+#: A group is hot above this share of all rows; so there are at most HOT of them.
+HOT = 1000
 
 
 def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,7 +57,9 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     for low in range(0, bits, RADIX_BITS):
         window = ((1 << min(RADIX_BITS, bits - low)) - 1) << low
         partner = F.col("node").bitwiseAND(F.lit(nodes - 1 - window)).bitwiseOR(F.pmod("digest", F.lit(nodes)).cast("int").bitwiseAND(F.lit(window)))
-        level = level.withColumn("node", partner).groupBy("node", "digest", "sha", "norm_len").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
+        received = level.withColumn("node", partner).repartition(nodes, "node")
+        # grouped within the node: the planner sorts by these keys and merges neighbours, without another exchange
+        level = received.groupBy("node", "digest", "sha", "norm_len").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
     return level.select("digest", "sha", "norm_len", (-F.col("best.neg")).alias("keep_id"), F.col("size").alias("group_size"))
 
 
@@ -60,6 +69,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Of equal texts the longest original stays, then the smallest id.
     """
     runs = keep(digest_runs(docs, id_col, text_col), "digest-runs")
-    groups = merge_runs(runs)
-    joined = runs.join(groups, ["digest", "sha", "norm_len"])
+    groups = keep(merge_runs(runs), "digest-groups")
+    n = groups.agg(F.sum("group_size")).first()[0] or 0
+    keys, hot = ["digest", "sha", "norm_len"], F.col("group_size") * HOT > n
+    marked = runs.join(F.broadcast(groups.where(hot)), keys, "left")  # HOT rows at most
+    rest = marked.where("group_size IS NULL").drop("keep_id", "group_size").join(groups.where(~hot), keys)
+    joined = marked.where("group_size IS NOT NULL").unionByName(rest)
     return joined.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -97,6 +98,26 @@ def test_exact(docs):
     assert got[6].keep_id == 8 and got[7].group_size == 3 and got[8].kept
 
 
+def test_exact_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choices(["a", "b ", " ", "\n", "é", ""], k=rng.randrange(5)))) for i in range(3000)] + [(5000 + i, "hot text") for i in range(1500)]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text), []).append((-len(text), i))
+    for norm, held in groups.items():
+        best = min(held)[1]
+        for _, i in held:
+            assert got[i] == (best, len(held), i == best, hashlib.sha256(norm.encode()).hexdigest())
+
+
+def test_runs_move_by_node_only(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = exact_dedup.merge_runs(exact_dedup.digest_runs(df))._jdf.queryExecution().executedPlan().toString()
+    moves = re.findall(r"Exchange (\w+\([^)]*\))", plan)
+    assert moves and all(re.match(r"hashpartitioning\(node#\d+, \d+\)", m) for m in moves), moves
+
+
 def test_mixing_targets(docs):
     rows = mixing.plan_mix(docs).collect()
     for source in {r.pattern[0] for r in rows}:
