@@ -1,16 +1,25 @@
 """Mixing sources to target weights as a min-cost flow.
 
-Documents are first aggregated by membership pattern (the set of sources they
-belong to), which is all the flow has to know.  Capacity runs from patterns to
-source quotas; the first pass over a pattern's words costs 1 a word, the second
-more (convex repetition costs), so a plan repeats only where first passes run
-out.  Selection is seeded: within a pattern, documents are ordered by a hash of
-the seed and their id, and the plan's share is taken from the front; the one
+Sources overlap where the same text stands in several of them.  Documents are
+aggregated by membership pattern: the set of sources that hold a document's
+text.  A pattern supplies its different texts' words; arcs run from it to the
+quota of each of its sources, at most ``passes`` times the words that the source
+itself has of the pattern.  Words beyond a pattern's first pass over its texts
+cost more, and each further pass more again (convex repetition costs), whichever
+source asks for them.  So a text that two sources share serves the one that
+needs it most, and is repeated only where other texts run out.
+
+Selection is seeded: within a pattern and source, documents are ordered by a hash
+of the seed and their id, one of each text first, and the plan's share is taken from the front; the one
 document at the border gives its first words.
 
-Nothing but (pattern, words) sums reaches the driver: at most
-``MAX_PATTERNS`` rows, which is checked.  Running sums over documents use two
-levels of hash buckets, so no task sorts a whole source.
+Nothing but sums by (pattern, source) reaches the driver.  The
+``MAX_PATTERNS`` largest patterns of several sources go through the flow as they
+are; documents of any other such pattern count as their own source's alone, so every
+source still meets its target, only repetitions across sources are then not
+weighed.  Sources are at most ``MAX_SOURCES``, which is checked.  Running sums over documents use two
+levels of hash buckets, so no task sorts a whole source, and texts with many
+copies are told to the documents by a bounded broadcast.
 
 Defined results: null text has size 0; a null source is its own source, after
 all others; documents of size 0 take 0 words; repeated rows are documents of
@@ -20,7 +29,7 @@ size; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -34,10 +43,11 @@ WEIGHTS = (5, 2, 1)
 #: The mix holds this share of all words.
 BUDGET = Fraction(3, 2)
 MAX_PASSES = 2
-#: Cost of a word on its first, second, ... pass.
-PASS_COST = (1, 4, 9, 16)
-#: Bound on the (pattern, words) rows that the driver's flow may get.
+#: Bounds on what the driver's flow may get.
 MAX_PATTERNS = 100_000
+MAX_SOURCES = 1_000_000
+#: A text is hot above this share of all documents; so there are at most HOT of them.
+HOT = 1000
 _BUCKETS = 4096
 
 
@@ -63,54 +73,58 @@ def fair_targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] =
     return target
 
 
-def min_cost_flow(supply: dict[tuple, int], quota: dict[str | None, int], passes: int = MAX_PASSES) -> dict[tuple[tuple, str | None], int]:
-    """Words that each pattern gives to each of its sources.
+def pass_cost(used: int, supply: int) -> tuple[int, int]:
+    """The cost of a pattern's next word, and the words used when it rises.
 
-    Successive shortest paths over patterns and sources.  A pattern has
-    ``passes`` parallel arcs of its supply with rising costs; an augmenting path
-    may take words back from another source.  Patterns with one source are the
-    usual case and settle in one augmentation.
+    Passes 1, 2, 3 and 4 cost 1, 4, 9 and 16 a word; from there the cost rises
+    whenever the passes double.
     """
-    flow: dict[tuple[tuple, str | None], int] = {}
-    used = dict.fromkeys(supply, 0)
-    need = dict(quota)
-    members: dict[str | None, list[tuple]] = {s: [] for s in quota}
-    for p in supply:
-        for s in p:
-            members.setdefault(s, []).append(p)
+    done = used // supply
+    step = done if done < 4 else done.bit_length() + 1
+    return (step + 1) ** 2, supply * (done + 1 if done < 4 else 1 << done.bit_length())
 
-    def marginal(p: tuple) -> tuple[int, int] | None:
-        done = used[p] // supply[p] if supply[p] else passes
-        return None if done >= passes else (PASS_COST[min(done, len(PASS_COST) - 1)], supply[p] * (done + 1) - used[p])
 
+def min_cost_flow(supply: dict[tuple, int], quota: dict[str | None, int], room: dict[tuple[tuple, str | None], int] | None = None, passes: int = MAX_PASSES) -> dict[tuple[tuple, str | None], int]:
+    """Words that each pattern gives to each of its sources.
+
+    ``room``: the most that a source takes of a pattern (default: ``passes``
+    times its supply).  Successive shortest paths over patterns and sources: an
+    augmenting path may take words back from another source, which costs
+    nothing, since a pattern's cost depends on its whole use.
+    """
+    if room is None:
+        room = {(p, s): passes * n for p, n in supply.items() for s in p}
+    most = {p: sum(room[p, s] for s in p) for p in supply}
+    flow, used, need = dict.fromkeys(room, 0), dict.fromkeys(supply, 0), dict(quota)
+    members: dict[str | None, list[tuple]] = {s: [] for s in quota}
+    for p, s in room:
+        members.setdefault(s, []).append(p)
     for s in sorted(quota, key=lambda s: (s is None, s or "")):
         while need[s] > 0:
-            # cheapest path from any pattern's next words to s, through sources that can hand words over
-            best, seen, heap, n = None, set(), [(0, 0, s, ())], 0
-            while heap:
-                cost, _, at, path = heapq.heappop(heap)
-                if at in seen:
-                    continue
-                seen.add(at)
-                if best and cost >= best[0]:
-                    break
+            best, seen, queue = None, {s}, deque([(s, ())])
+            while queue:
+                at, path = queue.popleft()
                 for p in members.get(at, ()):
-                    if m := marginal(p):
-                        if best is None or cost + m[0] < best[0]:
-                            best = (cost + m[0], p, m[1], (*path, (p, at)))
+                    if flow[p, at] >= room[p, at] or not supply[p]:
+                        continue
+                    way = (*path, (p, at))
+                    if used[p] < most[p] and (best is None or pass_cost(used[p], supply[p])[0] < best[0]):
+                        best = (pass_cost(used[p], supply[p])[0], p, way)
                     for t in p:
-                        if t not in seen and flow.get((p, t), 0) > 0:
-                            n += 1
-                            heapq.heappush(heap, (cost, n, t, (*path, (p, at))))
+                        if t not in seen and flow[p, t] > 0:
+                            seen.add(t)
+                            queue.append((t, way))
+                if best and best[0] == 1:
+                    break  # nothing is cheaper
             if best is None:
                 break
-            _, p, room, path = best
-            # path leads from s outwards: s took from path[0]'s pattern what the next source gives up
-            amount = min(need[s], room)
+            _, p, path = best
+            # path leads from s outwards: each source takes from its pattern what the next source gives up of it
+            amount = min(need[s], pass_cost(used[p], supply[p])[1] - used[p], most[p] - used[p], *(room[q, at] - flow[q, at] for q, at in path))
             for (q, _), (_, t) in zip(path, path[1:], strict=False):
                 amount = min(amount, flow[q, t])
             for i, (q, at) in enumerate(path):
-                flow[q, at] = flow.get((q, at), 0) + amount
+                flow[q, at] += amount
                 if i + 1 < len(path):
                     flow[q, path[i + 1][1]] -= amount
             used[p] += amount
@@ -118,61 +132,78 @@ def min_cost_flow(supply: dict[tuple, int], quota: dict[str | None, int], passes
     return {k: v for k, v in flow.items() if v}
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, budget: Fraction = BUDGET, passes: int = MAX_PASSES) -> DataFrame:
-    """(id, size, pattern, source_size, target, taken): ``taken`` words of each document.
+def membership(df: DataFrame) -> DataFrame:
+    """``df`` (id, size, source, h, t1, t2) with ``pattern`` and ``again`` (another row stands for the text in this source)."""
+    held = df.groupBy("t1", "t2", "source").agg(F.count("*").alias("n"), F.min(F.struct("h", "id")).alias("first"), F.max("size").alias("size"))
+    texts = held.groupBy("t1", "t2").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.collect_list(F.struct("source", "first")).alias("members"))
+    texts = keep(texts.where("n > 1 AND size > 0").drop("size"), "mix-texts")
+    n = df.count()
+    hot = F.col("n") * HOT > n
+    marked = df.join(F.broadcast(texts.where(hot)), ["t1", "t2"], "left")  # HOT rows at most
+    rest = marked.where("n IS NULL").drop("n", "members").join(texts.where(~hot), ["t1", "t2"], "left")
+    both = marked.where("n IS NOT NULL").unionByName(rest)
+    mine = F.get(F.filter("members", lambda m: m.source.eqNullSafe(F.col("source"))), F.lit(0)).first
+    pattern = F.when(F.col("members").isNull(), F.array("source")).otherwise(F.array_sort(F.transform("members", lambda m: m.source)))
+    return both.select("id", "size", "source", "h", "t1", "t2", pattern.alias("pattern"), F.when(F.col("members").isNull(), False).otherwise(~mine.id.eqNullSafe(F.col("id"))).alias("again"))
 
-    ``sources``: an array column of the sources that a document belongs to
-    (default: ``source`` alone).  For overlapping patterns ``source_size`` and
-    ``target`` are those of the pattern's first source.
-    """
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights: tuple[int, ...] = WEIGHTS, budget: Fraction = BUDGET, passes: int = MAX_PASSES) -> DataFrame:
+    """(id, size, source, pattern, source_size, target, taken): ``taken`` words of each document."""
     spark = docs.sparkSession
-    pattern = F.array(F.col("source")) if sources is None else F.array_sort(F.array_distinct(sources))
-    df = docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), pattern.alias("pattern"))
-    df = keep(df.withColumn("h", F.xxhash64(F.lit(seed), F.col("id"), F.col("pattern"))), "mix-sizes")
-    sums = df.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns: merge rare sources first")
-    supply = {tuple(r.pattern): int(r.words) for r in sums}
-    by_source: dict[str | None, int] = {}
-    for p, n in supply.items():
-        for s in p:
-            by_source[s] = by_source.get(s, 0) + n
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    df = docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(seed), text).alias("t2"))
+    # the sign bit is free: rows that repeat a text of their source come behind all others
+    df = keep(df.withColumn("h", F.xxhash64(F.lit(seed), F.col("id"), F.col("source"))), "mix-sizes")
+    df = membership(df).withColumn("h", F.shiftrightunsigned("h", 1).bitwiseOR(F.when(F.col("again"), F.lit(-(1 << 63))).otherwise(F.lit(0).cast("long"))))
+    df = keep(df, "mix-members")
+    by_source = {r.source: int(r.n) for r in df.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()}
+    if len(by_source) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: merge rare ones first")
+    wide = df.where(F.size("pattern") > 1).groupBy("pattern").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), F.col("pattern")).limit(MAX_PATTERNS)
+    wide = F.broadcast(keep(wide.select(F.col("pattern").alias("wide")), "mix-patterns"))  # MAX_PATTERNS at most
+    df = df.join(wide, df.pattern == wide.wide, "left").withColumn("pattern", F.coalesce("wide", F.array("source"))).drop("wide")
+    words: dict[tuple[tuple, str | None], int] = {}
+    supply: dict[tuple, int] = {}
+    # a text's words count once for its pattern, taken from its first source
+    once = F.when(~F.col("again") & F.col("source").eqNullSafe(F.get("pattern", F.lit(0))), F.col("size")).otherwise(0)
+    for r in df.groupBy("pattern", "source").agg(F.sum("size").alias("n"), F.sum(once).alias("texts")).collect():
+        p = tuple(r.pattern)
+        words[p, r.source] = int(r.n)
+        supply[p] = supply.get(p, 0) + int(r.texts)
     target = fair_targets(list(by_source.items()), weights, budget, passes)
-    flow = min_cost_flow(supply, {s: round(t) for s, t in target.items()}, passes)
-    rows = []
-    for p, n in supply.items():
-        take = sum(flow.get((p, s), 0) for s in p)
-        rows.append((list(p), by_source[p[0]] if p else 0, float(target[p[0]]) if p else 0.0, take // n if n else 0, take % n if n else 0))
-    schema = f"pattern {df.schema['pattern'].dataType.simpleString()}, source_size long, target double, full long, extra long"
-    quota = spark.createDataFrame(rows, schema)
-    # at most MAX_PATTERNS rows: safe to send to every task
-    df = df.join(F.broadcast(quota), df.pattern.eqNullSafe(quota.pattern), "left").drop(quota.pattern)
-    return _select(df).select(F.col("id").alias(id_col), "size", "pattern", "source_size", "target", "taken")
+    flow = min_cost_flow(supply, {s: round(t) for s, t in target.items()}, {k: passes * n for k, n in words.items()})
+    rows = [(list(p), s, by_source[s], float(target[s]), flow.get((p, s), 0) // n if n else 0, flow.get((p, s), 0) % n if n else 0) for (p, s), n in words.items()]
+    kind = df.schema["source"].dataType.simpleString()
+    quota = spark.createDataFrame(rows, f"p array<{kind}>, s {kind}, source_size long, target double, full long, extra long")
+    # bounded by the patterns' and sources' bounds: safe to send to every task
+    df = df.join(F.broadcast(quota), df.pattern.eqNullSafe(quota.p) & df.source.eqNullSafe(quota.s), "left").drop("p", "s")
+    df = df.withColumn("unit", F.struct("pattern", "source"))
+    return _select(df).select(F.col("id").alias(id_col), "size", "source", "pattern", "source_size", "target", "taken")
 
 
 def _select(df: DataFrame) -> DataFrame:
     """``taken`` = full passes and, from the front of the seeded order, ``extra`` words more.
 
-    Level 1 sums the sizes of _BUCKETS hash ranges a pattern, level 2 those of
+    Level 1 sums the sizes of _BUCKETS hash ranges a unit (pattern and source), level 2 those of
     the range in which ``extra`` runs out; only that second-level range is sorted.
     """
     df = df.withColumn("b1", F.shiftrightunsigned("h", 52).cast("int")).withColumn("b2", F.shiftrightunsigned("h", 40).bitwiseAND(F.lit(_BUCKETS - 1)).cast("int"))
 
     def border(rows: DataFrame, bucket: str, given: str, out: str) -> DataFrame:
         """The bucket where the running sum passes what is given, and the sum before it."""
-        sums = rows.groupBy("pattern", given, bucket).agg(F.sum("size").alias("s"))
-        run = F.sum("s").over(W.partitionBy("pattern").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1))
+        sums = rows.groupBy("unit", given, bucket).agg(F.sum("size").alias("s"))
+        run = F.sum("s").over(W.partitionBy("unit").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1))
         before = sums.withColumn("before", F.coalesce(run, F.lit(0)))
         cut = before.where((F.col("before") <= F.col(given)) & (F.col("before") + F.col("s") > F.col(given)))
-        return cut.select(F.col("pattern").alias("cut_pattern"), F.col(bucket).alias(f"cut_{bucket}"), (F.col(given) - F.col("before")).alias(out))
+        return cut.select(F.col("unit").alias("cut_unit"), F.col(bucket).alias(f"cut_{bucket}"), (F.col(given) - F.col("before")).alias(out))
 
-    # one row a pattern: bounded by MAX_PATTERNS
+    # one row a unit: bounded by the patterns and sources
     one = F.broadcast(border(df, "b1", "extra", "left1"))
-    df = df.join(one, df.pattern.eqNullSafe(one.cut_pattern), "left").drop("cut_pattern")
+    df = df.join(one, df.unit.eqNullSafe(one.cut_unit), "left").drop("cut_unit")
     inner = df.where("b1 = cut_b1")
     two = F.broadcast(border(inner, "b2", "left1", "left2"))
-    df = df.join(two, df.pattern.eqNullSafe(two.cut_pattern), "left").drop("cut_pattern")
-    order = W.partitionBy("pattern").orderBy("h", "size", "id").rowsBetween(W.unboundedPreceding, -1)
+    df = df.join(two, df.unit.eqNullSafe(two.cut_unit), "left").drop("cut_unit")
+    order = W.partitionBy("unit").orderBy("h", "size", "id").rowsBetween(W.unboundedPreceding, -1)
     at = (F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2"))
     last = df.where(at).withColumn("run", F.coalesce(F.sum("size").over(order), F.lit(0)))
     last = last.withColumn("more", F.greatest(F.lit(0), F.least("size", F.col("left2") - F.col("run"))))

@@ -118,20 +118,6 @@ def test_runs_move_by_node_only(spark):
     assert moves and all(re.match(r"hashpartitioning\(node#\d+, \d+\)", m) for m in moves), moves
 
 
-def test_mixing_targets(docs):
-    rows = mixing.plan_mix(docs).collect()
-    for source in {r.pattern[0] for r in rows}:
-        mine = [r for r in rows if r.pattern[0] == source]
-        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1.5 * len(mine)
-        assert all(0 <= r.taken <= 2 * r.size for r in mine) and mine[0].target <= 2 * mine[0].source_size
-
-
-def test_flow_with_overlaps():
-    flow = mixing.min_cost_flow({("a",): 10, ("a", "b"): 10}, {"a": 12, "b": 8})
-    assert flow.get((("a", "b"), "b"), 0) == 8 and sum(v for (p, s), v in flow.items() if s == "a") == 12
-    assert sum(v for (p, _), v in flow.items() if p == ("a",)) == 10  # no second pass where first passes are left
-
-
 def test_apply_mix_cuts_words(spark):
     d = spark.createDataFrame([(1, " one  two three ")], "doc_id long, text string")
     plan = spark.createDataFrame([(1, 3, 5)], "doc_id long, size long, taken long")
