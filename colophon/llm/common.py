@@ -2,8 +2,8 @@
 
 Intermediate tables that cut lineage are written below the folder that the
 session names in ``spark.checkpoint.dir``; every executor sees that folder, so a
-lost executor costs only the tasks it ran.  Where the setting is missing (unit
-tests), a folder is made and set once per session.
+lost executor costs only the tasks it ran.  Where the setting is missing, a local
+session (unit tests) gets a folder of its own, and any other raises an error.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, as the session names it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-colophon-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-colophon-")  # one machine: unit tests
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -99,6 +101,24 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(sorted_keys)))
 
 
+#: A key is hot if it holds more than this share of the rows; so there are at most HOT of them.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``, one row a key, whose ``count`` says how many of the ``total`` rows have the key.
+
+    Facts of hot keys are sent to every task (HOT rows at most, since the counts
+    add up to the total), so their rows stay where they are; the others are joined by a shuffle.
+    ``how`` is inner or left.
+    """
+    hot = F.col(count) * HOT > total
+    marked = rows.join(F.broadcast(facts.where(hot)), keys, "left")
+    new = [c for c in facts.columns if c not in keys]
+    rest = marked.where(F.col(count).isNull()).drop(*new).join(facts.where(~hot), keys, how)
+    return marked.where(F.col(count).isNotNull()).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list: (node, component), component = least node.
 

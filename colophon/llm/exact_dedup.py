@@ -28,12 +28,10 @@ from math import ceil, log2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, keep, partitions
+from .common import SPACE, join_hot, keep, partitions
 
 #: Bits of the digest that one round settles: each round merges 2**RADIX_BITS runs.
 RADIX_BITS = 2
-#: A group is hot above this share of all rows; so there are at most HOT of them.
-HOT = 1000
 
 
 def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,8 +69,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = keep(digest_runs(docs, id_col, text_col), "digest-runs")
     groups = keep(merge_runs(runs), "digest-groups")
     n = groups.agg(F.sum("group_size")).first()[0] or 0
-    keys, hot = ["digest", "sha", "norm_len"], F.col("group_size") * HOT > n
-    marked = runs.join(F.broadcast(groups.where(hot)), keys, "left")  # HOT rows at most
-    rest = marked.where("group_size IS NULL").drop("keep_id", "group_size").join(groups.where(~hot), keys)
-    joined = marked.where("group_size IS NOT NULL").unionByName(rest)
+    joined = join_hot(runs, groups, ["digest", "sha", "norm_len"], "group_size", n)
     return joined.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -8,7 +8,16 @@ shingles first (Chaudhuri et al., 2006), and the inverted lists are scanned.
 The boundary is where the two costs, over the sizes that the corpus has, add up
 to the least (after Deng, Tao and Li, 2018).
 
-Scanning a list never emits its pairs.  Within a task, arrays compare parity
+Large groups of near copies are linked first by stars: classes that share a band
+of minima (one-permutation hashing) with STAR others or more are verified against
+the group's least class alone.  That joins most of a group by as many pairs as
+it has members; it decides nothing by itself, since the lists find every link
+that the stars miss.
+
+Scanning a list never emits its pairs, and a list never compares classes that
+are joined already: members stand in the order of their components, and meet
+those of other components only.  Lists above LIST members are dealt by pairs of
+blocks over many tasks.  Within a task, arrays compare parity
 sketches, whose Hamming distance bounds the symmetric difference from below, and
 sizes; each class then names only its few least partners above a cursor, from
 other components.  Named pairs are verified on the whole sets, links merge
@@ -41,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, batch, components, keep, mix64, partitions, runs
+from .common import BUCKET_BYTES, batch, components, join_hot, keep, mix64, partitions, runs
 
 WORDS = 4
 #: Documents link when DEN * intersection >= NUM * union.
@@ -57,6 +66,10 @@ SKETCH_BITS = 2
 FOLD = 4
 #: Partners that a class names in the first, second, ... scan.
 NAMES = (1, 4, 16, 64)
+#: Bands of a set's minima, minima in a band, and classes with a band in common that make a star.
+BANDS, BAND, STAR = 6, 3, 16
+#: Members of a list that one task compares, about.
+LIST = 4096
 FLUSH = 4 << 20
 #: Pairs that one round of array work compares.
 PAIRS = 1 << 20
@@ -117,6 +130,19 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def bands(s: np.ndarray) -> list[int] | None:
+    """Keys of the bands of a sorted set's minima; a range without an element takes the next element."""
+    n = BANDS * BAND
+    if len(s) <= MAX_LIGHT:
+        return None
+    edges = (np.arange(n, dtype=np.uint64) * np.uint64((1 << 64) // n)).astype(np.uint64)
+    least = s[np.searchsorted(s, edges) % len(s)].reshape(BANDS, BAND)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(BAND):
+        out = mix64(out + least[:, k])
+    return out.view(np.int64).tolist()
+
+
 def fold(raw: bytes, times: int = FOLD) -> bytes:
     """A sketch with ``times`` as few cells: halves are XORed."""
     x = np.frombuffer(raw, np.uint64)
@@ -133,16 +159,16 @@ def _rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int,
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
-    """(kind, id, n, c, sketch): kind 0 documents with set size and class, kind 1 shingles and their count in a task.
+    """(kind, id, n, c, sketch, bands): kind 0 documents with set size and class, kind 1 shingles and their count in a task.
 
-    A class's sketch stands once in a task at least.
+    A class's sketch and bands stand once in a task at least.
     """
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         out: list[tuple[int, int, int]] = []
-        marks: list[bytes | None] = []
+        marks: list[tuple[bytes | None, list[int] | None]] = []
         size, seen = 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -150,12 +176,12 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
             often = n >= 2
             token, n = token[often].view(np.int64), n[often].astype(np.int64)
             ids, ns, cs = (np.array(x, np.int64) for x in (zip(*out, strict=True) if out else ([], [], [])))
-            yield batch(schema, kind=pa.array(np.repeat(np.int32([0, 1]), [len(ids), len(token)])), id=pa.array(np.concatenate([ids, token])), n=pa.array(np.concatenate([ns, n])), c=pa.array(np.concatenate([cs, np.zeros(len(token), np.int64)])), sketch=marks + [None] * len(token))
+            yield batch(schema, kind=pa.array(np.repeat(np.int32([0, 1]), [len(ids), len(token)])), id=pa.array(np.concatenate([ids, token])), n=pa.array(np.concatenate([ns, n])), c=pa.array(np.concatenate([cs, np.zeros(len(token), np.int64)])), sketch=[m[0] for m in marks] + [None] * len(token), bands=[m[1] for m in marks] + [None] * len(token))
 
         for doc_id, s in _rows(batches, words):
             c = class_id(s)
             out.append((doc_id, len(s), c))
-            marks.append(sketch(s) if c not in seen and len(s) else None)
+            marks.append((sketch(s), bands(s)) if c not in seen and len(s) else (None, None))
             if c not in seen:
                 seen.add(c)
                 held.append(s)
@@ -166,7 +192,7 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
         if out:
             yield from flush()
 
-    return docs.mapInArrow(work, "kind int, id long, n long, c long, sketch binary")
+    return docs.mapInArrow(work, "kind int, id long, n long, c long, sketch binary, bands array<long>")
 
 
 def _light(s: np.ndarray, limit: int, num: int, den: int) -> tuple[list[int], list[int]]:
@@ -282,15 +308,21 @@ class _Scan:
         self.sketch = np.frombuffer(b"".join(raw), np.uint64)
         key = pdf["key"].to_numpy(np.int64)
         member = np.searchsorted(ids, pdf["c"].to_numpy(np.int64))
-        order = np.lexsort((member, key))
+        order = np.lexsort((member, self.comp[member], key))
         self.member = member[order]
         self.at, self.size = runs(key[order])
+        # where a member's component starts in its list
+        comp, key = self.comp[self.member], key[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])
+        begin = np.flatnonzero(new)
+        self.own = begin[np.cumsum(new) - 1] if len(order) else np.zeros(0, np.int64)
 
     def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (larger, smaller) of each list, about PAIRS at a time."""
-        # the k-th member of a list meets the k before it
-        before = np.arange(len(self.member)) - np.repeat(self.at, self.size)
+        """Index pairs (larger, smaller) of each list's members in different components, about PAIRS at a time."""
+        # a member meets the components before its own
         base = np.repeat(self.at, self.size)
+        before = self.own - base
         ends = np.cumsum(before)
         lo = 0
         while lo < len(before):
@@ -298,7 +330,8 @@ class _Scan:
             n = before[lo:hi]
             x = np.repeat(np.arange(lo, hi), n)
             y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(base[lo:hi], n)
-            yield self.member[x], self.member[y]
+            x, y = self.member[x], self.member[y]
+            yield np.maximum(x, y), np.minimum(x, y)
             lo = hi
 
     def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -323,7 +356,7 @@ class _Scan:
         """Codes larger * m + smaller of the pairs that neither size nor sketch nor component excludes."""
         m = len(self.ids)
         for x, y in self.blocks():
-            ok = (self.comp[x] != self.comp[y]) & (self.ids[y] > self.cursor[x])
+            ok = self.ids[y] > self.cursor[x]
             small, large = np.minimum(self.n[x], self.n[y]), np.maximum(self.n[x], self.n[y])
             ok &= self.den * small >= self.num * large
             key = np.unique(x[ok] * m + y[ok])
@@ -349,6 +382,38 @@ class _Scan:
         return self.ids[hit]
 
 
+def _split(lists: DataFrame) -> DataFrame:
+    """Lists above LIST members as lists of two of their blocks each, so that any two members meet in one."""
+    parts = F.ceil(F.col("m") * 2 / F.lit(LIST)).cast("int")
+    long = lists.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > LIST).withColumn("parts", parts)
+    long = keep(long, "long-lists")
+    if long.isEmpty():
+        return lists
+    marked = join_hot(lists, long, ["key"], "m", lists.count(), "left")
+    mine = F.pmod(F.xxhash64("c"), "parts").cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != mine)
+    pairs = F.transform(others, lambda p: F.xxhash64("key", F.least(p, mine), F.greatest(p, mine)))
+    return marked.select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)).alias("key"), "c", "n")
+
+
+def _open(lists: DataFrame, state: DataFrame) -> DataFrame:
+    """The lists whose members are not all joined."""
+    ends = lists.join(state.select("c", "comp"), "c").groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"))
+    return lists.join(ends.where("p <> q").select("key"), "key")
+
+
+def _stars(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(x, y): verified links of classes to the least class of a large group with a band in common."""
+    keys = classes.where("bands IS NOT NULL").select("c", F.explode("bands").alias("key"))
+    groups = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("y")).where(F.col("m") >= STAR)
+    groups = keep(groups, "bands")
+    found = join_hot(keys, groups, ["key"], "m", classes.count() * BANDS).where("c <> y")
+    pairs = keep(found.select(F.col("c").alias("x"), "y").distinct(), "stars")
+    ids = pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct()
+    wanted = classes.join(ids, "c", "left_semi").select(F.col("first").alias("id"), "c")
+    return keep(_verified(pairs, _sets(docs, wanted, words), num, den), "star-links")
+
+
 def _bucketed(lists: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
     rows = lists.join(state, "c").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
     return rows.select("bucket", "key", "c", "n", "comp", "cursor", "sketch").groupBy("bucket")
@@ -408,22 +473,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nameless = profiles(docs.where("id IS NULL").select(F.lit(0).cast("long").alias("id"), "text"), words).where("kind = 0")
     docs = docs.where("id IS NOT NULL")
     both = keep(profiles(docs, words), "profiles")
-    prof = both.where("kind = 0").select("id", "n", "c", "sketch")
+    prof = both.where("kind = 0").select("id", "n", "c", "sketch", "bands")
     n_docs = prof.count()
     often = both.where("kind = 1").groupBy("id").agg(F.sum("n").alias("df")).where(F.col("df") >= max(8, n_docs // FREQUENT))
     often = often.orderBy(F.col("df").desc(), "id").limit(MAX_FREQUENT).select("id").toArrow()  # MAX_FREQUENT at most
     frequent = spark.sparkContext.broadcast(np.sort(often.column("id").to_numpy().view(np.uint64)))
-    classes = keep(prof.where("n > 0").groupBy("c").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
+    classes = keep(prof.where("n > 0").groupBy("c").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")), "classes")
     sizes = {r.n: r.k for r in classes.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").agg(F.count("*").alias("k")).collect()}
     limit = choose_boundary(sizes, num, den)
     total = classes.agg(F.sum(F.col("n"))).first()[0] or 0
     buckets = max(partitions(spark), int(total * (den - num) / den * _POSTING.itemsize / BUCKET_BYTES) + 1)
     lists = keep(_lists(_post(docs, words, limit, frequent, buckets, num, den)), "lists")
     links = lists.where("kind = 2").select(F.col("key").alias("x"), F.col("c").alias("y"))
-    lists = lists.where("kind = 1").select("key", "c", "n")
+    lists = _split(lists.where("kind = 1").select("key", "c", "n"))
+    stars = _stars(docs, classes, words, num, den)
+    links = links.unionByName(stars)
     labels = keep(components(links, "x", "y").select("node", F.col("component").alias("comp")), "labels")
     start = classes.select("c", "sketch").join(lists.select("c").distinct(), "c").join(labels.withColumnRenamed("node", "c"), "c", "left")
     state = start.select("c", "sketch", F.coalesce("comp", "c").alias("comp"), F.lit(-(1 << 63)).cast("long").alias("cursor"))
+    if not stars.isEmpty():
+        state = keep(state, "scan0")
+        lists = keep(_open(lists, state), "lists")
     touched = keep(_touched(lists, state, buckets, num, den), "touched")
     state = keep(state.join(touched, "c", "left_semi"), "scan0")
     lists = keep(lists.join(touched, "c", "left_semi").select("key", "c", "n"), "lists")
@@ -444,8 +514,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # light sets outside the lists follow their component
         labels = keep(labels.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
         # lists whose members are all joined have nothing more to say
-        open_ = lists.join(state.select("c", "comp"), "c").groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("key")
-        lists = keep(lists.join(open_, "key"), "lists")
+        lists = keep(_open(lists, state), "lists")
     else:
         raise RuntimeError("the scans did not settle")
     scanned = state.select("c", "comp")

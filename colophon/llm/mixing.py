@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, keep
+from .common import WORD, join_hot, keep
 
 #: Weights of the sources by code point, repeating; null comes last.
 WEIGHTS = (5, 2, 1)
@@ -46,8 +46,6 @@ MAX_PASSES = 2
 #: Bounds on what the driver's flow may get.
 MAX_PATTERNS = 100_000
 MAX_SOURCES = 1_000_000
-#: A text is hot above this share of all documents; so there are at most HOT of them.
-HOT = 1000
 _BUCKETS = 4096
 
 
@@ -137,11 +135,7 @@ def membership(df: DataFrame) -> DataFrame:
     held = df.groupBy("t1", "t2", "source").agg(F.count("*").alias("n"), F.min(F.struct("h", "id")).alias("first"), F.max("size").alias("size"))
     texts = held.groupBy("t1", "t2").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.collect_list(F.struct("source", "first")).alias("members"))
     texts = keep(texts.where("n > 1 AND size > 0").drop("size"), "mix-texts")
-    n = df.count()
-    hot = F.col("n") * HOT > n
-    marked = df.join(F.broadcast(texts.where(hot)), ["t1", "t2"], "left")  # HOT rows at most
-    rest = marked.where("n IS NULL").drop("n", "members").join(texts.where(~hot), ["t1", "t2"], "left")
-    both = marked.where("n IS NOT NULL").unionByName(rest)
+    both = join_hot(df, texts, ["t1", "t2"], "n", df.count(), "left")
     mine = F.get(F.filter("members", lambda m: m.source.eqNullSafe(F.col("source"))), F.lit(0)).first
     pattern = F.when(F.col("members").isNull(), F.array("source")).otherwise(F.array_sort(F.transform("members", lambda m: m.source)))
     return both.select("id", "size", "source", "h", "t1", "t2", pattern.alias("pattern"), F.when(F.col("members").isNull(), False).otherwise(~mine.id.eqNullSafe(F.col("id"))).alias("again"))
