@@ -81,14 +81,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """The documents' token pieces: only documents over ``capacity`` are cut, and their first piece takes the odd rest."""
-    folder = folder or tokenizer_folder()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = folder or tokenizer_folder()  # where this executor has it
         for b in batches:
             out: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.array([*encode([text.as_py() or ""], folder)[0], END], "<u4")
+                ids = np.array([*encode([text.as_py() or ""], place)[0], END], "<u4")
                 first = (len(ids) - 1) % capacity + 1
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 out += [(doc_id, k, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
