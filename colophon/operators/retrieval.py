@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
 #: Queries and rows that meet in one task of a dense search, about.
 QUERY_BLOCK, ROW_BLOCK = 1024, 16384
+#: Scores that one array operation of a keyword search holds.
+CELLS = 1 << 22
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -76,29 +80,84 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of the documents that share a term; both sides have (id, text).
+def bm25_weights(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, float]:
+    """(query_id, term, weight) of the asked terms, and the documents' mean length.
 
     Terms that most documents hold have a negative idf, replaced by EPSILON times
-    the mean idf; a term counts as often as the query repeats it.
+    the mean idf of all terms; a term counts as often as the query repeats it.
     """
-    words = docs.select(F.col("id").alias("doc_id"), tokens(F.col("text")).alias("w"))
-    length = words.select("doc_id", F.size("w").alias("len"))
+    words = docs.select(tokens(F.col("text")).alias("w"))
+    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.select("term", (F.log(F.lit(stats.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    # one pass over the vocabulary gives the asked terms' values and the mean
     asked = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    # counts in documents are only needed for asked terms; document frequencies feed the mean idf
-    tf = words.select("doc_id", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    stats = length.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))  # one row
-    idf = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
-    hits = asked.join(idf, "term").join(tf, "term").join(length, "doc_id")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    both = raw.join(asked, "term").join(F.broadcast(mean))  # one row
+    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
+    return both.select("query_id", "term", (F.col("qtf") * idf).alias("weight")), float(stats.avgdl or 1.0)
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    return ranked(bm25_scores(docs, queries), k)
+    """(query_id, doc_id, score, rank): both sides have (id, text); a document without a shared term scores 0 and may fill up the list.
+
+    Queries are taken QUERY_BLOCK at a time; their weighted terms go to every
+    task, which scores its documents as they pass and keeps k of them a query.  So
+    a stop word never pairs documents with queries over a shuffle.
+    """
+    spark = docs.sparkSession
+    weights, avgdl = bm25_weights(docs, queries)
+    weights = weights.persist()
+    ids = queries.select("id").distinct()
+    blocks = max(1, -(-ids.count() // QUERY_BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    rows = docs.select("id", tokens(F.col("text")).alias("w"))
+    found = None
+    for at in range(blocks):
+        asked = np.array(sorted(r.id for r in ids.where(block("id") == at).collect()), np.int64)  # QUERY_BLOCK, about
+        held = weights.where(block("query_id") == at).toArrow()  # the terms of these queries
+        terms = held.column("term").combine_chunks().dictionary_encode()
+        query = np.searchsorted(asked, held.column("query_id").to_numpy())
+        term = terms.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(term, kind="stable")
+        sent = spark.sparkContext.broadcast((asked, terms.dictionary, term[order], query[order], held.column("weight").to_numpy()[order], avgdl))
+        part = rows.mapInArrow(_scorer(sent, k), "query_id long, doc_id long, score double")
+        found = part if found is None else found.unionByName(part)
+    return ranked(found, k)
+
+
+def _scorer(sent, k: int):
+    def work(batches):
+        asked, terms, term, query, weight, avgdl = sent.value
+        n_terms, n_asked = len(terms), len(asked)
+        begin = np.searchsorted(term, np.arange(n_terms + 1))
+        best: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for b in batches:
+            ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(ids)), size)
+            pair, tf = np.unique((row * n_terms + known)[known >= 0], return_counts=True)
+            row, of = pair // max(n_terms, 1), pair % max(n_terms, 1)
+            value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / avgdl))
+            step = max(1, CELLS // max(1, n_asked))
+            for lo in range(0, len(ids), step):
+                mine = slice(*np.searchsorted(row, [lo, lo + step]))
+                fan = begin[of[mine] + 1] - begin[of[mine]]
+                post = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan - begin[of[mine]], fan)
+                cell = query[post] * step + np.repeat(row[mine] - lo, fan)
+                score = np.bincount(cell, np.repeat(value[mine], fan) * weight[post], n_asked * step).reshape(n_asked, step)[:, : len(ids) - lo]
+                score = np.round(score, 6)
+                rank = np.lexsort((np.broadcast_to(ids[lo : lo + step], score.shape), -score), axis=1)[:, :k]
+                new = [np.repeat(asked, rank.shape[1]), ids[lo : lo + step][rank].ravel(), np.take_along_axis(score, rank, 1).ravel()]
+                best = [np.concatenate(x) for x in zip(best, new, strict=True)]
+                order = np.lexsort((best[1], -best[2], best[0]))
+                best = [x[order] for x in best]
+                first = np.searchsorted(best[0], best[0])
+                best = [x[np.arange(len(first)) - first < k] for x in best]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query_id", "doc_id", "score"])
+
+    return work
 
 
 def minmax(found: DataFrame) -> DataFrame:
@@ -109,18 +168,27 @@ def minmax(found: DataFrame) -> DataFrame:
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, k: int = 5, wv: float = VECTOR_WEIGHT, wk: float = KEYWORD_WEIGHT) -> DataFrame:
-    """Weighted sum of the two normalised lists; a missing side counts 0; vector order breaks ties."""
+    """Weighted sum of the two normalised lists; a missing side counts 0; vector order breaks ties.
+
+    A query without any vector result is ranked by keywords alone, with weight 1.
+    """
     v = minmax(vector).select("query_id", "doc_id", F.col("norm").alias("nv"), F.col("rank").alias("rv"))
     t = minmax(keyword).select("query_id", "doc_id", F.col("norm").alias("nk"), F.col("rank").alias("rk"))
     both = v.join(t, ["query_id", "doc_id"], "full")
-    both = both.withColumn("score", F.round(wv * F.coalesce("nv", F.lit(0.0)) + wk * F.coalesce("nk", F.lit(0.0)), 6))
+    alone = F.max("nv").over(W.partitionBy("query_id")).isNull()
+    score = F.when(alone, F.col("nk")).otherwise(wv * F.coalesce("nv", F.lit(0.0)) + wk * F.coalesce("nk", F.lit(0.0)))
+    both = both.withColumn("score", F.round(score, 6))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("rv").asc_nulls_last(), F.col("rk").asc_nulls_last(), "doc_id")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
-def hybrid_topk(docs: DataFrame, vectors: DataFrame, texts: DataFrame, query_vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Both searches over-fetch 2k, then fuse."""
-    return fuse(dense_topk(vectors, query_vectors, 2 * k), bm25_topk(docs, texts, 2 * k), k)
+def hybrid_topk(docs: DataFrame, vectors: DataFrame, texts: DataFrame, query_vectors: DataFrame, k: int = 5, base: DataFrame | None = None) -> DataFrame:
+    """Both searches over-fetch 2k, then fuse; with ``base`` (doc_id) they fetch 4k, and only its documents stay after fusion."""
+    if base is None:
+        return fuse(dense_topk(vectors, query_vectors, 2 * k), bm25_topk(docs, texts, 2 * k), k)
+    both = fuse(dense_topk(vectors, query_vectors, 4 * k), bm25_topk(docs, texts, 4 * k), 8 * k).withColumnRenamed("rank", "order")
+    order = W.partitionBy("query_id").orderBy("order")
+    return both.join(base.distinct(), "doc_id", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
 def ranking_metrics(found: DataFrame, k: int = 5) -> DataFrame:

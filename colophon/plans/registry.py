@@ -30,8 +30,26 @@ s AS (SELECT count(*) AS n, avg(len) AS avgdl FROM l),
 r AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw, avgdl FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
 i AS (SELECT term, avgdl, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
 q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
-b AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score
-      FROM q JOIN i USING (term) JOIN tf USING (term) JOIN l USING (doc_id) GROUP BY ALL)"""
+h AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score
+      FROM q JOIN i USING (term) JOIN tf USING (term) JOIN l USING (doc_id) GROUP BY ALL),
+b AS (SELECT item_id AS query_id, l.doc_id, round(coalesce(score, 0), 6) AS score
+      FROM (SELECT item_id FROM benchmark) a CROSS JOIN l LEFT JOIN h ON h.query_id = item_id AND h.doc_id = l.doc_id)"""
+
+
+def hybrid_sql(fetch: int, where: str = "TRUE") -> str:
+    """Both lists of ``fetch`` rows, normalised, fused and filtered."""
+    spread = "CASE WHEN max(score) OVER (PARTITION BY query_id) = min(score) OVER (PARTITION BY query_id) THEN 1 ELSE (score - min(score) OVER (PARTITION BY query_id)) / (max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id)) END"
+    return f"""WITH {DENSE},{BM25},
+d AS (SELECT a.vec_id AS query_id, x.vec_id AS doc_id, round(list_dot_product(a.e, x.e), 6) AS score FROM n a JOIN n x ON a.vec_id IN (SELECT item_id FROM benchmark)),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rv FROM d QUALIFY rv <= {fetch}),
+br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM b QUALIFY rk <= {fetch}),
+dn AS (SELECT query_id, doc_id, rv, {spread} AS nv FROM dr),
+bn AS (SELECT query_id, doc_id, rk, {spread} AS nk FROM br),
+f AS (SELECT coalesce(dn.query_id, bn.query_id) AS query_id, coalesce(dn.doc_id, bn.doc_id) AS doc_id, rv, rk, nv, nk
+      FROM dn FULL JOIN bn ON dn.query_id = bn.query_id AND dn.doc_id = bn.doc_id),
+g AS (SELECT *, round(CASE WHEN max(nv) OVER (PARTITION BY query_id) IS NULL THEN nk ELSE 0.7 * coalesce(nv, 0) + 0.3 * coalesce(nk, 0) END, 6) AS score FROM f)
+SELECT query_id, doc_id, round(score, 3) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY g.score DESC, rv NULLS LAST, rk NULLS LAST, doc_id) AS INTEGER) AS rank
+FROM g WHERE {where} QUALIFY rank <= 5"""
 
 
 @query(f"""WITH {DENSE},
@@ -52,12 +70,22 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25_topk(docs, asked, 5).withColumn("score", F.round("score", 3))
 
 
-@query()
-def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+def _hybrid(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return retrieval.hybrid_topk(docs, v, asked, v.join(asked.select("id"), "id", "left_semi"), 5)
+    return retrieval.hybrid_topk(docs, v, asked, v.join(asked.select("id"), "id", "left_semi"), 5, base).withColumn("score", F.round("score", 3))
+
+
+@query(hybrid_sql(10))
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d)
+
+
+@query(hybrid_sql(20, "doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"))
+def hybrid_in_base(spark: SparkSession, d: str) -> DataFrame:
+    """One language's documents are the base: the filter comes after fusion."""
+    return _hybrid(spark, d, read(spark, d, "documents").where("lang = 'en'").select("doc_id"))
 
 
 @query(f"""WITH {DENSE},
