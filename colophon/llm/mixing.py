@@ -112,8 +112,9 @@ def min_cost_flow(supply: dict[tuple, int], quota: dict[str | None, int], room:
                         if t not in seen and flow[p, t] > 0:
                             seen.add(t)
                             queue.append((t, way))
-                if best and best[0] == 1:
-                    break  # nothing is cheaper
+                    if best and best[0] == 1:
+                        queue.clear()  # nothing is cheaper
+                        break
             if best is None:
                 break
             _, p, path = best
