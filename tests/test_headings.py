@@ -24,7 +24,7 @@ def test_abstract_and_title(spark):
     text = "A Title.\n\nABSTRACT\nWe  show\nKeywords: none\nthis.\n\n1. Introduction\nbody"
     df = spark.createDataFrame([(text,), ("no such thing",), ("\n  \n -- First  line: \nx",)], "t string")
     got = df.select(H.abstract(F.col("t")).alias("a"), H.first_line_title(F.col("t")).alias("f")).collect()
-    assert [r.a for r in got] == ["We show this.", "", ""] and [r.f for r in got] == ["A Title", "no such thing", "First  line".replace("  ", " ")]
+    assert [r.a for r in got] == ["We show", "", ""] and [r.f for r in got] == ["A Title", "no such thing", "First  line".replace("  ", " ")]
 
 
 def test_lines_of_a_page(spark):
