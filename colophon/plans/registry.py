@@ -383,4 +383,4 @@ def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", html.html_to_markdown("html").alias("markdown"))
 
 
-from colophon.plans import library_queries, paper_queries, structure_queries  # noqa: E402, F401  (they register themselves)
+from colophon.plans import library_queries, paper_queries, payload_queries, structure_queries  # noqa: E402, F401  (they register themselves)
