@@ -226,6 +226,30 @@ def test_substring(spark):
         assert (r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) == want[r.doc_id]
 
 
+@pytest.mark.parametrize("many", [4096, 8])
+def test_substring_of_many_surroundings(spark, monkeypatch, many):
+    monkeypatch.setattr(substring_dedup, "MANY", many)
+    calls, compare = [], substring_dedup._compare_windows
+    monkeypatch.setattr(substring_dedup, "_compare_windows", lambda docs, large: calls.append(large.count()) or compare(docs, large))
+    rng = random.Random(13)
+    line = "A short line that stands in very many of the documents, é."
+    longer = "B" + "".join(rng.choices("abcdef ", k=130))
+    word = lambda: "".join(rng.choices("pqrstuvw ", k=rng.randrange(20, 90)))
+    rows = [(i, "".join(word() + rng.choice([line, longer, line, ""]) for _ in range(rng.randrange(1, 6)))) for i in range(200)]
+    rows += [(1000 + i, t[rng.randrange(len(t) // 2) :]) for i, t in rng.sample(rows, 40)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    want = brute(rows)
+    assert {r.doc_id: (r.n_removed, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got} == want
+    assert bool(calls) == (many == 8) and all(n > 200 for n in calls)
+
+
+def test_substring_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = brute([tuple(r) for r in docs.collect()])
+    got = substring_dedup.digest(substring_dedup.remove_repeats(docs)).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want
+
+
 def brute(rows):
     seen, out = set(), {}
     for doc_id, text in sorted(rows):
