@@ -88,6 +88,43 @@ def report_markdown(report: Column, labels: tuple[str, ...] = REPORT_FIELDS, mis
     return F.array_join(F.array(*blocks), "\n\n")
 
 
+def report_of_reply(reply: Column, paper_id: Column, title: Column, missing: str = "no evidence") -> Column:
+    """struct(report, citations) of a reply's object: every field has a text, and citations carry the given paper, whatever they say."""
+    p = F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")), "struct<report:map<string,string>,citations:array<struct<paper_id:string,paper_title:string,chunk_id:string,quote:string>>>")
+    fields = [F.coalesce(F.try_element_at(p["report"], F.lit(k)), F.lit("[]" if k == "terms" else missing)).alias(k) for k in REPORT_FIELDS]
+    own = F.transform(F.filter(p["citations"], lambda c: c.chunk_id.isNotNull() & c.quote.isNotNull()), lambda c: F.struct(paper_id.alias("paper_id"), title.alias("paper_title"), c.chunk_id.alias("chunk_id"), c.quote.alias("quote")))
+    return F.struct(F.struct(*fields).alias("report"), F.coalesce(own, F.array().cast("array<struct<paper_id:string,paper_title:string,chunk_id:string,quote:string>>")).alias("citations"))
+
+
+def layout_heading(block: Column) -> Column:
+    """struct(title, level) of a layout block that is a heading: a title block, or a text block with a level; 120 characters at most."""
+    get = lambda k: F.get_json_object(block, k)
+    kind = get("$.type")
+    title = F.when(kind == "title", get("$.content.title_content")).when((kind == "text") & get("$.text_level").isNotNull(), get("$.text"))
+    level = F.when(kind == "title", get("$.content.level")).otherwise(get("$.text_level")).try_cast("int")
+    text = strip(F.regexp_replace(strip(title), r"^#+\s*", ""))
+    return F.when((F.coalesce(text, F.lit("")) != "") & (F.length(text) <= 120), F.struct(text.alias("title"), F.coalesce(level, F.lit(1)).alias("level")))
+
+
+OWN_FIELDS = ("paper_id", "section", "page_start", "page_end", "char_start", "char_end")
+
+
+def chunk_metadata(extra: Column) -> Column:
+    """A chunk's own fields beside its other metadata, as one map of texts."""
+    return F.map_concat(F.map_filter(extra, lambda k, _: ~k.isin(*OWN_FIELDS)), F.create_map(*[x for c in OWN_FIELDS for x in (F.lit(c), F.col(c).cast("string"))]))
+
+
+def chunk_of_metadata(meta: Column, content: Column) -> Column:
+    """struct of a chunk's own fields from its metadata, with their defaults, and ``extra``, what is left."""
+    get = lambda k: F.try_element_at(meta, F.lit(k))
+    number = lambda k, default: F.coalesce(get(k).cast("int"), default).alias(k)
+    first = F.coalesce(get("page_start").cast("int"), F.lit(1))
+    return F.struct(
+        get("paper_id").cast("int").alias("paper_id"), F.coalesce(get("section"), F.lit("")).alias("section"), number("page_start", F.lit(1)), number("page_end", first), number("char_start", F.lit(0)), number("char_end", F.length(content)),
+        F.map_filter(meta, lambda k, _: ~k.isin(*OWN_FIELDS)).alias("extra"),
+    )
+
+
 def reply_text(reply: Column) -> Column:
     """A reply's text: an object gives its ``content``, a list its parts' ``text``."""
     t = strip(F.coalesce(reply, F.lit("")))

@@ -7,8 +7,11 @@ join is by page.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colophon.operators.folds import sorted_fold
+
 
 def scaled(boxes: DataFrame, width: float, height: float, least: float = 0.001, area: float = 0.002) -> DataFrame:
     """Thousandths of a page as points; thin and tiny boxes go."""
@@ -52,3 +55,32 @@ def inside(words: DataFrame, boxes: DataFrame, slack: float = 0.5) -> DataFrame:
     b = boxes.select("page", F.col("id").alias("box"), "x0", "y0", "x1", "y1")
     hit = F.col("cx").between(F.col("x0") - slack, F.col("x1") + slack) & F.col("cy").between(F.col("y0") - slack, F.col("y1") + slack)
     return w.join(b, "page").where(hit).groupBy("page", "box").agg(F.count("*").alias("n_words"))
+
+
+def word_rows(words: DataFrame, slack: float = 2.5) -> DataFrame:
+    """Adds ``row``: words from top to bottom share a row while their tops are within ``slack`` of its first word's.
+
+    words: (page, id, x0, y0).
+    """
+
+    def step(state, word):
+        row, top = state or (-1, None)
+        if top is not None and abs(word.y0 - top) <= slack:
+            return (row, top), row
+        return (row + 1, word.y0), row + 1
+
+    return sorted_fold(words.select("page", "id", "x0", "y0"), "page", ["y0", "x0", "id"], step, "row", "int")
+
+
+def reading_order(words: DataFrame, width: float) -> DataFrame:
+    """Adds ``place``: the left column's rows before the right one's, each from top to bottom, left to right (after :func:`word_rows`)."""
+    right = F.col("x0") >= width / 2
+    return words.withColumn("place", F.row_number().over(W.partitionBy("page").orderBy(right, "row", "x0", "id")))
+
+
+def rule_groups(rules: DataFrame, separators: DataFrame) -> DataFrame:
+    """(page, grp, n, top, bottom): rule lines (page, y) cut into groups at the separators (page, y) above them."""
+    both = rules.select("page", "y", F.lit(1).alias("is_rule")).unionByName(separators.select("page", "y", F.lit(0).alias("is_rule")))
+    above = F.sum(1 - F.col("is_rule")).over(W.partitionBy("page").orderBy("y", F.col("is_rule").desc()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    cut = both.withColumn("above", above).where("is_rule = 1").groupBy("page", "above").agg(F.count("*").alias("n"), F.min("y").alias("top"), F.max("y").alias("bottom"))
+    return cut.select("page", (F.row_number().over(W.partitionBy("page").orderBy("above")) - 1).alias("grp"), "n", "top", "bottom")

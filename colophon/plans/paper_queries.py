@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from colophon.functions import papers as P
 from colophon.functions import venues as V
+from colophon.functions.unicode import match_key, nfkc
 from colophon.operators import chunking, folds, matching, outline
 from colophon.plans.base import query, read
 
@@ -32,13 +33,13 @@ def noise_clean(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""WITH t AS (SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: {STRIP.format("regexp_replace(x, '[ \t]+', ' ', 'g')")}), chr(10)) AS t FROM documents)
 SELECT doc_id, md5({STRIP.format("regexp_replace(t, chr(10) || '{3,}', chr(10) || chr(10), 'g')")}) AS digest FROM t""")
 def squeeze_lines(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.md5(P.squeeze_lines(F.col("text")).cast("binary")).alias("digest"))
+    return read(spark, d, "documents").select("doc_id", F.md5(P.squeeze_lines(nfkc(F.col("text"))).cast("binary")).alias("digest"))
 
 
-@query(r"""SELECT item_id, md5(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', '', 'g')) AS digest, trim(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g')) AS terms FROM benchmark""")
+@query(r"""SELECT item_id, md5(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_]+', '', 'g')) AS digest, trim(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g')) AS terms FROM benchmark""")
 def match_keys(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
-    return read(spark, d, "benchmark").select("item_id", F.md5(P.match_key(text).cast("binary")).alias("digest"), P.search_terms(text).alias("terms"))
+    return read(spark, d, "benchmark").select("item_id", F.md5(match_key(text).cast("binary")).alias("digest"), P.search_terms(text).alias("terms"))
 
 
 @query(r"""WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'IV' WHEN 2 THEN 'B' WHEN 3 THEN CAST(l_linenumber AS VARCHAR) || '.' || l_suppkey ELSE '1.2.3.' || l_suppkey END AS number FROM lineitem)

@@ -191,3 +191,30 @@ def citation_reasons(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {CITED} SELECT asked_paper, count(*) AS n, CAST(count(*) FILTER (bad IS NULL) AS BIGINT) AS n_valid, CASE WHEN count(*) = count(*) FILTER (bad IS NULL) THEN 'verified' ELSE 'downgraded' END AS verdict FROM r GROUP BY asked_paper""")
 def citation_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return citations.verdicts(cited(spark, d), "asked_paper", 0)
+
+
+@query("""SELECT doc_id, 'about ' || doc_id AS background, 'no evidence' AS motivation, '[]' AS terms, doc_id || ':' || source || ':c' || doc_id AS citations FROM documents""")
+def reports_of_replies(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    reply = _text('Here it is: {"report": {"background": "about ', i, '"}, "citations": [{"paper_id": "forged", "paper_title": "x", "chunk_id": "c', i, '", "quote": "q"}, {"chunk_id": "no quote"}, 5]} thanks')
+    plain = F.replace(reply, F.lit(", 5]"), F.lit("]"))
+    x = read(spark, d, "documents").select("doc_id", F.explode(F.array(J.report_of_reply(plain, i.cast("string"), F.col("source")))).alias("x"))
+    cites = F.array_join(F.transform("x.citations", lambda c: F.concat_ws(":", c.paper_id, c.paper_title, c.chunk_id)), "|")
+    return x.select("doc_id", "x.report.background", "x.report.motivation", "x.report.terms", cites.alias("citations"))
+
+
+@query("""SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'Part ' || item_id WHEN 1 THEN 'Text ' || item_id END AS title, CASE item_id % 4 WHEN 0 THEN 2 ELSE 3 END AS level FROM benchmark WHERE item_id % 4 < 2""")
+def layout_headings(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("item_id")
+    block = F.when(i % 4 == 0, _text('{"type": "title", "content": {"title_content": "## Part ', i, '", "level": 2}}')).when(i % 4 == 1, _text('{"type": "text", "text": " # Text ', i, ' ", "text_level": 3}'))
+    block = block.when(i % 4 == 2, '{"type": "text", "text": "no level"}').otherwise(_text('{"type": "title", "content": {"title_content": "', F.repeat(F.lit("x"), 121), '"}}'))
+    rows = read(spark, d, "benchmark").select("item_id", F.explode(F.filter(F.transform(F.array(block), J.layout_heading), lambda h: h.isNotNull())).alias("h"))
+    return rows.select("item_id", "h.title", "h.level")
+
+
+@query("""SELECT conv_id, turn, CAST(conv_id AS INTEGER) AS paper_id, role AS section, CAST(turn + 1 AS INTEGER) AS page_start, CAST(turn + 1 AS INTEGER) AS page_end, 0 AS char_start, CAST(length(text) AS INTEGER) AS char_end, 'kept' AS note, CAST(conv_id AS VARCHAR) AS back FROM conversations""")
+def chunk_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """A chunk's metadata to its fields, and the fields back into metadata."""
+    meta = F.map_from_arrays(F.array(*[F.lit(k) for k in ("paper_id", "section", "page_start", "note")]), F.array(F.col("conv_id").cast("string"), F.col("role"), (F.col("turn") + 1).cast("string"), F.lit("kept")))
+    rows = read(spark, d, "conversations").select("conv_id", "turn", J.chunk_of_metadata(meta, F.col("text")).alias("x")).select("conv_id", "turn", "x.*")
+    return rows.withColumn("back", J.chunk_metadata(F.col("extra"))["paper_id"]).withColumn("note", F.col("extra")["note"]).drop("extra")

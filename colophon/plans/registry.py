@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from colophon.functions import text as T
 from colophon.operators import chunking, federated, library, retrieval, sections
 from colophon.plans.base import ORACLE_SQL, QUERIES, query, read  # noqa: F401
-from colophon.sources import html
+from colophon.sources import files, html
 from colophon.streaming import progress
 
 # --- retrieval ---------------------------------------------------------------
@@ -378,6 +378,14 @@ def retry_decision(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", F.round("m", 6).alias("mean"), "best", ((F.col("m") < 2) | (F.col("best") < 3)).alias("retry"))
 
 
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents),
+c AS (SELECT doc_id, CASE WHEN t = '' THEN t ELSE t || chr(10) END AS t FROM t)
+SELECT doc_id, CAST(ceil(greatest(length(t) - 500, 0) / 450.0) AS BIGINT) + 1 AS n_chunks, CAST(length(t) AS INTEGER) AS last_end FROM c WHERE length(t) > 0""")
+def parsed_documents(spark: SparkSession, d: str) -> DataFrame:
+    chunks = files.parsed(read(spark, d, "documents").select("doc_id", "text"))
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("end_char").alias("last_end"))
+
+
 @query()
 def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", html.html_to_markdown("html").alias("markdown"))

@@ -173,3 +173,20 @@ def region_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Boxes that hold the centres of two words or more; every box is a word too."""
     rows = boxes(spark, d)
     return regions.inside(rows, rows.where("number = 'R'")).where("n_words >= 2")
+
+
+@query(f"""WITH RECURSIVE {BOXES}, o AS (SELECT page, id, x0, y0, row_number() OVER (PARTITION BY page ORDER BY y0, x0, id) AS k FROM (SELECT DISTINCT page, id, x0, y0 FROM bx)),
+r AS (SELECT page, id, x0, k, 0 AS "row", y0 AS top FROM o WHERE k = 1
+  UNION ALL SELECT o.page, o.id, o.x0, o.k, CASE WHEN abs(o.y0 - top) <= 2.5 THEN "row" ELSE "row" + 1 END, CASE WHEN abs(o.y0 - top) <= 2.5 THEN top ELSE o.y0 END FROM r JOIN o ON o.page = r.page AND o.k = r.k + 1)
+SELECT page, id, "row", CAST(row_number() OVER (PARTITION BY page ORDER BY x0 >= 400, "row", x0, id) AS INTEGER) AS place FROM r""")
+def word_rows(spark: SparkSession, d: str) -> DataFrame:
+    words = boxes(spark, d).select("page", "id", "x0", "y0").distinct()
+    return regions.reading_order(regions.word_rows(words), 800).select("page", "id", "row", "place")
+
+
+@query(f"""WITH {BOXES}, s AS (SELECT page, CAST(y0 AS DOUBLE) AS y, number FROM bx), g AS (SELECT r.page, r.y, (SELECT count(*) FROM s WHERE s.page = r.page AND s.number = 'R' AND s.y < r.y) AS above FROM s r WHERE r.number <> 'R'),
+h AS (SELECT page, above, count(*) AS n, min(y) AS top, max(y) AS bottom FROM g GROUP BY ALL)
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY above) - 1 AS INTEGER) AS grp, n, top, bottom FROM h""")
+def rule_groups(spark: SparkSession, d: str) -> DataFrame:
+    lines = boxes(spark, d).select("page", F.col("y0").alias("y"), "number")
+    return regions.rule_groups(lines.where("number <> 'R'"), lines.where("number = 'R'"))

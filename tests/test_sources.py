@@ -51,3 +51,24 @@ def test_replies(spark):
     assert [r.x for r in text.select(J.without_page_prefix(F.col("t")).alias("x")).collect()] == ["body", "body\nmore", "", "", ""]
     names = spark.createDataFrame([("http://a/b/con.pdf",), ("http://a/",), ("http://a/x y?q=1",), ("http://a/" + "n" * 200 + ".pdf",)], "t string")
     assert [r.x for r in names.select(J.url_file_name(F.col("t")).alias("x")).collect()] == ["paper.pdf", "paper.pdf", "x_y", "n" * 176 + ".pdf"]
+
+
+def test_files(spark, tmp_path):
+    from colophon.sources import files
+
+    for name, text in (("a.txt", "one\ntwo é"), ("b.MD", "# x"), ("c.html", "<h1>T</h1><script>x</script><p>body</p>")):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    got = {r.source.rsplit("/", 1)[-1]: r for r in files.load_files(spark, str(tmp_path)).collect()}
+    assert got["a.txt"].text == "one\ntwo é" and got["a.txt"].file_size == 10 and got["b.MD"].file_type == "md" and "body" in got["c.html"].text and "<p>" not in got["c.html"].text
+    (tmp_path / "d.exe").write_text("x")
+    with pytest.raises(Exception, match="cannot read"):
+        files.load_files(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.load_texts(spark, str(tmp_path / "none")).collect()
+
+
+def test_unicode(spark):
+    from colophon.functions import unicode as U
+
+    df = spark.createDataFrame([("ﬁne Ｔext①",), ("Straße",), (None,)], "t string")
+    assert [tuple(r) for r in df.select(U.nfkc(F.col("t")), U.match_key(F.col("t"))).collect()] == [("fine Text1", "finetext1"), ("Straße", "strasse"), (None, None)]
