@@ -17,10 +17,10 @@ large corpus would move many times its size, so only anchors are sorted:
    binary search over prefix hashes, to the right and, mirrored, to the left.
    Neighbours' extensions are verified on the bytes.  Runs of the two sorted
    orders tell for each of the 69 windows which occurrence is first.
-4. An anchor with more than ``MANY`` different surroundings (a short line in very
-   many documents) would make that sort one large group.  Its windows are taken
-   one by one instead: the first place of each is a minimum by two window hashes,
-   aggregated in part before it moves, so no task ever holds the anchor's places.
+
+All different surroundings of one anchor are sorted in one task, about 1.7 KB
+each: a line in very many documents, with other text around it each time, bounds
+the corpus that this operator can take.
 
 Defined results: null text counts as empty; matches never cross documents; rows
 that share an id never make each other's equal positions repeats (only strictly
@@ -39,15 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, batch, join_hot, keep, mix64, partitions, runs
+from .common import BUCKET_BYTES, batch, keep, mix64, partitions, runs
 
 WINDOW = 100
 GRAM = 32
 #: Bytes that one round of array work handles, and anchors that a task holds before it sends them.
 CHUNK = 1 << 20
 FLUSH = 1 << 20
-#: Different surroundings of one anchor that are sorted in one group, at most.
-MANY = 4096
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ANCHOR = np.dtype([("k", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("left", "u1"), ("right", "u1")])
@@ -212,7 +210,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
         yield ids, raw
 
 
-#: kind 0: bytes [a, b) of a document go; kind 1: the anchor at a, in bucket b, is to be sorted; kind 2: its windows are to be compared.
+#: kind 0: bytes [a, b) of a document go; kind 1: the anchor at a, in bucket b, is to be sorted.
 _FOUND = "kind int, doc_id long, a long, b long, k long"
 
 
@@ -222,12 +220,12 @@ def _match(sent: DataFrame, buckets: int) -> DataFrame:
         done = [np.frombuffer(b, "<i8").reshape(3, -1) for b in pdf.loc[pdf["kind"] == 1, "blob"]]
         first, rest = _settle(np.concatenate([np.frombuffer(b, _ANCHOR) for b in blobs]) if len(blobs) else np.zeros(0, _ANCHOR))
         at, n = runs(first["k"])
-        many, kind = first[np.repeat(n > 1, n)], np.repeat(np.where(n > MANY, 2, 1).astype(np.int32), n)[np.repeat(n > 1, n)]
+        many = first[np.repeat(n > 1, n)]
         cover = np.stack(_covers(rest)) if len(rest) else np.zeros((3, 0), np.int64)
         doc, start, end = merge_intervals(*np.concatenate([*done, cover], axis=1).astype(np.int64))
         zero = np.zeros(len(doc), np.int64)
         return pd.DataFrame({
-            "kind": np.concatenate([np.zeros(len(doc), np.int32), kind]),
+            "kind": np.repeat(np.int32([0, 1]), [len(doc), len(many)]),
             "doc_id": np.concatenate([doc, many["doc"]]),
             "a": np.concatenate([start, many["pos"].astype(np.int64)]),
             "b": np.concatenate([end, np.full(len(many), int(key[0]), np.int64)]),
@@ -385,30 +383,6 @@ def _fetch(docs: DataFrame, requests: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(sort, "doc_id long, a long, b long")
 
 
-def _compare_windows(docs: DataFrame, requests: DataFrame) -> DataFrame:
-    """(doc_id, a, b): windows around the requested anchors that start earlier elsewhere."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int64())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc_id, text, wanted in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True):
-                data = np.frombuffer(text.as_py(), np.uint8)
-                at = np.array([w["a"] for w in wanted], np.int64)
-                # another row of the same id may be shorter; a window may belong to several anchors
-                start = np.unique(at[:, None] - np.arange(WINDOW - GRAM + 1))
-                start = start[(start >= 0) & (start + WINDOW <= len(data))]
-                if len(start):
-                    w1, w2 = (mix64(PrefixHash(data, which)(start, start + WINDOW)).view(np.int64) for which in (0, 1))
-                    yield batch(schema, w1=pa.array(w1), w2=pa.array(w2), doc_id=np.full(len(start), doc_id), a=pa.array(start))
-
-    asked = requests.groupBy("doc_id").agg(F.collect_list(F.struct("a")).alias("wanted"))
-    found = _join(docs, asked, "inner").select("doc_id", "text", "wanted").mapInArrow(work, "w1 long, w2 long, doc_id long, a long")
-    rows = keep(found, "windows")
-    first = rows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a")).alias("first")).where("n > 1")
-    hits = join_hot(rows, keep(first, "first-windows"), ["w1", "w2"], "n", rows.count())
-    return hits.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("a") != F.col("first.a"))).select("doc_id", "a", (F.col("a") + WINDOW).alias("b"))
-
-
 def _join(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
     """Texts with what belongs to them: a shuffle at every size, and no sort of texts."""
     return docs.join(side.hint("shuffle_hash"), "doc_id", how)
@@ -421,9 +395,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(partitions(docs.sparkSession), int(total / per_anchor * _ANCHOR.itemsize / BUCKET_BYTES) + 1)
     found = keep(_match(_send_anchors(docs, buckets), buckets), "repeats")
     requests = found.where("kind = 1").select("doc_id", "a", "b", "k")
-    out = found.where("kind = 0").select("doc_id", "a", "b").unionByName(_fetch(docs, requests))
-    large = found.where("kind = 2").select("doc_id", "a")
-    return out if large.isEmpty() else out.unionByName(_compare_windows(docs, large))
+    return found.where("kind = 0").select("doc_id", "a", "b").unionByName(_fetch(docs, requests))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
