@@ -16,6 +16,11 @@ COMMON_TITLE_WORDS = (
     "guided", "unfolding", "prompt", "based", "multi", "window", "feature", "level", "fusion", "remote", "sensing", "collaborative",
     "heterogeneous", "expert", "mechanism", "learning", "approach", "method", "efficient", "novel", "scale", "toward", "using", "time",
 )
+# Metric and data set names of a table's header, and the words that route a question.
+HEADER_NAMES = "PSNR|FSIM|LPIPS|SSIM|Params|FLOPs|Accuracy|Scene|Thin|Moderate|Thick|RICE|RSID|SateHaze|Urban|BSD|Manga|Set"
+CHAT_WORDS = ("你好", "您好", "你是谁", "你是什么", "谢谢", "感谢", "再见", "hello", "hi")
+CATALOG_WORDS = ("有什么论文", "有哪些论文", "几篇论文", "多少篇", "列举", "清单", "库里有什么", "库里有哪些")
+INTRODUCE, LIBRARY_WORDS, HOW_WORDS = "介绍", ("论文库", "库里"), ("方法", "原理", "如何", "为什么", "技术")
 OPEN_STATUSES = ("gold", "green", "hybrid", "bronze", "diamond")
 FILE_KINDS = ("txt", "md", "pdf", "html", "htm")
 
@@ -80,15 +85,29 @@ def authors(value: Column) -> Column:
 
 
 def without_table_rows(text: Column, min_chars: int = 15) -> Column:
-    """Lines of three decimals and more, a quarter of whose characters are digits, are left out."""
+    """Lines of numbers and of metric names are left out.
 
-    def is_row(line: Column) -> Column:
-        digits = F.regexp_count(line, F.lit("[0-9]"))
-        return (F.length(line) >= min_chars) & (F.regexp_count(line, F.lit(r"[0-9]+\.[0-9]+")) >= 3) & (digits > 0.25 * F.length(line))
+    The first have three decimals and more, and more than a quarter of digits;
+    the second two names and more, which are over half of the line's words.
+    """
+
+    def is_row(raw: Column) -> Column:
+        line = strip(raw)
+        digits, names = F.regexp_count(line, F.lit("[0-9]")), F.regexp_count(line, F.lit(f"(?i)(?:{HEADER_NAMES})"))
+        numbers = (F.length(line) >= min_chars) & (F.regexp_count(line, F.lit(r"[0-9]+\.[0-9]+")) >= 3) & (digits > 0.25 * F.length(line))
+        return numbers | ((names >= 2) & (names > 0.5 * F.greatest(F.regexp_count(line, F.lit("[A-Za-z0-9]+")), F.lit(1))))
 
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~is_row(x)), "\n")
 
 
+def intent(question: Column) -> Column:
+    """chitchat, catalog or qa, by words anywhere in the question; to introduce the library is to list it, unless it is asked how."""
+    low = F.lower(F.coalesce(question, F.lit("")))
+    some = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+    listing = some(CATALOG_WORDS) | (F.contains(low, F.lit(INTRODUCE)) & some(LIBRARY_WORDS) & ~some(HOW_WORDS))
+    return F.when(some(CHAT_WORDS), "chitchat").when(listing, "catalog").otherwise("qa")
+
+
 def title_words(title: Column) -> Column:
     """Distinct lower-case words of a title that can name it: four letters and more, not common.
 

@@ -8,42 +8,74 @@ from pyspark.sql import functions as F
 # Venue keys (lower case, letters and digits only) by level.
 # Keys that must match the whole venue:
 EXACT = {
-    "A": """cvpr iccv neurips nips icml aaai ijcai acl iclr tpami ieeetpami ieeetransactionsonpatternanalysisandmachineintelligence
-        ieeetransonpatternanalysisandmachineintelligence ijcv internationaljournalofcomputervision aij artificialintelligence""".split(),
-    "B": """eccv acmmm acminternationalconferenceonmultimedia icassp icip bmvc accv wacv emnlp naacl conll coling sigir www kdd icdm sdm ecml
-        tip ieeetip ieeetransactionsonimageprocessing ieeetransonimageprocessing tnnls ieeetransactionsonneuralnetworksandlearningsystems
-        ieeetransonneuralnetworksandlearningsystems tog acmtog acmtransactionsongraphics tcsvt
-        ieeetransactionsoncircuitsandsystemsforvideotechnology ieeetransoncircuitsandsystemsforvideotechnology cviu
-        computervisionandimageunderstanding pr patternrecognition""".split(),
-    "C": """icpr icme icann icig iconip signalprocessing ieeetransactionsonsignalprocessing neurocomputing ieeeaccess
-        machinevisionandapplications mva""".split(),
+    "A": (
+        "cvpr", "iccv", "neurips", "nips", "icml", "aaai", "ijcai", "acl", "iclr", "tpami", "ieeetpami",
+        "ieeetransactionsonpatternanalysisandmachineintelligence", "ieeetransonpatternanalysisandmachineintelligence", "ijcv",
+        "internationaljournalofcomputervision", "aij", "artificialintelligence",
+    ),
+    "B": (
+        "eccv", "acmmm", "acminternationalconferenceonmultimedia", "icassp", "icip", "bmvc", "accv", "wacv", "emnlp", "naacl", "conll", "coling",
+        "sigir", "www", "kdd", "icdm", "sdm", "ecml", "tip", "ieeetip", "ieeetransactionsonimageprocessing", "ieeetransonimageprocessing", "tnnls",
+        "ieeetransactionsonneuralnetworksandlearningsystems", "ieeetransonneuralnetworksandlearningsystems", "tog", "acmtog",
+        "acmtransactionsongraphics", "tcsvt", "ieeetransactionsoncircuitsandsystemsforvideotechnology",
+        "ieeetransoncircuitsandsystemsforvideotechnology", "cviu", "computervisionandimageunderstanding", "pr", "patternrecognition",
+    ),
+    "C": (
+        "icpr", "icme", "icann", "icig", "iconip", "signalprocessing", "ieeetransactionsonsignalprocessing", "neurocomputing", "ieeeaccess",
+        "machinevisionandapplications", "mva",
+    ),
 }
 # Short names that may stand inside a venue:
 SHORT = {
-    "A": "cvpr iccv neurips nips icml aaai ijcai acl iclr tpami ijcv".split(),
-    "B": "eccv acmmm icassp icip bmvc accv wacv emnlp naacl conll coling sigir www kdd icdm sdm ecml tip tnnls tog tcsvt cviu".split(),
-    "C": "icpr icme icann icig iconip".split(),
+    "A": (
+        "cvpr", "iccv", "neurips", "nips", "icml", "aaai", "ijcai", "acl", "iclr", "tpami", "ijcv",
+    ),
+    "B": (
+        "eccv", "acmmm", "icassp", "icip", "bmvc", "accv", "wacv", "emnlp", "naacl", "conll", "coling", "sigir", "www", "kdd", "icdm", "sdm", "ecml",
+        "tip", "tnnls", "tog", "tcsvt", "cviu",
+    ),
+    "C": (
+        "icpr", "icme", "icann", "icig", "iconip",
+    ),
 }
 # Full names that may stand inside a venue, looked for after the short ones:
 FULL = {
-    "A": """conferenceoncomputervisionandpatternrecognition internationalconferenceoncomputervision internationalconferenceonmachinelearning
-        internationalconferenceonlearningrepresentations neuralinformationprocessingsystems
-        annualmeetingoftheassociationforcomputationallinguistics artificialintelligence""".split(),
-    "B": """conferenceonacousticsspeechandsignalprocessing internationalconferenceonimageprocessing europeanconferenceoncomputervision
-        conferenceonempiricalmethodsinnaturallanguageprocessing acminternationalconferenceonmultimedia acmmultimedia thewebconference
-        patternrecognition""".split(),
-    "C": "signalprocessing neurocomputing ieeeaccess machinevisionandapplications".split(),
+    "A": (
+        "conferenceoncomputervisionandpatternrecognition", "internationalconferenceoncomputervision", "internationalconferenceonmachinelearning",
+        "internationalconferenceonlearningrepresentations", "neuralinformationprocessingsystems",
+        "annualmeetingoftheassociationforcomputationallinguistics", "artificialintelligence",
+    ),
+    "B": (
+        "conferenceonacousticsspeechandsignalprocessing", "internationalconferenceonimageprocessing", "europeanconferenceoncomputervision",
+        "conferenceonempiricalmethodsinnaturallanguageprocessing", "acminternationalconferenceonmultimedia", "acmmultimedia", "thewebconference",
+        "patternrecognition",
+    ),
+    "C": (
+        "signalprocessing", "neurocomputing", "ieeeaccess", "machinevisionandapplications",
+    ),
 }
 # Open sources and the keys that lead to them, in order.
 SOURCES = {
-    "cvf": "conferenceoncomputervisionandpatternrecognition cvpr internationalconferenceoncomputervision iccv".split(),
-    "acl": """annualmeetingoftheassociationforcomputationallinguistics empiricalmethodsinnaturallanguageprocessing
-        northamericanchapteroftheassociationforcomputationallinguistics computationalnaturallanguagelearning
-        internationalconferenceoncomputationallinguistics naacl emnlp conll coling acl""".split(),
-    "pmlr": "internationalconferenceonmachinelearning europeanconferenceonmachinelearning icml ecml".split(),
-    "neurips": "advancesinneuralinformationprocessingsystems neuralinformationprocessingsystems neurips nips".split(),
-    "openreview": "internationalconferenceonlearningrepresentations iclr".split(),
-    "aaai": "associationfortheadvancementofartificialintelligence aaai".split(),
+    "cvf": (
+        "conferenceoncomputervisionandpatternrecognition", "cvpr", "internationalconferenceoncomputervision", "iccv",
+    ),
+    "acl": (
+        "annualmeetingoftheassociationforcomputationallinguistics", "empiricalmethodsinnaturallanguageprocessing",
+        "northamericanchapteroftheassociationforcomputationallinguistics", "computationalnaturallanguagelearning",
+        "internationalconferenceoncomputationallinguistics", "naacl", "emnlp", "conll", "coling", "acl",
+    ),
+    "pmlr": (
+        "internationalconferenceonmachinelearning", "europeanconferenceonmachinelearning", "icml", "ecml",
+    ),
+    "neurips": (
+        "advancesinneuralinformationprocessingsystems", "neuralinformationprocessingsystems", "neurips", "nips",
+    ),
+    "openreview": (
+        "internationalconferenceonlearningrepresentations", "iclr",
+    ),
+    "aaai": (
+        "associationfortheadvancementofartificialintelligence", "aaai",
+    ),
 }
 
 
@@ -51,7 +83,7 @@ def venue_key(venue: Column) -> Column:
     return F.regexp_replace(F.lower(venue), "[^a-z0-9]", "")
 
 
-def inside(levels: dict[str, list[str]]) -> list[tuple[str, str]]:
+def inside(levels: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
     """(key, level), longest keys first, so that a key is tried before its own parts."""
     return sorted(((k, level) for level, keys in levels.items() for k in keys), key=lambda x: -len(x[0]))
 

@@ -80,3 +80,21 @@ def marked_pages(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:
     rows = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), one.alias("t")))).alias("x"))
     joined = F.array_join(F.transform("x", lambda x: x.t), "\n\n")
     return rows.select(key, F.regexp_replace(F.regexp_replace(joined, "[ \t]+", " "), "\n{3,}", "\n\n").alias("text"))
+
+
+def without_irrelevant(rows: DataFrame, key: str, irrelevant: Column, direct: Column, least: int = 20, most: int = 60) -> DataFrame:
+    """Irrelevant rows of each result list go, if ``least`` others stay; lists of more than ``most`` rows and direct ones keep all."""
+    flagged = rows.withColumn("_bad", F.coalesce(irrelevant, F.lit(False))).withColumn("_direct", F.coalesce(direct, F.lit(False)))
+    lists = flagged.groupBy(key).agg(F.count("*").alias("_n"), F.count_if(~F.col("_bad")).alias("_good"), F.max("_direct").alias("_all"))
+    cut = lists.where((F.col("_n") <= most) & (F.col("_good") >= least) & ~F.col("_all")).select(key, F.lit(True).alias("_cut"))
+    return flagged.join(cut, key, "left").where(~F.col("_bad") | F.col("_cut").isNull()).drop("_bad", "_direct", "_cut")
+
+
+def with_question_terms(chunks: DataFrame, questions: DataFrame, key: str, run: str = "[\u4e00-\u9fff]{2,}") -> DataFrame:
+    """Chunks that hold a run of characters of their question; all of them where none does or the question has no run."""
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(f"({run})"), F.lit(1)))
+    asked = questions.select(key, terms.alias("_terms"))
+    low = F.lower("text")
+    flagged = chunks.join(asked, key, "left").withColumn("_hit", F.coalesce(F.exists("_terms", lambda t: F.contains(low, t)), F.lit(False)))
+    some = flagged.where("_hit").select(key, F.lit(True).alias("_some")).distinct()
+    return flagged.join(some, key, "left").where(F.col("_hit") | F.col("_some").isNull()).drop("_terms", "_hit", "_some")

@@ -266,3 +266,20 @@ def task_states(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("user_id").agg(
         F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.count_if(F.col("status") != F.col("before")).alias("changes"), F.count_if((F.col("status") == "failed") & (F.col("before") != "failed")).alias("failures")
     )
+
+
+@query("""WITH l AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type <> 'error') AS good, max(user_id % 4 = 0) AS direct FROM events GROUP BY 1)
+SELECT event_id FROM events JOIN l USING (user_id) WHERE event_type <> 'error' OR n > 60 OR good < 20 OR direct""")
+def relevant_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "events").select("event_id", "user_id", "event_type")
+    return desk.without_irrelevant(rows, "user_id", F.col("event_type") == "error", F.col("user_id") % 4 == 0).select("event_id")
+
+
+@query("""WITH q AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(arg_min(text, turn)), '([a-z]{8,})', 1)) AS terms FROM conversations GROUP BY 1),
+h AS (SELECT conv_id, turn, len(list_filter(terms, lambda x: contains(lower(text), x))) > 0 AS hit FROM conversations JOIN q USING (conv_id) WHERE turn > 0)
+SELECT conv_id, turn FROM h QUALIFY hit OR NOT coalesce(bool_or(hit) OVER (PARTITION BY conv_id), false)""")
+def question_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Later messages that hold a long word of the first; all of a session where none does."""
+    rows = read(spark, d, "conversations")
+    asked = rows.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    return desk.with_question_terms(rows.where("turn > 0"), asked, "conv_id", "[a-z]{8,}").select("conv_id", "turn")

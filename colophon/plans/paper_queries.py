@@ -77,7 +77,8 @@ def author_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""WITH {LINES}
-SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (length(line) >= 15 AND len(regexp_extract_all(line, '[0-9]+\.[0-9]+')) >= 3 AND len(regexp_extract_all(line, '[0-9]')) > 0.25 * length(line))), '')) AS digest FROM l GROUP BY doc_id""")
+SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT ((length(t) >= 15 AND len(regexp_extract_all(t, '[0-9]+\.[0-9]+')) >= 3 AND len(regexp_extract_all(t, '[0-9]')) > 0.25 * length(t))
+  OR (len(regexp_extract_all(t, '(?i)(?:{P.HEADER_NAMES})')) >= 2 AND len(regexp_extract_all(t, '(?i)(?:{P.HEADER_NAMES})')) > 0.5 * greatest(1, len(regexp_extract_all(t, '[A-Za-z0-9]+')))))), '')) AS digest FROM (SELECT *, {STRIP.format("line")} AS t FROM l) GROUP BY doc_id""")
 def table_row_strip(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.md5(P.without_table_rows(F.col("text")).cast("binary")).alias("digest"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colophon.functions import papers as P
 from colophon.functions import text as T
 from colophon.operators import chunking, federated, library, retrieval, sections
 from colophon.plans.base import ORACLE_SQL, QUERIES, query, read  # noqa: F401
@@ -159,11 +160,13 @@ def relevance_scores(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select("conv_id", "turn", T.score_from_reply(F.col("text")).alias("score"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN contains(lower(text), 'hi') THEN 'chitchat' WHEN contains(lower(text), 'list') THEN 'catalog' ELSE 'qa' END AS intent FROM conversations WHERE role = 'user'""")
+def _any_of(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN {_any_of(P.CHAT_WORDS)} THEN 'chitchat' WHEN {_any_of(P.CATALOG_WORDS)} OR ({_any_of((P.INTRODUCE,))} AND {_any_of(P.LIBRARY_WORDS)} AND NOT {_any_of(P.HOW_WORDS)}) THEN 'catalog' ELSE 'qa' END AS intent FROM conversations WHERE role = 'user'""")
 def intent_route(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    route = F.when(T.contains_any(low, ["hi"]), "chitchat").when(T.contains_any(low, ["list"]), "catalog").otherwise("qa")
-    return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", route.alias("intent"))
+    return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", P.intent(F.col("text")).alias("intent"))
 
 
 @query(r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href FROM pages)

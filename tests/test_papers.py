@@ -41,8 +41,8 @@ def test_years_plans_labels(spark):
 
 
 def test_titles(spark):
-    q = spark.createDataFrame([(1, "How good is MWAT-SR?"), (2, "does swinir win"), (3, "deep learning"), (4, None)], "query_id long, text string")
-    t = spark.createDataFrame([(7, "A lightweight multi-window attention transformer for image super-resolution"), (8, "SwinIR for deep learning"), (9, None)], "paper_id long, title string")
+    q = spark.createDataFrame([(1, "How good is FGGD-PC?"), (2, "does swinir win"), (3, "deep learning"), (4, None)], "query_id long, text string")
+    t = spark.createDataFrame([(7, "Fast graph-guided denoising for point clouds"), (8, "SwinIR for deep learning"), (9, None)], "paper_id long, title string")
     assert [tuple(r) for r in matching.title_mentions(q, t).collect()] == [(2, 8)]
     assert [tuple(r) for r in matching.abbreviation_mentions(q, t).collect()] == [(1, 7)]
 
@@ -87,3 +87,12 @@ def test_job_stream_equals_batch(spark):
     q = jobs.job_stream(job_events(stream)).writeStream.outputMode("update").format("memory").queryName("jobs_test").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("jobs_test").collect())) == sorted(map(tuple, jobs.job_states(job_events(batch)).collect()))
+
+
+def test_intents(spark):
+
+    rows = [("你好", "chitchat"), ("What is this", "chitchat"), ("有哪些论文", "catalog"), ("介绍一下论文库", "catalog"), ("介绍论文库的方法", "qa"), ("explain", "qa"), (None, "qa")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", P.intent(F.col("t"))).collect())
+    text = "PSNR SSIM Set5\nSSIM and PSNR rise on all the sets here\n1.25 2.50 3.75 99\nplain"
+    assert spark.createDataFrame([(text,)], "t string").select(P.without_table_rows(F.col("t"))).first()[0] == "SSIM and PSNR rise on all the sets here\nplain"
