@@ -27,8 +27,24 @@ def dedupe(rows: DataFrame, key: str) -> DataFrame:
     """
     row = F.struct("pos", "id", "citations", "arxiv")
     folded = rows.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("all"))
-    best = F.aggregate(F.slice(F.col("all"), F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), F.get(F.col("all"), F.lit(0)), richer)
-    return folded.select(key, best.alias("best"), F.size("all").alias("n")).select(key, "best.id", "best.citations", "n")
+    return folded.select(key, _richest(F.col("all")).alias("best"), F.size("all").alias("n")).select(key, "best.id", "best.citations", "n")
+
+
+def _richest(ordered):
+    return F.aggregate(F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), F.get(ordered, F.lit(0)), richer)
+
+
+def dedupe_twice(rows: DataFrame) -> DataFrame:
+    """One row for each title, after one for each ``work_id``: (title, id, citations, n).
+
+    rows: (pos, id, work_id, title, citations, arxiv).  Works come first, each at
+    its first row's place, then the rows without a work id.
+    """
+    row = F.struct("pos", "id", "citations", "arxiv", "title")
+    works = rows.where("work_id IS NOT NULL").groupBy("work_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    works = works.select(F.struct(F.lit(0).alias("part"), F.get("all", F.lit(0)).pos.alias("at")).alias("pos"), _richest(F.col("all")).alias("best"))
+    rest = rows.where("work_id IS NULL").select(F.struct(F.lit(1).alias("part"), F.col("pos").alias("at")).alias("pos"), "id", "citations", "arxiv", "title")
+    return dedupe(works.select("pos", "best.id", "best.citations", "best.arxiv", "best.title").unionByName(rest), "title")
 
 
 def enrich(rows: DataFrame, extra: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -93,6 +93,26 @@ def federated_search(spark: SparkSession, d: str) -> DataFrame:
     return placed.select("q", "i", F.col("source_pos").alias("src"), "citations", "venue", "place")
 
 
+WINS = "(SELECT CASE WHEN f.citations > 0 AND r.citations <= 0 THEN TRUE WHEN r.citations > 0 AND f.citations <= 0 THEN FALSE WHEN f.arxiv AND NOT r.arxiv THEN TRUE ELSE FALSE END AS w)"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey AS pos, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS work_id, lower(p_brand) AS title, p_partkey % 3 AS citations, p_type = 'SMALL' AS arxiv FROM part),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY pos) AS k, min(pos) OVER (PARTITION BY work_id) AS first_pos FROM p WHERE work_id IS NOT NULL),
+f1 AS (SELECT work_id, id, citations, arxiv, title, k, first_pos FROM r1 WHERE k = 1 UNION ALL
+  SELECT r.work_id, CASE WHEN w THEN f.id ELSE r.id END, CASE WHEN w THEN f.citations ELSE r.citations END, CASE WHEN w THEN f.arxiv ELSE r.arxiv END, CASE WHEN w THEN f.title ELSE r.title END, r.k, f.first_pos
+  FROM f1 f JOIN r1 r ON r.work_id = f.work_id AND r.k = f.k + 1, LATERAL {WINS}),
+m AS (SELECT 0 AS part, first_pos AS pos, id, citations, arxiv, title FROM f1 QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY k DESC) = 1 UNION ALL SELECT 1, pos, id, citations, arxiv, title FROM p WHERE work_id IS NULL),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY part, pos) AS k FROM m),
+f2 AS (SELECT title, id, citations, arxiv, k FROM r2 WHERE k = 1 UNION ALL
+  SELECT r.title, CASE WHEN w THEN f.id ELSE r.id END, CASE WHEN w THEN f.citations ELSE r.citations END, CASE WHEN w THEN f.arxiv ELSE r.arxiv END, r.k FROM f2 f JOIN r2 r ON r.title = f.title AND r.k = f.k + 1, LATERAL {WINS})
+SELECT title, max_by(id, k) AS id, max_by(citations, k) AS citations, CAST(max(k) AS INTEGER) AS n FROM f2 GROUP BY title""")
+def two_pass_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each work by identifier, then one for each title; the richer row stays."""
+    k = F.col("p_partkey")
+    rows = read(spark, d, "part").select(k.alias("id"), k.alias("pos"), F.when(k % 3 > 0, F.col("p_size")).alias("work_id"), F.lower("p_brand").alias("title"), (k % 3).alias("citations"), (F.col("p_type") == "SMALL").alias("arxiv"))
+    return federated.dedupe_twice(rows)
+
+
 @query("""WITH a AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'routed/' || p_partkey END AS routed, CASE WHEN p_partkey % 2 = 0 THEN 'free/' || p_partkey END AS free FROM part)
 SELECT p_partkey, coalesce(routed, free) AS link, CASE WHEN routed IS NOT NULL THEN 'routed' WHEN free IS NOT NULL THEN 'free' ELSE 'none' END AS tier FROM a""")
 def free_links(spark: SparkSession, d: str) -> DataFrame:
