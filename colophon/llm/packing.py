@@ -19,9 +19,7 @@ result.  Long texts are cut only above ``capacity`` tokens.
 
 from __future__ import annotations
 
-import base64
 import random
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, keep, partitions
+from .tokens import byte_ids, tokenizer_folder
 
 CAPACITY = 1024
 END = 2
@@ -42,40 +41,6 @@ GENERATIONS = 6
 POPULATION = 4
 #: Bins filled to less than this share are dealt again.
 LOOSE = 0.985
-TOKENIZER = "byte_bpe_50k"
-_UNUSUAL = re.compile("[^\x00-ɏ]")
-_SPECIAL = "<|endoftext|>"
-_MODELS: dict[str, tuple] = {}
-
-
-def tokenizer_folder() -> str:
-    import os
-
-    import public_tokenizers
-
-    return os.path.dirname(public_tokenizers.path(f"{TOKENIZER}.json"))
-
-
-def encode(texts: list[str], folder: str) -> list[list[int]]:
-    """Ids as the ``tokenizers`` file gives them.
-
-    The rank file holds the same vocabulary for a faster library; the two agree
-    wherever the text has only Latin characters and no special token's name, and
-    other texts go to ``tokenizers`` itself.
-    """
-    if folder not in _MODELS:
-        import tiktoken
-        from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
-
-        with open(f"{folder}/{TOKENIZER}.tiktoken", "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding(TOKENIZER, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _MODELS[folder] = fast, Tokenizer.from_file(f"{folder}/{TOKENIZER}.json")
-    fast, full = _MODELS[folder]
-    return [full.encode(t, add_special_tokens=False).ids if _UNUSUAL.search(t) or _SPECIAL in t else fast.encode_ordinary(t) for t in texts]
-
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -88,7 +53,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         for b in batches:
             out: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.array([*encode([text.as_py() or ""], place)[0], END], "<u4")
+                ids = np.array([*byte_ids([text.as_py() or ""], place)[0], END], "<u4")
                 first = (len(ids) - 1) % capacity + 1
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 out += [(doc_id, k, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]

@@ -58,11 +58,16 @@ _LOW, _HIGH = -(1 << 63) + 1, (1 << 63) - 1
 _OWN = -(1 << 63)
 
 
+def quantised_column(v: Column, scale: int) -> tuple[Column, Column]:
+    """(takes part, floor(scale * x) of every component)."""
+    ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return ok, F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+
+
 def quantised(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(id, v): floor(scale * x) of the vectors that take part."""
-    v = F.col(vec_col)
-    ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(F.coalesce(ok, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    ok, v = quantised_column(F.col(vec_col), scale)
+    return df.where(F.coalesce(ok, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from colophon.llm import langid, packing, queries
+from colophon.llm import langid, packing, queries, tokens
 
 from .test_edges import brute_components
 from .test_lines import brute as brute_lines
@@ -66,11 +66,22 @@ def texts_of_all_kinds():
 
 def test_both_tokenisers_agree(spark, tokenizer):
     texts = texts_of_all_kinds() + [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
-    folder = packing.tokenizer_folder()
-    for text, fast in zip(texts, packing.encode(texts, folder), strict=True):
+    folder = tokens.tokenizer_folder()
+    for text, fast in zip(texts, tokens.byte_ids(texts, folder), strict=True):
         assert list(fast) == tokenizer.encode(text, add_special_tokens=False).ids, text[:200]
 
 
+@pytest.mark.parametrize("kind", [" ", "\n", "\t", " \n"])
+def test_long_white_space(spark, tokenizer, kind):
+    """Runs that exhaust the faster library's stack are packed, and just as the tokeniser has them."""
+    short, long = "a" + kind * 15_000 + "b", kind * (5_000_000 // len(kind))
+    folder = tokens.tokenizer_folder()
+    assert list(tokens.byte_ids([short], folder)[0]) == tokenizer.encode(short, add_special_tokens=False).ids
+    n = len(tokenizer.encode(long, add_special_tokens=False).ids)
+    got = packing.pieces(spark.createDataFrame([(1, long)], "doc_id long, text string")).agg(F.sum("length")).first()[0]
+    assert got == n + 1
+
+
 def check_packing(docs, rows, tokenizer):
     """The contract of op10: every document's ids stand in its pieces, and every sequence is gapless."""
     by_doc, by_seq = {}, {}
