@@ -1,7 +1,7 @@
 """Boxes on pages: scaling, neighbours, joint regions, and what stands inside them.
 
-Boxes are rows (page, id, x0, y0, x1, y1); a page holds few of them, and every
-join is by page.
+Boxes are rows (page, id, x0, y0, x1, y1); joins of boxes are by the cells of a
+grid (:mod:`colophon.operators.spatial`).
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colophon.operators.folds import sorted_fold
+from colophon.operators.graph import components, with_checkpoints
+from colophon.operators.spatial import CORNERS, touching
 
 
 def scaled(boxes: DataFrame, width: float, height: float, least: float = 0.001, area: float = 0.002) -> DataFrame:
@@ -27,34 +29,56 @@ def adjacent(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return ((gap("y0", "y1") <= 40) & (common("x0", "x1") > 5)) | ((gap("x0", "x1") <= 8) & (common("y0", "y1") > 5))
 
 
+def neighbours(boxes: DataFrame, *carry: str) -> DataFrame:
+    """(page, a, b, a_..., b_...): adjacent boxes, each pair once, found through the grid."""
+    pairs = touching(boxes, boxes, 8, 40, (*CORNERS, *carry)).where("a < b")
+    return pairs.where(adjacent(*({c: F.col(f"{side}_{c}") for c in CORNERS} for side in "ab")))
+
+
+def numbered(boxes: DataFrame) -> DataFrame:
+    """(page, id, number): boxes without a number take one from their neighbours.
+
+    Neighbours without a number form groups first; a group takes the number of the
+    first numbered box beside it, by (y0, x0, id), and stays without one where there is none.
+    So no region ever holds two numbers.
+    """
+    pairs = neighbours(boxes.where("number IS NULL")).select(F.struct("page", F.col("a").alias("id")).alias("a"), F.struct("page", F.col("b").alias("id")).alias("b"))
+    groups = components(pairs).select("node.page", "node.id", F.col("component.id").alias("grp"))
+    loose = boxes.where("number IS NULL").select("page", "id").distinct().join(groups, ["page", "id"], "left").withColumn("grp", F.coalesce("grp", "id"))
+    beside = touching(boxes.where("number IS NULL"), boxes.where("number IS NOT NULL"), 8, 40, (*CORNERS, "number"))
+    beside = beside.where(adjacent(*({c: F.col(f"{side}_{c}") for c in CORNERS} for side in "ab")))
+    first = beside.join(loose.select("page", F.col("id").alias("a"), "grp"), ["page", "a"]).groupBy("page", "grp").agg(F.min_by("b_number", F.struct("b_y0", "b_x0", "b")).alias("number"))
+    given = loose.join(first, ["page", "grp"], "left").select("page", "id", "number")
+    return boxes.where("number IS NOT NULL").select("page", "id", "number").unionByName(given)
+
+
 def joint_regions(boxes: DataFrame) -> DataFrame:
-    """(page, region, n, x0, y0, x1, y1): connected neighbours of one number become one region, named by the least id.
+    """(page, region, number, n, x0, y0, x1, y1): connected neighbours of one number become one region, named by the least id.
 
-    boxes have ``number`` too; only boxes of the same page and number meet.
-    Labels spread along the pairs of neighbours until nothing changes; a page's
-    boxes are few, so few rounds do.
+    boxes: (page, id, number, x0, y0, x1, y1), ids distinct on a page (equal rows count each).  Boxes without a
+    number join as :func:`numbered` says.  Pairs come from a grid join and
+    components from stars, so neither a long chain nor a full page is one task's work.
     """
-    corner = ("x0", "y0", "x1", "y1")
-    left = boxes.select("page", "number", F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in corner])
-    right = boxes.select("page", "number", F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in corner])
-    on = adjacent({c: F.col(f"a_{c}") for c in corner}, {c: F.col(f"b_{c}") for c in corner}) & (F.col("a") != F.col("b"))
-    pairs = left.join(right, ["page", "number"]).where(on).select("page", "a", "b").persist()
-    labels, changed = boxes.select("page", "id", F.col("id").alias("region")).distinct().persist(), 1
-    while changed:
-        low = pairs.join(labels.select("page", F.col("id").alias("b"), "region"), ["page", "b"]).groupBy("page", "a").agg(F.min("region").alias("low"))
-        new = labels.join(low.withColumnRenamed("a", "id"), ["page", "id"], "left").select("page", "id", F.least("region", "low").alias("region"), (F.col("low") < F.col("region")).alias("moved")).persist()
-        changed = new.where("moved").count()
-        labels = new.select("page", "id", "region")
-    out = boxes.join(labels, ["page", "id"]).groupBy("page", "region")
-    return out.agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    with_checkpoints(boxes.sparkSession)
+    known = numbered(boxes).distinct().checkpoint()
+    all_ = boxes.drop("number").join(known, ["page", "id"])
+    same = neighbours(all_, "number").where(F.col("a_number").eqNullSafe(F.col("b_number")))
+    groups = components(same.select(F.struct("page", F.col("a").alias("id")).alias("a"), F.struct("page", F.col("b").alias("id")).alias("b")))
+    groups = groups.select("node.page", "node.id", F.col("component.id").alias("region"))
+    out = all_.join(groups, ["page", "id"], "left").withColumn("region", F.coalesce("region", "id"))
+    ends = [f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]
+    captions = []
+    if "caption" in boxes.columns:  # one with spaces first, then the longest; topmost where they are alike
+        rank = F.struct((~F.contains("caption", F.lit(" "))).alias("plain"), (-F.length("caption")).alias("short"), "y0", "x0", "id")
+        captions = [F.coalesce(F.min_by("caption", F.when(F.trim("caption") != "", rank)), F.lit("")).alias("caption")]
+    return out.groupBy("page", "region").agg(F.first("number").alias("number"), F.count("*").alias("n"), *ends, *captions)
 
 
 def inside(words: DataFrame, boxes: DataFrame, slack: float = 0.5) -> DataFrame:
     """(page, box, n_words): words whose centre lies in a box."""
-    w = words.select("page", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    b = boxes.select("page", F.col("id").alias("box"), "x0", "y0", "x1", "y1")
-    hit = F.col("cx").between(F.col("x0") - slack, F.col("x1") + slack) & F.col("cy").between(F.col("y0") - slack, F.col("y1") + slack)
-    return w.join(b, "page").where(hit).groupBy("page", "box").agg(F.count("*").alias("n_words"))
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    points = words.select("page", F.lit(0).alias("id"), x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1"))
+    return touching(points, boxes, slack, slack).groupBy("page", F.col("b").alias("box")).agg(F.count("*").alias("n_words"))
 
 
 def word_rows(words: DataFrame, slack: float = 2.5) -> DataFrame:

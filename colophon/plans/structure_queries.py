@@ -164,7 +164,7 @@ lb AS (SELECT page, id, min(root) AS region FROM rc GROUP BY ALL),
 bs AS (SELECT page, id, {CORNERS} FROM bx)
 SELECT page, region, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM lb JOIN bs USING (page, id) GROUP BY ALL""")
 def joint_regions(spark: SparkSession, d: str) -> DataFrame:
-    return regions.joint_regions(boxes(spark, d))
+    return regions.joint_regions(boxes(spark, d)).drop("number")
 
 
 @query(f"""WITH {BOXES}, w AS (SELECT page, (x0 + x1) / 2 AS cx, (y0 + y1) / 2.0 AS cy FROM bx)
