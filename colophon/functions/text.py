@@ -71,3 +71,15 @@ def contains_any(text: Column, words: list[str]) -> Column:
     for w in words:
         out = out | F.contains(text, F.lit(w))
     return out
+
+
+def caption_spacing(text: Column) -> Column:
+    """Blanks where the text layer of a page lost them.
+
+    Between label and number, between letters and digits of one run (a run's last digits keep one
+    or two letters that end it, as in "DF 2K"), and behind a full stop before a letter.
+    """
+    t = F.regexp_replace(text, r"(?i)\b(table|fig(?:ure)?\.?)([0-9]+)", "$1 $2")
+    t = F.regexp_replace(t, r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])(?![A-Za-z]{1,2}(?![A-Za-z0-9]))", " ")
+    t = F.regexp_replace(t, r"\.(?=[A-Za-z])", ". ")
+    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
