@@ -202,3 +202,56 @@ def ranking_metrics(found: DataFrame, k: int = 5) -> DataFrame:
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("good"), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     per = per.withColumn("ndcg", F.when(F.col("good") > 0, F.col("dcg") / ideal).otherwise(0.0))
     return per.agg(F.round(F.avg("hit"), 6).alias("hit"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.count("*").alias("queries"))
+
+
+# --- within each paper -------------------------------------------------------
+
+
+def paper_bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, paper, doc_id, score, rank): BM25 with each paper's own statistics; chunks have (id, paper, text), queries (id, text).
+
+    Chunks without a shared term score 0 and fill up the list by id.  A query's
+    rows in a paper are its chunks that share a term and at most as many others plus k.
+    """
+    words = chunks.select("paper", F.col("id").alias("doc_id"), tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+    stats = words.groupBy("paper").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    tf = words.select("paper", "doc_id", "len", F.explode("w").alias("term")).groupBy("paper", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("paper", "term").agg(F.count("*").alias("df")).join(stats, "paper")
+    raw = df.select("paper", "term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.groupBy("paper").agg(F.avg("raw").alias("mean"))
+    asked = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
+    weights = raw.join(asked, "term").join(mean, "paper").select("query_id", "paper", "term", "avgdl", (F.col("qtf") * idf).alias("weight"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    hits = tf.join(weights, ["paper", "term"]).groupBy("query_id", "paper", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    found = hits.groupBy("query_id", "paper").agg(F.count("*").alias("h"))
+    every = queries.select(F.col("id").alias("query_id")).distinct().crossJoin(stats.select("paper"))  # a list for each query and paper is the result's size
+    every = every.join(found, ["query_id", "paper"], "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    place = words.select("paper", "doc_id", F.row_number().over(W.partitionBy("paper").orderBy("doc_id")).alias("place"))
+    rest = place.join(every, "paper").where(F.col("place") <= F.col("h") + k).join(hits, ["query_id", "paper", "doc_id"], "left_anti")
+    both = hits.unionByName(rest.select("query_id", "paper", "doc_id", F.lit(0.0).alias("score")))
+    order = W.partitionBy("query_id", "paper").orderBy(F.col("score").desc(), "doc_id")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def paper_search(chunks: DataFrame, queries: DataFrame, k: int = 8, section: str | None = None) -> DataFrame:
+    """(query_id, paper, doc_id, score, rank): hybrid search within each paper.
+
+    chunks: (id, paper, section, text, v), queries: (id, text, v).  4k candidates (all, in a smaller paper) come out of
+    twice as many of each list; then only chunks of ``section`` stay, where it is given, and the k best of them are kept.
+    """
+    fetch = 4 * k
+    queries = queries.toDF(*queries.columns)  # columns of their own, where both sides come from one table
+    key = lambda df: df.select(F.struct("query_id", "paper").alias("query_id"), "doc_id", "score", "rank")
+    both = fuse(key(per_paper_topk(chunks, queries, 2 * fetch)), key(paper_bm25(chunks, queries, 2 * fetch)), fetch)
+    both = both.select("query_id.query_id", "query_id.paper", "doc_id", "score", F.col("rank").alias("order"))
+    if section is not None:
+        both = both.join(chunks.where(F.col("section") == section).select("paper", F.col("id").alias("doc_id")), ["paper", "doc_id"], "left_semi")
+    order = W.partitionBy("query_id", "paper").orderBy("order")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("order")
+
+
+def sampled_papers(chunks: DataFrame, queries: DataFrame, papers: DataFrame, per_paper: int = 5) -> DataFrame:
+    """(query_id, place, paper, doc_id, rank): each listed paper's best chunks in the papers' order; papers (paper, place) without chunks give none."""
+    some = chunks.join(papers.select("paper"), "paper", "left_semi")
+    return paper_search(some, queries, max(1, per_paper)).join(papers, "paper").select("query_id", "place", "paper", "doc_id", "rank")

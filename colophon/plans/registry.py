@@ -89,6 +89,60 @@ def hybrid_in_base(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d, read(spark, d, "documents").where("lang = 'en'").select("doc_id"))
 
 
+def paper_sql(k: int, where: str = "TRUE") -> str:
+    """Both lists within each paper, fused, filtered and cut."""
+    spread = "CASE WHEN max(score) OVER v = min(score) OVER v THEN 1 ELSE (score - min(score) OVER v) / (max(score) OVER v - min(score) OVER v) END"
+    return f"""WITH {DENSE},
+ch AS (SELECT vec_id AS doc_id, label AS paper, lang AS section, text, n.e FROM embeddings JOIN n USING (vec_id) JOIN documents ON documents.doc_id = vec_id),
+w AS (SELECT paper, doc_id, {TOKENS} AS w FROM ch), l AS (SELECT paper, doc_id, len(w) AS len FROM w),
+tf AS (SELECT paper, doc_id, term, count(*) AS tf FROM (SELECT paper, doc_id, unnest(w) AS term FROM w) GROUP BY ALL),
+s AS (SELECT paper, count(*) AS n, avg(len) AS avgdl FROM l GROUP BY 1),
+r AS (SELECT paper, term, ln(n - df + 0.5) - ln(df + 0.5) AS raw, avgdl FROM (SELECT paper, term, count(*) AS df FROM tf GROUP BY ALL) JOIN s USING (paper)),
+i AS (SELECT paper, term, avgdl, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY paper) ELSE raw END AS idf FROM r),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+h AS (SELECT query_id, paper, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score FROM q JOIN i USING (term) JOIN tf USING (paper, term) JOIN l USING (paper, doc_id) GROUP BY ALL),
+b AS (SELECT item_id AS query_id, l.paper, l.doc_id, round(coalesce(score, 0), 6) AS score FROM (SELECT item_id FROM benchmark) a CROSS JOIN l LEFT JOIN h ON h.query_id = item_id AND h.doc_id = l.doc_id AND h.paper = l.paper),
+d AS (SELECT item_id AS query_id, ch.paper, ch.doc_id, round(list_dot_product(n.e, ch.e), 6) AS score FROM benchmark JOIN n ON n.vec_id = item_id CROSS JOIN ch),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper ORDER BY score DESC, doc_id) AS rv FROM d QUALIFY rv <= {8 * k}),
+br AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper ORDER BY score DESC, doc_id) AS rk FROM b QUALIFY rk <= {8 * k}),
+dn AS (SELECT query_id, paper, doc_id, rv, {spread} AS nv FROM dr WINDOW v AS (PARTITION BY query_id, paper)),
+bn AS (SELECT query_id, paper, doc_id, rk, {spread} AS nk FROM br WINDOW v AS (PARTITION BY query_id, paper)),
+f AS (SELECT query_id, paper, doc_id, rv, rk, nv, nk FROM dn FULL JOIN bn USING (query_id, paper, doc_id)),
+g AS (SELECT *, round(CASE WHEN max(nv) OVER (PARTITION BY query_id, paper) IS NULL THEN nk ELSE 0.7 * coalesce(nv, 0) + 0.3 * coalesce(nk, 0) END, 6) AS fused FROM f),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper ORDER BY fused DESC, rv NULLS LAST, rk NULLS LAST, doc_id) AS o FROM g QUALIFY o <= {4 * k}),
+z AS (SELECT query_id, paper, doc_id, round(fused, 3) AS score, CAST(row_number() OVER (PARTITION BY query_id, paper ORDER BY o) AS INTEGER) AS rank FROM c JOIN ch USING (paper, doc_id) WHERE {where} QUALIFY rank <= {k})"""
+
+
+def _paper_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Labels are papers, languages their sections; benchmark items with a vector ask."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("section"))
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("paper"))
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text").join(v.select("id", "v"), "id")
+    return docs.join(v, "id"), asked
+
+
+@query(paper_sql(3) + "SELECT * FROM z")
+def paper_search(spark: SparkSession, d: str) -> DataFrame:
+    chunks, asked = _paper_chunks(spark, d)
+    return retrieval.paper_search(chunks, asked, 3).withColumn("score", F.round("score", 3))
+
+
+@query(paper_sql(2, "section = 'en'") + "SELECT * FROM z")
+def paper_section_search(spark: SparkSession, d: str) -> DataFrame:
+    """The filter on the section comes after the candidates are fused, so a paper may give fewer rows than asked for."""
+    chunks, asked = _paper_chunks(spark, d)
+    return retrieval.paper_search(chunks, asked, 2, "en").withColumn("score", F.round("score", 3))
+
+
+@query(paper_sql(4) + "SELECT query_id, CAST(10 - paper AS INTEGER) AS place, paper, doc_id, rank FROM z WHERE paper % 3 = 0")
+def sampled_papers(spark: SparkSession, d: str) -> DataFrame:
+    """Every third label is listed, from the last to the first; one listed paper has no chunks."""
+    chunks, asked = _paper_chunks(spark, d)
+    labels = chunks.select("paper").distinct().where("paper % 3 = 0")
+    papers = labels.unionByName(spark.createDataFrame([(-3,)], "paper int")).select("paper", (10 - F.col("paper")).cast("int").alias("place"))
+    return retrieval.sampled_papers(chunks, asked, papers, 4)
+
+
 @query(f"""WITH {DENSE},
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.e, b.e), 6) AS score FROM n a JOIN n b ON a.vec_id % 20 = 0),
 t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10)
