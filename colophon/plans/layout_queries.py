@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.functions import text as T
-from colophon.operators import markers, visuals
+from colophon.operators import fonts, markers, visuals
 from colophon.plans.base import query, read
 
 # --- figure and table text ---------------------------------------------------
@@ -139,3 +139,24 @@ def caption_spacing(spark: SparkSession, d: str) -> DataFrame:
     back = F.when(page % 4 == 0, "K").when(page % 4 == 1, "kb.").otherwise("data.Set")
     text = F.concat(front, page.cast("string"), F.lit("."), F.regexp_replace("url", "[/.:]", ""), page.cast("string"), back)
     return read(spark, d, "pages").select("page_id", T.caption_spacing(text).alias("caption"))
+
+
+# --- titles ------------------------------------------------------------------
+
+
+@query(rf"""WITH s AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+p AS (SELECT page, CAST((length(line) * 7 + i * 5) % 23 AS DOUBLE) / 2 + 6 AS size, (i * 17 + page) % 3 * 150.0 AS x0, (i * 37 + page * 11) % 90 * 8.5 AS y0, regexp_replace(CASE WHEN (i + page) % 6 = 0 THEN left(line, 2) WHEN (i + page) % 7 = 1 THEN 'DOI ' || line ELSE left(line, 60) END, '^\s+|\s+$', '', 'g') AS text FROM s),
+q AS (SELECT *, y0 < {0.45} * 800 AS upper FROM p WHERE text <> ''),
+u AS (SELECT page, size, x0, y0, text, NOT regexp_matches(text, '(?i)arXiv|DOI|ISSN|ISBN|Contents lists|journal homepage|www\.|©|Copyright|Anonymous submission|^\d+$|^[IVXLC]+\s*$') AS good FROM q WHERE upper OR page NOT IN (SELECT page FROM q WHERE upper)),
+l AS (SELECT a.page, a.size, count(*) AS n, max(length(b.text)) AS longest FROM (SELECT DISTINCT page, size FROM u) a JOIN u b ON b.page = a.page AND b.good AND b.size >= a.size - 0.6 GROUP BY ALL),
+c AS (SELECT page, max(size) AS size FROM l WHERE n > 1 OR longest > 2 GROUP BY 1),
+t AS (SELECT u.page, string_agg(text, ' ' ORDER BY round_even(y0 / 4, 0), x0, text) AS t FROM u JOIN c ON c.page = u.page AND u.good AND u.size >= c.size - 0.6 GROUP BY 1)
+SELECT page, nullif(regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^[ \t.:;,_-]+|[ \t.:;,_-]+$', '', 'g'), '') AS title FROM (SELECT DISTINCT page FROM p) LEFT JOIN t USING (page)""")
+def font_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a document are pieces of its first page, their length and place giving letters and position."""
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    i, page = F.col("i"), F.col("page")
+    text = F.when((i + page) % 6 == 0, F.substring("line", 1, 2)).when((i + page) % 7 == 1, F.concat(F.lit("DOI "), "line")).otherwise(F.substring("line", 1, 60))
+    size = ((F.length("line") * 7 + i * 5) % 23).cast("double") / 2 + 6
+    pieces = rows.select("page", size.alias("size"), ((i * 17 + page) % 3 * 150.0).alias("x0"), ((i * 37 + page * 11) % 90 * 8.5).alias("y0"), text.alias("text"))
+    return fonts.titles(pieces, 800.0)
