@@ -8,15 +8,16 @@ languages that contain it at once.  A text's n-grams are popcounted for each
 language, the false positives expected from the language's fill are taken off,
 and the largest count decides.
 
-The filter's size is bounded by ``MAX_SLOTS`` (and its keys by 64**4 n-grams), so
-it can be sent to every task.  At most 63 languages fit a mask; more raise an
-error.
+The slots follow the number of n-grams, ``SLOTS`` for each at least, so no filter
+fills up; n-grams are at most 64**4 for corpora of any size, and a slot takes a bit a
+language, so the filters have a bound and can be sent to every task.  Masks have as
+many words as the languages need; more than ``MOST`` languages raise an error.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or
 nothing could be learnt; ties go to the language that is first by name; if no
 language has any n-gram of the text, the most frequent one is named with score
 0; rows are handled one by one, so repeated rows are answered each; labels that
-are null are not learnt from; extra columns are ignored.
+are null are not learnt from; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ from .common import batch, held_out, keep, mix64
 from .symbols import chunks, symbols
 
 HASHES = 3
-MAX_SLOTS = 1 << 21
+#: Slots for each n-gram, at least: a filter that held all of them would be filled to 1 - exp(-3/8), a third.
+SLOTS = 8
+#: Languages in one word of a mask, and languages at most, which is checked.
+WORD, MOST = 64, 4096
 #: A language has an n-gram whose share reaches this part of the largest share.
 SHARE = 0.25
 MIN_COUNT = 2
@@ -89,34 +93,41 @@ def slots(codes: np.ndarray, k: int, size: int) -> np.ndarray:
 
 
 class LanguageFilter:
-    """The bit-sliced Bloom filters of all languages."""
+    """The bit-sliced Bloom filters of all languages: a row of slots for each word of the masks."""
 
     def __init__(self, langs: list[str], prior: str | None, table: np.ndarray):
-        self.langs, self.prior, self.table = langs, prior, table
-        fill = np.array([(table >> np.uint64(i) & np.uint64(1)).mean() for i in range(len(langs))])
-        self.false_rate = fill**HASHES
-        small = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= 8 * np.dtype(t).itemsize)
-        self.small = table.astype(small)
+        self.langs, self.prior, self.table = langs, prior, np.atleast_2d(table)
+        fill = np.array([(self.table[i // WORD] >> np.uint64(i % WORD) & np.uint64(1)).mean() for i in range(len(langs))])
+        self.fill, self.false_rate = fill, fill**HASHES
+        narrow = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(langs), WORD) <= 8 * np.dtype(t).itemsize)
+        self.small = self.table.astype(narrow)
         self.memo = None
 
+    def _look(self, codes: np.ndarray) -> np.ndarray:
+        m = self.small[:, slots(codes, 0, self.small.shape[1])]
+        for k in range(1, HASHES):
+            m = m & self.small[:, slots(codes, k, self.small.shape[1])]
+        return m
+
     def masks(self, codes: np.ndarray) -> np.ndarray:
-        """The languages that contain each n-gram; answers are remembered by code."""
+        """The languages that contain each n-gram, a row a word; answers of one word are remembered by code."""
+        if len(self.small) > 1:  # a memory of many words would be larger than the filters
+            new, back = np.unique(codes, return_inverse=True)
+            return self._look(new)[:, back]
         if self.memo is None:
             self.memo, self.known = np.zeros(CODES, self.small.dtype), np.zeros(CODES, bool)
         new = np.unique(codes[~self.known[codes]])
         if len(new):
-            m = self.small[slots(new, 0, len(self.small))]
-            for k in range(1, HASHES):
-                m = m & self.small[slots(new, k, len(self.small))]
-            self.memo[new], self.known[new] = m, True
-        return self.memo[codes]
+            self.memo[new], self.known[new] = self._look(new)[0], True
+        return self.memo[codes][None]
 
     def decide(self, codes: np.ndarray, of: np.ndarray, rows: int) -> tuple[list[str], np.ndarray]:
         total = np.bincount(of, minlength=rows)
         m = self.masks(codes)
         counts = np.zeros((rows, len(self.langs)))
         for i in range(len(self.langs)):
-            counts[:, i] = np.bincount(of[(m >> m.dtype.type(i) & m.dtype.type(1)).astype(bool)], minlength=rows)
+            word = m[i // WORD]
+            counts[:, i] = np.bincount(of[(word >> word.dtype.type(i % WORD) & word.dtype.type(1)).astype(bool)], minlength=rows)
         true = np.maximum((counts - self.false_rate * total[:, None]) / (1 - self.false_rate), 0) if len(self.langs) else counts
         best = true.argmax(1) if len(self.langs) else np.zeros(rows, int)
         top = true.max(1) if len(self.langs) else np.zeros(rows)
@@ -128,32 +139,33 @@ class LanguageFilter:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageFilter:
     """Filters of the languages in ``docs`` (rows without a language are skipped)."""
     counts = keep(count_ngrams(docs.where(F.col(lang_col).isNotNull()), text_col, lang_col), "ngram-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").limit(64).collect()
-    if len(totals) > 63:
-        raise ValueError("a mask holds 63 languages at most")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").limit(MOST + 1).collect()
+    if len(totals) > MOST:
+        raise ValueError(f"more than {MOST} languages")
     langs = [r.lang for r in totals]
     if not langs:
-        return LanguageFilter([], None, np.zeros(2, np.uint64))
+        return LanguageFilter([], None, np.zeros((1, 2), np.uint64))
     spark = docs.sparkSession
-    # 63 rows at most
-    share = counts.join(F.broadcast(spark.createDataFrame([(r.lang, i, float(r.total)) for i, r in enumerate(totals)], "lang string, bit int, total double")), "lang")
+    # MOST rows at most
+    share = counts.join(F.broadcast(spark.createDataFrame([(r.lang, i // WORD, i % WORD, float(r.total)) for i, r in enumerate(totals)], "lang string, word int, bit int, total double")), "lang")
     share = share.where(F.col("n") >= MIN_COUNT).withColumn("share", F.col("n") / F.col("total"))
     top = share.groupBy("code").agg(F.max("share").alias("top"))
     held = share.join(top, "code").where(F.col("share") >= SHARE * F.col("top"))
-    masks = keep(held.groupBy("code").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")), "ngram-masks")
+    masks = keep(held.groupBy("code", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")), "ngram-masks")
+    # n-grams are at most CODES, however large the corpus; so are the slots
     size = 1 << 10
-    while size < min(MAX_SLOTS, 16 * masks.count()):
+    while size < SLOTS * masks.select("code").distinct().count():
         size *= 2
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("slot", pa.int32()), ("mask", pa.int64())])
+        schema = pa.schema([("word", pa.int32()), ("slot", pa.int32()), ("mask", pa.int64())])
         for b in batches:
-            codes, mask = b.column("code").to_numpy(zero_copy_only=False), b.column("mask").to_numpy(zero_copy_only=False)
-            yield batch(schema, slot=pa.array(np.concatenate([slots(codes, k, size) for k in range(HASHES)]).astype(np.int32)), mask=pa.array(np.tile(mask, HASHES)))
+            codes, mask, word = (b.column(c).to_numpy(zero_copy_only=False) for c in ("code", "mask", "word"))
+            yield batch(schema, word=pa.array(np.tile(word, HASHES)), slot=pa.array(np.concatenate([slots(codes, k, size) for k in range(HASHES)]).astype(np.int32)), mask=pa.array(np.tile(mask, HASHES)))
 
-    filled = masks.mapInArrow(spread, "slot int, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # MAX_SLOTS rows at most
-    table = np.zeros(size, np.uint64)
-    table[filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().astype(np.uint64)
+    filled = masks.mapInArrow(spread, "word int, slot int, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # slots times words at most
+    table = np.zeros((-(-len(langs) // WORD), size), np.uint64)
+    table[filled.column("word").to_numpy(), filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().astype(np.uint64)
     prior = max(totals, key=lambda r: (r.total, r.lang)).lang
     return LanguageFilter(langs, prior, table)
 

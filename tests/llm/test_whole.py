@@ -50,7 +50,7 @@ def test_language_filter_against_exact_sets():
             np.bitwise_or.at(table, langid.slots(g, k, size), np.uint64(1 << bit))
     model = langid.LanguageFilter(list("abcde"), "a", table)
     for want, g in enumerate(grams):
-        mask = model.masks(g)
+        mask = model.masks(g)[0]
         assert ((mask >> np.uint64(want)) & np.uint64(1)).all()  # no n-gram is lost
         text = np.concatenate([rng.choice(g, 60), rng.integers(0, langid.CODES, 40)])
         names, score = model.decide(text, np.zeros(len(text), np.int64), 1)
@@ -58,6 +58,31 @@ def test_language_filter_against_exact_sets():
         assert names == ["abcde"[int(np.argmax(exact))]] and abs(score[0] - 1) < 0.35
 
 
+def test_many_languages(spark):
+    """200 languages, each of its own letters: masks of four words, filters that are not filled, held-out texts told apart."""
+    rng = random.Random(9)
+    letters = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x3B1, 0x3C9)] + [chr(c) for c in range(0x430, 0x44F)]
+    words = {f"l{k:03d}": ["".join(rng.choices(rng.sample(letters, 12), k=rng.randrange(4, 9))) for _ in range(40)] for k in range(200)}
+    rows = [(i, lang, " ".join(rng.choices(w, k=60))) for lang, w in words.items() for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.learn(df.where("doc_id < 4"))
+    assert model.table.shape[0] == 4 and model.fill.max() < 0.5
+    asked = df.where("doc_id >= 4").select(F.concat("lang", F.col("doc_id").cast("string")).alias("k"), "text", "lang", F.monotonically_increasing_id().alias("doc_id")).persist()
+    got = langid.predict(asked.select("doc_id", "text"), model).join(asked.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == 400 and sum(r.lang == r.lang_pred for r in got) >= 396
+
+
+def test_full_filters_stay_below_half():
+    """Slots follow the n-grams: a language that holds all of a million of them fills a third of its filter."""
+    grams = np.arange(1 << 20)
+    size = 1 << 23
+    table = np.zeros(size, np.uint64)
+    for k in range(langid.HASHES):
+        table[langid.slots(grams, k, size)] = 1
+    model = langid.LanguageFilter(["a"], "a", table)
+    assert model.fill[0] < 0.5 and model.false_rate[0] < 0.1 and model.masks(grams[::1000]).all()
+
+
 def texts_of_all_kinds():
     rng = random.Random(12)
     parts = ["word", " ", "  ", "\n", "\t", "it's", "Don't", "don’t", "12,345.6", "é", "ß", "漢字", "\U0001f600", "‍", "<|endoftext|>", "x" * 300, "á", " ", "Ω", "\r\n", "...", "http://a.b/c?d=e", "\x00", "ǆ", "ſ"]
