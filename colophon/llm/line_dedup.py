@@ -18,7 +18,8 @@ pushed out, without counting the corpus again.  A corpus is built by inserting
 it into the empty index.
 
 Postings meet the filter of their shard; only those that it reports go to the
-exact table, which removes the filters' false positives.  A shard's postings are
+exact table, which removes the filters' false positives.  There are as many shards as
+the frequent keys ask for, so a filter has a bound, and a shard's postings are
 dealt over as many slices as its rows need, so neither a hot key nor a large
 corpus fills a task, and no table of filters is sent to all tasks.
 
@@ -48,9 +49,11 @@ from .common import batch, keep, mix64, runs
 MIN_CHARS = 40
 MIN_DOCS = 5
 SLOTS = 4
-#: Shards of the key space.  A shard is a unit of filter updates, not a bound on the corpus: its filter
-#: holds the frequent keys only, two bytes each.
-SHARDS = 256
+#: Shards of the key space, at least, and the frequent keys that a shard is made for: a filter of
+#: twice as many, the most before the index is dealt over more shards, has 256 KB.
+SHARDS, SHARD_KEYS = 256, 1 << 15
+#: Shards up to which their slices are sent to every task; more are joined by a shuffle.
+SENT_SHARDS = 1 << 16
 #: Postings that meet a filter in one task, about.
 SLICE_ROWS = 1 << 18
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -181,20 +184,29 @@ class LineIndex:
     counts: DataFrame
     filters: DataFrame
     min_docs: int = MIN_DOCS
+    shards: int = SHARDS
 
     @property
     def frequent(self) -> DataFrame:
         return self.counts.where(F.col("n_docs") >= self.min_docs)
 
 
-def _shard(h1: str = "h1") -> F.Column:
-    return F.pmod(h1, F.lit(SHARDS)).cast("int").alias("shard")
+def _shard(shards: int) -> F.Column:
+    return F.pmod("h1", F.lit(shards)).cast("int").alias("shard")
+
+
+def shards_for(keys: int) -> int:
+    """A power of two that gives each shard at most SHARD_KEYS of the frequent keys, about."""
+    shards = SHARDS
+    while shards * SHARD_KEYS < keys:
+        shards *= 2
+    return shards
 
 
 _FILTERS = "shard int, buckets int, filter binary, n_keys long"
 
 
-def update_filters(filters: DataFrame | None, crossing: DataFrame) -> DataFrame:
+def update_filters(filters: DataFrame | None, crossing: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The filters after the keys of ``crossing`` (h1, up) have been inserted (up) or deleted.
 
     Only shards with a crossing key are loaded.  A filter that cannot take its
@@ -215,7 +227,7 @@ def update_filters(filters: DataFrame | None, crossing: DataFrame) -> DataFrame:
                 f.table = np.zeros((0, SLOTS), np.uint16)
         return pd.DataFrame({"shard": [int(key[0])], "buckets": np.array([len(f.table)], np.int32), "filter": [f.table.tobytes()], "n_keys": [n]})
 
-    crossing = crossing.select(_shard(), "h1", "up")
+    crossing = crossing.select(_shard(shards), "h1", "up")
     if filters is None:
         return crossing.groupBy("shard").applyInPandas(lambda key, pdf: change(key, pdf[:0], pdf), _FILTERS)
     hit = crossing.select("shard").distinct()
@@ -223,32 +235,44 @@ def update_filters(filters: DataFrame | None, crossing: DataFrame) -> DataFrame:
     return filters.join(hit, "shard", "left_anti").unionByName(changed)
 
 
-def _settled(filters: DataFrame, counts: DataFrame, min_docs: int, name: str) -> DataFrame:
+def _settled(filters: DataFrame, frequent: DataFrame, shards: int, name: str) -> DataFrame:
     """The written filters; those that were full are built again from their shards' frequent keys."""
     filters = keep(filters, name)
     full = filters.where("buckets = 0").select("shard")
     if full.isEmpty():
         return filters
-    keys = counts.where(F.col("n_docs") >= min_docs).select(_shard(), "h1", F.lit(True).alias("up")).join(full, "shard", "left_semi")
-    return keep(filters.where("buckets > 0").unionByName(update_filters(None, keys)), name)
+    keys = frequent.select(_shard(shards), "h1", F.lit(True).alias("up")).join(full, "shard", "left_semi")
+    return keep(filters.where("buckets > 0").unionByName(update_filters(None, keys, shards)), name)
+
+
+def _built(postings: DataFrame, counts: DataFrame, min_docs: int) -> LineIndex:
+    """The index with new filters, over as many shards as its frequent keys ask for."""
+    frequent = counts.where(F.col("n_docs") >= min_docs)
+    shards = shards_for(frequent.count())
+    filters = update_filters(None, frequent.select("h1", F.lit(True).alias("up")), shards)
+    return LineIndex(postings, counts, _settled(filters, frequent, shards, "line-filters"), min_docs, shards)
 
 
 def insert_documents(index: LineIndex | None, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
-    """The index after ``docs`` (whose ids must be new to it) have been added; None is the empty index."""
+    """The index after ``docs`` (whose ids must be new to it) have been added; None is the empty index.
+
+    An index that has outgrown its shards gets new filters over more of them.
+    """
     new = keep(postings(docs, id_col, text_col, min_chars), "line-postings")
     more = reference_counts(new)
     if index is None:
-        counts = keep(more, "line-counts")
-        up = counts.where(F.col("n_docs") >= min_docs).select("h1", F.lit(True).alias("up"))
-        return LineIndex(new, counts, _settled(update_filters(None, up), counts, min_docs, "line-filters"), min_docs)
+        return _built(new, keep(more, "line-counts"), min_docs)
     more = more.withColumnsRenamed({"n_docs": "add", "last_doc": "top"})
     joined = index.counts.join(more, ["h1", "h2"], "full")
     before, after = F.coalesce("n_docs", F.lit(0)), F.coalesce("n_docs", F.lit(0)) + F.coalesce("add", F.lit(0))
     moved = keep(joined.select("h1", "h2", before.alias("before"), after.alias("n_docs"), F.greatest("last_doc", "top").alias("last_doc")), "line-counts")
-    counts = moved.select("h1", "h2", "n_docs", "last_doc")
+    counts, both = moved.select("h1", "h2", "n_docs", "last_doc"), index.postings.unionByName(new)
+    frequent = counts.where(F.col("n_docs") >= index.min_docs)
+    if frequent.count() > 2 * index.shards * SHARD_KEYS:
+        return _built(both, counts, index.min_docs)
     up = moved.where((F.col("before") < index.min_docs) & (F.col("n_docs") >= index.min_docs)).select("h1", F.lit(True).alias("up"))
-    filters = _settled(update_filters(index.filters, up), counts, index.min_docs, "line-filters")
-    return LineIndex(index.postings.unionByName(new), counts, filters, index.min_docs)
+    filters = _settled(update_filters(index.filters, up, index.shards), frequent, index.shards, "line-filters")
+    return LineIndex(both, counts, filters, index.min_docs, index.shards)
 
 
 def delete_documents(index: LineIndex, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
@@ -266,17 +290,18 @@ def delete_documents(index: LineIndex, ids: DataFrame, id_col: str = "doc_id") -
     moved = keep(joined.select("h1", "h2", F.col("n_docs").alias("before"), after.alias("n_docs"), last.alias("last_doc")), "line-counts")
     down = moved.where((F.col("before") >= index.min_docs) & (F.col("n_docs") < index.min_docs)).select("h1", F.lit(False).alias("up"))
     counts = moved.where("n_docs > 0").select("h1", "h2", "n_docs", "last_doc")
-    return LineIndex(left, counts, _settled(update_filters(index.filters, down), counts, index.min_docs, "line-filters"), index.min_docs)
+    filters = _settled(update_filters(index.filters, down, index.shards), counts.where(F.col("n_docs") >= index.min_docs), index.shards, "line-filters")
+    return LineIndex(left, counts, filters, index.min_docs, index.shards)
 
 
 def dropped_lines(index: LineIndex) -> DataFrame:
     """(doc_id, copy, drop): the numbers of the lines that each document loses."""
-    # SHARDS rows at most
-    slices = index.postings.groupBy(_shard()).agg(F.ceil(F.count("*") / F.lit(SLICE_ROWS)).cast("int").alias("slices"))
+    slices = index.postings.groupBy(_shard(index.shards)).agg(F.ceil(F.count("*") / F.lit(SLICE_ROWS)).cast("int").alias("slices"))
     slices = keep(slices, "line-slices")
-    rows = index.postings.withColumn("shard", _shard()).join(F.broadcast(slices), "shard")
+    slices = F.broadcast(slices) if index.shards <= SENT_SHARDS else slices  # a row a shard
+    rows = index.postings.withColumn("shard", _shard(index.shards)).join(slices, "shard")
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id"), "slices").cast("int")).select("shard", "slice", "h1", "h2", "doc_id", "copy", "spots")
-    filters = index.filters.join(F.broadcast(slices), "shard").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("shard", "slice", "filter")
+    filters = index.filters.join(slices, "shard").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("shard", "slice", "filter")
 
     def test(batch_of_postings: pa.Table, of_filter: pa.Table) -> pa.Table:
         found = batch_of_postings.select(["h1", "h2", "doc_id", "copy", "spots"])

@@ -88,3 +88,21 @@ def test_no_frequent_line_and_no_document(spark):
         assert dropped(index) == {} and shards(index) == {}
         index = line_dedup.delete_documents(index, spark.createDataFrame([(1,)], "doc_id long"))
         assert dropped(index) == {}
+
+
+def test_filters_have_a_bound(spark, monkeypatch):
+    """Many frequent keys are dealt over more shards, at once or when an index outgrows its own."""
+    monkeypatch.setattr(line_dedup, "SHARDS", 2)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 16)
+    lines = [f"frequent line number {i} that is long enough to count" for i in range(500)]
+    docs = {i: "\n".join(lines) for i in range(5)} | {5 + i: "\n".join(lines[:40]) for i in range(6)}
+    frame = lambda ids: spark.createDataFrame([(i, docs[i]) for i in ids], "doc_id long, text string")
+    bound = 2 * SLOTS * 2 * line_dedup.SHARD_KEYS  # bytes: slots of two bytes, filled to a quarter at least
+    whole = line_dedup.insert_documents(None, frame(range(11)))
+    assert whole.shards == 32 and max(map(len, shards(whole).values())) <= bound and dropped(whole) == brute(docs)
+    grown = line_dedup.insert_documents(None, frame(range(5, 11)))
+    assert grown.shards == 4
+    grown = line_dedup.insert_documents(grown, frame(range(5)))
+    assert grown.shards == 32 and max(map(len, shards(grown).values())) <= bound and dropped(grown) == brute(docs)
+    fewer = line_dedup.delete_documents(grown, frame([0]).select("doc_id"))
+    assert dropped(fewer) == brute({i: t for i, t in docs.items() if i}) and fewer.frequent.count() == 40
