@@ -53,6 +53,8 @@ from pyspark.sql import functions as F
 from .common import BUCKET_BYTES, batch, components, join_hot, keep, mix64, partitions, runs
 
 WORDS = 4
+#: Bytes of a posting in a scan, and the buckets that a class's sketch is counted for, at most: both only size the buckets.
+_ROW_BYTES, MOST_COPIES = 24, 1024
 #: Documents link when DEN * intersection >= NUM * union.
 NUM, DEN = 85, 100
 #: What a posting costs against a subset key: it may have to be compared and verified.
@@ -293,10 +295,11 @@ def _lists(posted: DataFrame) -> DataFrame:
 
 
 class _Scan:
-    """Array comparison of one bucket's lists."""
+    """Array comparison of one bucket's lists (key, c) between the classes (c, n, comp, cursor, sketch) that it has."""
 
-    def __init__(self, pdf: pd.DataFrame, names: int, num: int, den: int):
+    def __init__(self, lists: pd.DataFrame, classes: pd.DataFrame, names: int, num: int, den: int):
         self.num, self.den, self.names = num, den, names
+        pdf = classes
         ids, first = np.unique(pdf["c"].to_numpy(np.int64), return_index=True)
         self.ids = ids
         self.n = pdf["n"].to_numpy(np.int64)[first]
@@ -306,8 +309,9 @@ class _Scan:
         self.words = np.array([len(r) // 8 for r in raw], np.int64)
         self.begin = np.cumsum(self.words) - self.words
         self.sketch = np.frombuffer(b"".join(raw), np.uint64)
-        key = pdf["key"].to_numpy(np.int64)
-        member = np.searchsorted(ids, pdf["c"].to_numpy(np.int64))
+        lists = lists[np.isin(lists["c"].to_numpy(np.int64), ids)]
+        key = lists["key"].to_numpy(np.int64)
+        member = np.searchsorted(ids, lists["c"].to_numpy(np.int64))
         order = np.lexsort((member, self.comp[member], key))
         self.member = member[order]
         self.at, self.size = runs(key[order])
@@ -414,16 +418,31 @@ def _stars(docs: DataFrame, classes: DataFrame, words: int, num: int, den: int)
     return keep(_verified(pairs, _sets(docs, wanted, words), num, den), "star-links")
 
 
-def _bucketed(lists: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
-    rows = lists.join(state, "c").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    return rows.select("bucket", "key", "c", "n", "comp", "cursor", "sketch").groupBy("bucket")
+def _buckets(lists: DataFrame, state: DataFrame, least: int) -> int:
+    """Buckets of about BUCKET_BYTES: postings, and a class's sketch once a bucket that has the class."""
+    per = lists.groupBy("c").agg(F.count("*").alias("m")).join(state.select("c", F.length("sketch").alias("size")), "c")
+    size = F.col("m") * _ROW_BYTES + F.least("m", F.lit(MOST_COPIES)) * F.col("size")
+    return max(least, int((per.agg(F.sum(size)).first()[0] or 0) // BUCKET_BYTES) + 1)
+
+
+def _scanned(lists: DataFrame, state: DataFrame, buckets: int, work, schema: str) -> DataFrame:
+    """``work`` on each bucket's lists and classes.
+
+    A class goes to each of its buckets once, however many of its postings are there:
+    bytes grow with a text, not with its square.
+    """
+    dealt = lists.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key", "c", "n")
+    places = dealt.groupBy("c").agg(F.min("n").alias("n"), F.collect_set("bucket").alias("buckets"))
+    classes = state.join(places, "c").select(F.explode("buckets").alias("bucket"), "c", "n", "comp", "cursor", "sketch")
+    rows = dealt.select(F.col("bucket").alias("at"), "key", "c")
+    return rows.groupBy("at").cogroup(classes.groupBy("bucket")).applyInPandas(work, schema)
 
 
 def _touched(lists: DataFrame, state: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
     """(c) of the classes that a first scan with folded sketches cannot exclude."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"c": _Scan(pdf, 0, num, den).touched()})
+    def work(rows: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": _Scan(rows, classes, 0, num, den).touched()})
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("c", pa.int64()), ("comp", pa.int64()), ("cursor", pa.int64()), ("sketch", pa.binary())])
@@ -431,15 +450,15 @@ def _touched(lists: DataFrame, state: DataFrame, buckets: int, num: int, den: in
             yield batch(schema, c=b.column(0), comp=b.column(1), cursor=b.column(2), sketch=[fold(r.as_py()) for r in b.column(3)])
 
     small = state.select("c", "comp", "cursor", "sketch").mapInArrow(folded, "c long, comp long, cursor long, sketch binary")
-    return _bucketed(lists, small, buckets).applyInPandas(work, "c long").distinct()
+    return _scanned(lists, small, buckets, work, "c long").distinct()
 
 
 def _named(lists: DataFrame, state: DataFrame, buckets: int, names: int, num: int, den: int) -> DataFrame:
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = _Scan(pdf, names, num, den).pairs()
+    def work(rows: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
+        p = _Scan(rows, classes, names, num, den).pairs()
         return pd.DataFrame({"x": p[:, 0], "y": p[:, 1]})
 
-    found = _bucketed(lists, state, buckets).applyInPandas(work, "x long, y long").distinct()
+    found = _scanned(lists, state, buckets, work, "x long, y long").distinct()
     rank = F.row_number().over(W.partitionBy("x").orderBy("y"))
     return found.withColumn("rank", rank).where(F.col("rank") <= names).select("x", "y")
 
@@ -498,7 +517,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     state = keep(state.join(touched, "c", "left_semi"), "scan0")
     lists = keep(lists.join(touched, "c", "left_semi").select("key", "c", "n"), "lists")
     sets = keep(_sets(docs, classes.join(touched, "c", "left_semi").select(F.col("first").alias("id"), "c"), words), "sets")
-    scan_buckets = partitions(spark)
+    scan_buckets = _buckets(lists, state, partitions(spark))
     for turn in range(200):
         names = NAMES[turn] if turn < len(NAMES) else NAMES[-1] * 4 ** min(turn - len(NAMES) + 1, 6)
         named = keep(_named(lists, state, scan_buckets, names, num, den), "named")

@@ -48,3 +48,23 @@ def test_stars_join_large_groups(spark, rows):
     classes = classes.withColumnsRenamed({"min(id)": "first", "min(n)": "n", "max(bands)": "bands"})
     links = jaccard_join._stars(docs, classes, 4, 85, 100)
     assert links.select("x").distinct().count() > 10
+
+
+def test_long_near_copies(spark):
+    """Two near copies of 300,000 words, and one that is not near enough: bytes follow the words, not their square."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    near, far = list(words), list(words)
+    for text, edits in ((near, 3000), (far, 20_000)):
+        for _ in range(edits):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+    rows = [(3, " ".join(words)), (5, " ".join(near)), (4, " ".join(far)), (6, "a b c d e")]
+    got = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {3: 3, 5: 3, 4: 4, 6: 6}
+
+
+def test_buckets_follow_the_bytes(spark):
+    lists = spark.createDataFrame([(k, c, 10) for k in range(200) for c in range(3)], "key long, c long, n int")
+    state = spark.createDataFrame([(c, bytes(1 << 20)) for c in range(3)], "c long, sketch binary")
+    assert jaccard_join._buckets(lists, state, 4) == 600 * (1 << 20) // jaccard_join.BUCKET_BYTES + 1
+    assert jaccard_join._buckets(lists.limit(0), state, 4) == 4
