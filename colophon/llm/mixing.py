@@ -13,11 +13,9 @@ Selection is seeded: within a pattern and source, documents are ordered by a has
 of the seed and their id, one of each text first, and the plan's share is taken from the front; the one
 document at the border gives its first words.
 
-Nothing but sums by (pattern, source) reaches the driver.  The
-``MAX_PATTERNS`` largest patterns of several sources go through the flow as they
-are; documents of any other such pattern count as their own source's alone, so every
-source still meets its target, only repetitions across sources are then not
-weighed.  Sources are at most ``MAX_SOURCES``, which is checked.  Running sums over documents use two
+Nothing but sums by (pattern, source) reaches the driver, where the flow runs on
+arrays: every pattern takes part, whatever their number.  Its paths run between sources and
+move words of all their common patterns at once.  Sources are at most ``MAX_SOURCES``, which is checked.  Running sums over documents use two
 levels of hash buckets, so no task sorts a whole source, and texts with many
 copies are told to the documents by a bounded broadcast.
 
@@ -29,9 +27,12 @@ size; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
+from collections.abc import Callable
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,9 +44,10 @@ WEIGHTS = (5, 2, 1)
 #: The mix holds this share of all words.
 BUDGET = Fraction(3, 2)
 MAX_PASSES = 2
-#: Bounds on what the driver's flow may get.
-MAX_PATTERNS = 100_000
+#: Sources at most, which is checked.
 MAX_SOURCES = 1_000_000
+#: Rows a (pattern, source) up to which the plan is sent to every task; more are joined by a shuffle.
+SENT_UNITS = 100_000
 _BUCKETS = 4096
 
 
@@ -77,58 +79,114 @@ def pass_cost(used: int, supply: int) -> tuple[int, int]:
     Passes 1, 2, 3 and 4 cost 1, 4, 9 and 16 a word; from there the cost rises
     whenever the passes double.
     """
-    done = used // supply
-    step = done if done < 4 else done.bit_length() + 1
-    return (step + 1) ** 2, supply * (done + 1 if done < 4 else 1 << done.bit_length())
+    k = 0
+    while used >= supply * level_end(k):
+        k += 1
+    return (k + 1) ** 2, supply * level_end(k)
+
+
+def level_end(k: int) -> int:
+    """The passes after which words cost more than (k + 1) ** 2."""
+    return k + 1 if k < 4 else 1 << (k - 1)
+
+
+class Flow:
+    """Words that patterns give to sources: one array entry an arc, arcs in the order of their sources."""
+
+    def __init__(self, supply: np.ndarray, need: np.ndarray, pattern: np.ndarray, source: np.ndarray, room: np.ndarray):
+        self.supply, self.need = supply, need.copy()
+        self.pattern, self.source, self.room = pattern, source, room
+        self.begin = np.searchsorted(source, np.arange(len(need) + 1))
+        self.flow, self.used = np.zeros(len(room), np.int64), np.zeros(len(supply), np.int64)
+        self.most = np.bincount(pattern, room, len(supply)).astype(np.int64)
+        self.cap = np.zeros(len(supply), np.int64)
+
+    def arcs(self, s: int) -> slice:
+        return slice(self.begin[s], self.begin[s + 1])
+
+    def free(self, s: int) -> np.ndarray:
+        """What each arc of ``s`` can still bring at this level."""
+        at = self.arcs(s)
+        p = self.pattern[at]
+        return np.minimum(self.room[at] - self.flow[at], self.cap[p] - self.used[p])
+
+    def given_up(self, s: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(arcs of s, arcs of t, words): what s can take from t, pattern by pattern."""
+        i, j = (np.arange(self.begin[x], self.begin[x + 1]) for x in (s, t))
+        _, x, y = np.intersect1d(self.pattern[i], self.pattern[j], assume_unique=True, return_indices=True)
+        i, j = i[x], j[y]
+        return i, j, np.minimum(self.room[i] - self.flow[i], self.flow[j])
+
+    def path(self, s: int) -> list[int] | None:
+        """Sources from ``s`` to one with free words, each taking from the next."""
+        before, queue = {s: -1}, deque([s])
+        while queue:
+            t = queue.popleft()
+            at = self.arcs(t)
+            if (self.free(t) > 0).any():
+                way = [t]
+                while before[way[-1]] >= 0:
+                    way.append(before[way[-1]])
+                return way[::-1]
+            wanted = np.zeros(len(self.supply), bool)
+            wanted[self.pattern[at][self.room[at] > self.flow[at]]] = True
+            for u in np.unique(self.source[wanted[self.pattern] & (self.flow > 0)]).tolist():
+                if u not in before:
+                    before[u] = t
+                    queue.append(u)
+        return None
+
+    @staticmethod
+    def shared_out(words: np.ndarray, amount: int) -> np.ndarray:
+        """``amount`` taken from the front of ``words``."""
+        done = np.cumsum(words)
+        return np.clip(amount - (done - words), 0, words)
+
+    def augment(self, s: int) -> bool:
+        way = self.path(s)
+        if way is None:
+            return False
+        amount = min(int(self.need[s]), int(self.free(way[-1]).sum()), *(int(self.given_up(a, b)[2].sum()) for a, b in zip(way, way[1:], strict=False)))
+        at, more = self.arcs(way[-1]), self.shared_out(self.free(way[-1]), amount)
+        self.flow[at] += more
+        self.used[self.pattern[at]] += more
+        for a, b in reversed(list(zip(way, way[1:], strict=False))):
+            i, j, words = self.given_up(a, b)
+            moved = self.shared_out(words, amount)
+            self.flow[i] += moved
+            self.flow[j] -= moved
+        self.need[s] -= amount
+        return True
+
+    def run(self) -> None:
+        """A largest flow at each cost, cheapest words first; a pattern's cost depends on its whole use, so moving words between sources costs nothing."""
+        for k in itertools.count():
+            self.cap = np.minimum(self.supply * level_end(k), self.most)
+            for s in range(len(self.need)):
+                while self.need[s] > 0 and self.augment(s):
+                    pass
+            if not self.need.any() or (self.cap == self.most).all():
+                return
 
 
 def min_cost_flow(supply: dict[tuple, int], quota: dict[str | None, int], room: dict[tuple[tuple, str | None], int] | None = None, passes: int = MAX_PASSES) -> dict[tuple[tuple, str | None], int]:
     """Words that each pattern gives to each of its sources.
 
     ``room``: the most that a source takes of a pattern (default: ``passes``
-    times its supply).  Successive shortest paths over patterns and sources: an
-    augmenting path may take words back from another source, which costs
-    nothing, since a pattern's cost depends on its whole use.
+    times its supply).  Paths run between sources: along one, each source takes
+    words of any number of patterns from the next, so their number follows the
+    sources and not the patterns.
     """
     if room is None:
         room = {(p, s): passes * n for p, n in supply.items() for s in p}
-    most = {p: sum(room[p, s] for s in p) for p in supply}
-    flow, used, need = dict.fromkeys(room, 0), dict.fromkeys(supply, 0), dict(quota)
-    members: dict[str | None, list[tuple]] = {s: [] for s in quota}
-    for p, s in room:
-        members.setdefault(s, []).append(p)
-    for s in sorted(quota, key=lambda s: (s is None, s or "")):
-        while need[s] > 0:
-            best, seen, queue = None, {s}, deque([(s, ())])
-            while queue:
-                at, path = queue.popleft()
-                for p in members.get(at, ()):
-                    if flow[p, at] >= room[p, at] or not supply[p]:
-                        continue
-                    way = (*path, (p, at))
-                    if used[p] < most[p] and (best is None or pass_cost(used[p], supply[p])[0] < best[0]):
-                        best = (pass_cost(used[p], supply[p])[0], p, way)
-                    for t in p:
-                        if t not in seen and flow[p, t] > 0:
-                            seen.add(t)
-                            queue.append((t, way))
-                    if best and best[0] == 1:
-                        queue.clear()  # nothing is cheaper
-                        break
-            if best is None:
-                break
-            _, p, path = best
-            # path leads from s outwards: each source takes from its pattern what the next source gives up of it
-            amount = min(need[s], pass_cost(used[p], supply[p])[1] - used[p], most[p] - used[p], *(room[q, at] - flow[q, at] for q, at in path))
-            for (q, _), (_, t) in zip(path, path[1:], strict=False):
-                amount = min(amount, flow[q, t])
-            for i, (q, at) in enumerate(path):
-                flow[q, at] += amount
-                if i + 1 < len(path):
-                    flow[q, path[i + 1][1]] -= amount
-            used[p] += amount
-            need[s] -= amount
-    return {k: v for k, v in flow.items() if v}
+    sources = {s: i for i, s in enumerate(sorted(quota, key=lambda s: (s is None, s or "")))}
+    patterns = {p: i for i, p in enumerate(supply)}
+    arcs = sorted(((sources[s], patterns[p], n) for (p, s), n in room.items() if n > 0 and supply[p] > 0 and s in sources))
+    source, pattern, most = (np.array(x, np.int64) for x in zip(*arcs, strict=True)) if arcs else (np.zeros(0, np.int64),) * 3
+    net = Flow(np.array(list(supply.values()), np.int64), np.array([quota[s] for s in sources], np.int64), pattern, source, most)
+    net.run()
+    names, given = list(patterns), list(sources)
+    return {(names[p], given[s]): int(n) for s, p, n in zip(source.tolist(), pattern.tolist(), net.flow.tolist(), strict=True) if n}
 
 
 def membership(df: DataFrame) -> DataFrame:
@@ -154,9 +212,6 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     by_source = {r.source: int(r.n) for r in df.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(by_source) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: merge rare ones first")
-    wide = df.where(F.size("pattern") > 1).groupBy("pattern").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), F.col("pattern")).limit(MAX_PATTERNS)
-    wide = F.broadcast(keep(wide.select(F.col("pattern").alias("wide")), "mix-patterns"))  # MAX_PATTERNS at most
-    df = df.join(wide, df.pattern == wide.wide, "left").withColumn("pattern", F.coalesce("wide", F.array("source"))).drop("wide")
     words: dict[tuple[tuple, str | None], int] = {}
     supply: dict[tuple, int] = {}
     # a text's words count once for its pattern, taken from its first source
@@ -170,13 +225,13 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = [(list(p), s, by_source[s], float(target[s]), flow.get((p, s), 0) // n if n else 0, flow.get((p, s), 0) % n if n else 0) for (p, s), n in words.items()]
     kind = df.schema["source"].dataType.simpleString()
     quota = spark.createDataFrame(rows, f"p array<{kind}>, s {kind}, source_size long, target double, full long, extra long")
-    # bounded by the patterns' and sources' bounds: safe to send to every task
-    df = df.join(F.broadcast(quota), df.pattern.eqNullSafe(quota.p) & df.source.eqNullSafe(quota.s), "left").drop("p", "s")
+    sent = F.broadcast if len(rows) <= SENT_UNITS else lambda d: d
+    df = df.join(sent(quota), df.pattern.eqNullSafe(quota.p) & df.source.eqNullSafe(quota.s), "left").drop("p", "s")
     df = df.withColumn("unit", F.struct("pattern", "source"))
-    return _select(df).select(F.col("id").alias(id_col), "size", "source", "pattern", "source_size", "target", "taken")
+    return _select(df, sent).select(F.col("id").alias(id_col), "size", "source", "pattern", "source_size", "target", "taken")
 
 
-def _select(df: DataFrame) -> DataFrame:
+def _select(df: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``taken`` = full passes and, from the front of the seeded order, ``extra`` words more.
 
     Level 1 sums the sizes of _BUCKETS hash ranges a unit (pattern and source), level 2 those of
@@ -192,11 +247,10 @@ def _select(df: DataFrame) -> DataFrame:
         cut = before.where((F.col("before") <= F.col(given)) & (F.col("before") + F.col("s") > F.col(given)))
         return cut.select(F.col("unit").alias("cut_unit"), F.col(bucket).alias(f"cut_{bucket}"), (F.col(given) - F.col("before")).alias(out))
 
-    # one row a unit: bounded by the patterns and sources
-    one = F.broadcast(border(df, "b1", "extra", "left1"))
+    one = sent(border(df, "b1", "extra", "left1"))  # one row a unit
     df = df.join(one, df.unit.eqNullSafe(one.cut_unit), "left").drop("cut_unit")
     inner = df.where("b1 = cut_b1")
-    two = F.broadcast(border(inner, "b2", "left1", "left2"))
+    two = sent(border(inner, "b2", "left1", "left2"))
     df = df.join(two, df.unit.eqNullSafe(two.cut_unit), "left").drop("cut_unit")
     order = W.partitionBy("unit").orderBy("h", "size", "id").rowsBetween(W.unboundedPreceding, -1)
     at = (F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2"))

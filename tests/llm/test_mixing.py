@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from fractions import Fraction
 
 import pytest
@@ -102,11 +103,35 @@ def test_copies_wait_for_other_texts(spark):
     assert all(got[10 + i] == 3 for i in range(10)) and sum(got[i] > 0 for i in range(10)) <= 2
 
 
-def test_patterns_above_the_bound_count_for_their_own_source(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
-    rows = [(i, f"text {i % 7} of some", "abc"[i % 3]) for i in range(60)] + [(100 + i, f"more {i // 2}", "ab"[i % 2]) for i in range(20)]
-    got = check(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    assert len({tuple(r.pattern) for r in got if len(r.pattern) > 1}) == 1
+def test_many_patterns_flow_in_seconds():
+    """100,000 patterns over 60 sources: every quota is met, and no text is used twice while others of its sources are left."""
+    rng = random.Random(8)
+    names = [f"s{k:02d}" for k in range(60)]
+    supply = {}
+    while len(supply) < 100_000:
+        supply.setdefault(tuple(sorted(rng.sample(names, rng.choice([1, 2, 2, 3, 5])))), rng.randrange(1, 60))
+    own = {s: sum(n for p, n in supply.items() if s in p) for s in names}
+    quota = {s: own[s] if i % 3 == 0 else own[s] // 9 for i, s in enumerate(names)}  # a third of the sources want all that they can reach
+    begin = time.perf_counter()
+    flow = mixing.min_cost_flow(supply, quota)
+    assert time.perf_counter() - begin < 60
+    got, used = dict.fromkeys(names, 0), dict.fromkeys(supply, 0)
+    for (p, s), n in flow.items():
+        assert 0 < n <= 2 * supply[p]
+        got[s] += n
+        used[p] += n
+    assert got == quota
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plans_joined_by_a_shuffle_are_the_same(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    rows = [(i, f"text {rng.randrange(40)} of some", rng.choice(["a", "b", "c", None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sent = sorted(map(str, mixing.plan_mix(df).collect()))
+    monkeypatch.setattr(mixing, "SENT_UNITS", 0)
+    check(df)
+    assert sorted(map(str, mixing.plan_mix(df).collect())) == sent
 
 
 def test_empty(spark):
