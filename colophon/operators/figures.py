@@ -40,15 +40,16 @@ def absorbed(captions: DataFrame, graphics: DataFrame, gap: float = GAP) -> Data
     for every caption alike; so runs are numbered once a page, and a caption
     belongs to the run that is open ``gap`` above it.
     """
-    top = F.col("y0") - 2
-    boxes = graphics.groupBy("page", F.col("y0").alias("top"), F.col("y1").alias("bottom")).agg(F.min("x0").alias("left"), F.max("x1").alias("right"), F.count("*").alias("n"))
+    with_checkpoints(captions.sparkSession)
+    captions, top = captions.checkpoint(), F.col("y0") - 2  # both tables are read by several steps
+    boxes = graphics.groupBy("page", F.col("y0").alias("top"), F.col("y1").alias("bottom")).agg(F.min("x0").alias("left"), F.max("x1").alias("right"), F.count("*").alias("n")).checkpoint()
     rows = boxes.select("page", F.col("bottom").alias("at"), F.lit(0).alias("rank"), "top", "bottom", "left", "right", "n", F.lit(None).cast("long").alias("id"))
     caps = captions.select("page", (top - gap).alias("at"), F.lit(1).alias("rank"), *[F.lit(None).cast(t).alias(c) for c, t in (("top", "double"), ("bottom", "double"), ("left", "double"), ("right", "double"), ("n", "long"))], F.col("id").cast("long").alias("id"))
     rows = rows.unionByName(caps)
     order, band = [F.desc("at"), F.asc("rank"), F.asc("top")], F.floor(-F.col("at") / BAND)
     rows = running(rows, ["page"], order, band, F.col("top"), "min", "above", inclusive=False)
     ends = (F.col("rank") == 0) & (F.col("above").isNull() | (F.col("above") - F.col("at") > gap))
-    rows = running(rows, ["page"], order, band, ends.cast("long"), "sum", "run")
+    rows = running(rows, ["page"], order, band, ends.cast("long"), "sum", "run").checkpoint()
     # whether anything stands above: the lowest edge among graphics that begin before the caption
     starts = boxes.select("page", F.col("top").alias("at"), F.lit(1).alias("rank"), "bottom", F.lit(None).cast("long").alias("id"))
     starts = starts.unionByName(captions.select("page", top.alias("at"), F.lit(0).alias("rank"), F.lit(None).cast("double").alias("bottom"), F.col("id").cast("long").alias("id")))
