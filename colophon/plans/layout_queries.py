@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.functions import text as T
-from colophon.operators import fonts, markers, visuals
+from colophon.operators import fonts, markers, scientific, visuals
 from colophon.plans.base import query, read
 
 # --- figure and table text ---------------------------------------------------
@@ -160,3 +160,29 @@ def font_titles(spark: SparkSession, d: str) -> DataFrame:
     size = ((F.length("line") * 7 + i * 5) % 23).cast("double") / 2 + 6
     pieces = rows.select("page", size.alias("size"), ((i * 17 + page) % 3 * 150.0).alias("x0"), ((i * 37 + page * 11) % 90 * 8.5).alias("y0"), text.alias("text"))
     return fonts.titles(pieces, 800.0)
+
+
+# --- prose and formulas ------------------------------------------------------
+
+
+def formula_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose lines stand between delimiters, have indices and numbers, or stay as they are."""
+
+    def line(x, i):
+        first, rest = F.regexp_extract(x, r"^(\S*)", 1), F.regexp_extract(x, r"^\S*\s*(\S*)", 1)
+        join = lambda *p: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in p])
+        m = i % 9
+        out = F.when(m == 1, join("$", first, r"\$", rest, "$ ", x)).when(m == 2, join(r"\[", x, r" \quad (", (i % 7).cast("string"), r")\]")).when(m == 3, join(first, " = ", rest, " (", i.cast("string"), ")"))
+        out = out.when(m == 4, join(first, "<sub>", rest, "</sub> &lt;sup&gt;2&lt;/sup&gt; ", x)).when(m == 5, join("$$", x, r"\tag{", i.cast("string"), "}$$")).when(m == 6, join(r"\(", first, r"\) open \[ ", x))
+        return out.otherwise(x)
+
+    return read(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+@query()
+def scientific_segments(spark: SparkSession, d: str) -> DataFrame:
+    cut = formula_texts(spark, d).select("doc_id", F.posexplode(scientific.scientific_segments(F.col("text"))).alias("pos", "s"))
+    return cut.select("doc_id", "pos", "s.*")
+
+
+scientific_segments.texts = formula_texts
