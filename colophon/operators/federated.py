@@ -20,14 +20,15 @@ def richer(a, b):
 
 
 def dedupe(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each key: an ordered fold of :func:`richer`; ``rows`` has (pos, id, citations, arxiv).
+    """(key, id, citations, n, pos), one row for each key: an ordered fold of :func:`richer`; ``rows`` has (pos, id, citations, arxiv), and the key's first ``pos`` stays.
 
     The fold is not associative, so a key's rows are folded in order; a key's
     rows are the copies of one title and stay few.
     """
     row = F.struct("pos", "id", "citations", "arxiv")
     folded = rows.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("all"))
-    return folded.select(key, _richest(F.col("all")).alias("best"), F.size("all").alias("n")).select(key, "best.id", "best.citations", "n")
+    first = F.get("all", F.lit(0))["pos"]
+    return folded.select(key, _richest(F.col("all")).alias("best"), F.size("all").alias("n"), first.alias("pos")).select(key, "best.id", "best.citations", "n", "pos")
 
 
 def _richest(ordered):
@@ -35,7 +36,7 @@ def _richest(ordered):
 
 
 def dedupe_twice(rows: DataFrame) -> DataFrame:
-    """One row for each title, after one for each ``work_id``: (title, id, citations, n).
+    """One row for each title, after one for each ``work_id``: (title, id, citations, n, pos).
 
     rows: (pos, id, work_id, title, citations, arxiv).  Works come first, each at
     its first row's place, then the rows without a work id.
@@ -54,3 +55,36 @@ def enrich(rows: DataFrame, extra: DataFrame, key: str, columns: list[str]) -> D
     for c in columns:
         out = out.withColumn(c, F.coalesce(c, f"_{c}")).drop(f"_{c}")
     return out
+
+
+def result_lists(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """(query, window, title, id, citations, place): each window's deduplicated list, best first.
+
+    rows: (query, source_pos, pos, id, work_id, title, citations, arxiv, window), failed: (query, source_pos)
+    of the sources that did not answer, whose rows are left out.
+    """
+    answered = rows.join(failed, ["query", "source_pos"], "left_anti")
+    one = F.struct("query", "window")
+    keyed = answered.select(
+        F.struct("source_pos", "pos").alias("pos"), "id", F.when(F.col("work_id").isNotNull(), F.struct(one.alias("of"), "work_id")).alias("work_id"), F.struct(one.alias("of"), "title").alias("title"), "citations", "arxiv",
+    )
+    lists = dedupe_twice(keyed).select("title.of.query", "title.of.window", "title.title", "id", "citations", "pos")
+    order = W.partitionBy("query", "window").orderBy(F.desc("citations"), "pos")
+    return lists.select("query", "window", "title", "id", "citations", F.row_number().over(order).alias("place"))
+
+
+def read_pages(lists: DataFrame, top_k: int, pages: int) -> DataFrame:
+    """(query, page, place, id, citations): pages read one after the other.
+
+    The first window is the list; a page that begins behind its end fetches the window of its
+    number, whose new titles are appended, and shows what has come to stand there.
+    """
+    known = lists.where("window = 1").select("query", "title", "id", "citations", "place", F.lit(1).alias("since"))
+    for page in range(2, pages + 1):
+        size = known.groupBy("query").agg(F.max("place").alias("size"))
+        fresh = lists.where(F.col("window") == page).join(known, ["query", "title"], "left_anti").join(size, "query", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+        fresh = fresh.where(F.col("size") <= (page - 1) * top_k)
+        place = F.col("size") + F.row_number().over(W.partitionBy("query").orderBy("place"))
+        known = known.unionByName(fresh.select("query", "title", "id", "citations", place.alias("place"), F.lit(page).alias("since")))
+    page = F.ceil(F.col("place") / top_k).cast("int")
+    return known.select("query", page.alias("page"), "place", "id", "citations", "since").where(F.col("page").between(F.col("since"), F.lit(pages))).drop("since")

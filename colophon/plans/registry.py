@@ -374,7 +374,7 @@ f AS (SELECT title, id, citations, arxiv, k FROM r WHERE k = 1 UNION ALL
 SELECT title, max_by(id, k) AS id, max_by(citations, k) AS citations, CAST(max(k) AS INTEGER) AS n FROM f GROUP BY title""")
 def title_key_dedupe(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").select(F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("title"), F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("id"), (F.col("p_size") % 3).alias("citations"), (F.col("p_type") == "SMALL").alias("arxiv"))
-    return federated.dedupe(p, "title")
+    return federated.dedupe(p, "title").drop("pos")
 
 
 # --- events ------------------------------------------------------------------

@@ -96,6 +96,49 @@ def federated_search(spark: SparkSession, d: str) -> DataFrame:
 WINS = "(SELECT CASE WHEN f.citations > 0 AND r.citations <= 0 THEN TRUE WHEN r.citations > 0 AND f.citations <= 0 THEN FALSE WHEN f.arxiv AND NOT r.arxiv THEN TRUE ELSE FALSE END AS w)"
 
 
+@query(f"""WITH RECURSIVE b AS (SELECT doc_id % 40 AS q, doc_id % 3 AS src, doc_id AS id, CASE WHEN doc_id % 4 > 0 THEN n_chars % 60 END AS work_id, lower(regexp_extract(text, '^(\\S*)')) AS title, n_chars % 5 AS citations, doc_id % 3 = 1 AS arxiv, row_number() OVER (PARTITION BY doc_id % 40, doc_id % 3 ORDER BY doc_id) AS pos FROM documents WHERE text IS NOT NULL),
+bad AS (SELECT q, src FROM (SELECT DISTINCT q, src FROM b) WHERE (q + src) % 5 = 0 OR q % 13 = 5),
+p AS (SELECT *, (pos - 1) // 2 + 1 AS w, row_number() OVER (PARTITION BY q, (pos - 1) // 2 ORDER BY src, pos) AS ord FROM b ANTI JOIN bad USING (q, src) WHERE pos <= 6),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY q, w, work_id ORDER BY ord) AS k, min(ord) OVER (PARTITION BY q, w, work_id) AS first_ord FROM p WHERE work_id IS NOT NULL),
+f1 AS (SELECT q, w, work_id, id, citations, arxiv, title, k, first_ord FROM r1 WHERE k = 1 UNION ALL
+  SELECT r.q, r.w, r.work_id, CASE WHEN x.w THEN f.id ELSE r.id END, CASE WHEN x.w THEN f.citations ELSE r.citations END, CASE WHEN x.w THEN f.arxiv ELSE r.arxiv END, CASE WHEN x.w THEN f.title ELSE r.title END, r.k, f.first_ord
+  FROM f1 f JOIN r1 r ON r.q = f.q AND r.w = f.w AND r.work_id = f.work_id AND r.k = f.k + 1, LATERAL {WINS} x),
+m AS (SELECT q, w, 0 AS part, first_ord AS ord, id, citations, arxiv, title FROM f1 QUALIFY row_number() OVER (PARTITION BY q, w, work_id ORDER BY k DESC) = 1 UNION ALL SELECT q, w, 1, ord, id, citations, arxiv, title FROM p WHERE work_id IS NULL),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY q, w, title ORDER BY part, ord) AS k, min(part * 1000000 + ord) OVER (PARTITION BY q, w, title) AS first_ord FROM m),
+f2 AS (SELECT q, w, title, id, citations, arxiv, k, first_ord FROM r2 WHERE k = 1 UNION ALL
+  SELECT r.q, r.w, r.title, CASE WHEN x.w THEN f.id ELSE r.id END, CASE WHEN x.w THEN f.citations ELSE r.citations END, CASE WHEN x.w THEN f.arxiv ELSE r.arxiv END, r.k, f.first_ord FROM f2 f JOIN r2 r ON r.q = f.q AND r.w = f.w AND r.title = f.title AND r.k = f.k + 1, LATERAL {WINS} x),
+l AS (SELECT q, w, title, id, citations, row_number() OVER (PARTITION BY q, w ORDER BY citations DESC, first_ord) AS place FROM (SELECT * FROM f2 QUALIFY row_number() OVER (PARTITION BY q, w, title ORDER BY k DESC) = 1)),
+k1 AS (SELECT q, title, id, citations, place, 1 AS since FROM l WHERE w = 1),
+e2 AS (SELECT l.q, title, id, citations, coalesce(s, 0) + row_number() OVER (PARTITION BY l.q ORDER BY place) AS place, 2 AS since FROM l LEFT JOIN (SELECT q, max(place) AS s FROM k1 GROUP BY 1) n ON n.q = l.q WHERE w = 2 AND coalesce(s, 0) <= 3 AND NOT EXISTS (SELECT 1 FROM k1 WHERE k1.q = l.q AND k1.title = l.title)),
+k2 AS (SELECT * FROM k1 UNION ALL SELECT * FROM e2),
+e3 AS (SELECT l.q, title, id, citations, coalesce(s, 0) + row_number() OVER (PARTITION BY l.q ORDER BY place) AS place, 3 AS since FROM l LEFT JOIN (SELECT q, max(place) AS s FROM k2 GROUP BY 1) n ON n.q = l.q WHERE w = 3 AND coalesce(s, 0) <= 6 AND NOT EXISTS (SELECT 1 FROM k2 WHERE k2.q = l.q AND k2.title = l.title)),
+pg AS (SELECT *, (place - 1) // 3 + 1 AS page FROM (SELECT * FROM k2 UNION ALL SELECT * FROM e3)),
+t AS (SELECT q, max(n) AS total FROM (SELECT q, src, count(*) AS n FROM b ANTI JOIN bad USING (q, src) GROUP BY ALL) GROUP BY 1),
+a AS (SELECT q, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM bad WHERE bad.q = c.q AND bad.src = c.src)) AS lost FROM (SELECT DISTINCT q, src FROM b) c GROUP BY 1)
+SELECT pg.q, CAST(page AS INTEGER) AS page, CAST(place AS INTEGER) AS place, id, citations, total, 'results' AS event FROM pg JOIN t ON t.q = pg.q WHERE page BETWEEN since AND 3
+UNION ALL SELECT q, 1, 0, NULL, NULL, 0, 'error' FROM a WHERE lost = n""")
+def federated_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages of searches over three sources, some of which fail: a search all of whose sources fail is an error.
+
+    Windows are two rows of each source, pages have three; ``total`` is the largest of the answering sources' totals.
+    """
+    k = F.col("doc_id")
+    rows = read(spark, d, "documents").where("text IS NOT NULL").select(
+        (k % 40).alias("query"), (k % 3).alias("source_pos"), k.alias("id"), F.when(k % 4 > 0, F.col("n_chars") % 60).alias("work_id"), F.lower(F.regexp_extract("text", r"^(\S*)", 1)).alias("title"),
+        (F.col("n_chars") % 5).alias("citations"), (k % 3 == 1).alias("arxiv"),
+    )
+    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("query", "source_pos").orderBy("id"))).withColumn("window", F.ceil(F.col("pos") / 2).cast("int"))
+    combos = rows.groupBy("query", "source_pos").agg(F.count("*").alias("n")).withColumn("failed", ((F.col("query") + F.col("source_pos")) % 5 == 0) | (F.col("query") % 13 == 5))
+    failed = combos.where("failed").select("query", "source_pos")
+    pages = federated.read_pages(federated.result_lists(rows.where("window <= 3"), failed), 3, 3)
+    status = combos.groupBy("query").agg(F.max(F.when(~F.col("failed"), F.col("n"))).alias("total"), F.every("failed").alias("lost"))
+    found = pages.join(status, "query").select(F.col("query").alias("q"), "page", "place", "id", "citations", "total", F.lit("results").alias("event"))
+    none = F.lit(None).cast("long")
+    lost = status.where("lost").select(F.col("query").alias("q"), F.lit(1).alias("page"), F.lit(0).alias("place"), none.alias("id"), none.alias("citations"), F.lit(0).cast("long").alias("total"), F.lit("error").alias("event"))
+    return found.unionByName(lost)
+
+
+
 @query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey AS pos, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS work_id, lower(p_brand) AS title, p_partkey % 3 AS citations, p_type = 'SMALL' AS arxiv FROM part),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY pos) AS k, min(pos) OVER (PARTITION BY work_id) AS first_pos FROM p WHERE work_id IS NOT NULL),
 f1 AS (SELECT work_id, id, citations, arxiv, title, k, first_pos FROM r1 WHERE k = 1 UNION ALL
@@ -110,7 +153,7 @@ def two_pass_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """One row for each work by identifier, then one for each title; the richer row stays."""
     k = F.col("p_partkey")
     rows = read(spark, d, "part").select(k.alias("id"), k.alias("pos"), F.when(k % 3 > 0, F.col("p_size")).alias("work_id"), F.lower("p_brand").alias("title"), (k % 3).alias("citations"), (F.col("p_type") == "SMALL").alias("arxiv"))
-    return federated.dedupe_twice(rows)
+    return federated.dedupe_twice(rows).drop("pos")
 
 
 @query("""WITH a AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'routed/' || p_partkey END AS routed, CASE WHEN p_partkey % 2 = 0 THEN 'free/' || p_partkey END AS free FROM part)
