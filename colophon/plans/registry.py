@@ -448,4 +448,4 @@ def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", html.html_to_markdown("html").alias("markdown"))
 
 
-from colophon.plans import desk_queries, figure_queries, layout_queries, library_queries, paged_queries, paper_queries, payload_queries, session_queries, source_queries, structure_queries  # noqa: E402, F401  (they register themselves)
+from colophon.plans import audit_queries, desk_queries, figure_queries, layout_queries, library_queries, paged_queries, paper_queries, payload_queries, session_queries, source_queries, structure_queries  # noqa: E402, F401  (they register themselves)
