@@ -48,17 +48,18 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     nodes = 1 << bits
     level = runs.select(
         "digest", "sha", "norm_len",
-        F.struct(F.col("n_chars").alias("n"), (-F.col("id")).alias("neg")).alias("best"),
+        # the complement turns the order of ids and cannot overflow
+        F.struct(F.col("n_chars").alias("n"), F.bitwise_not("id").alias("id")).alias("best"),
         F.lit(1).cast("long").alias("size"),
         F.pmod(F.spark_partition_id(), F.lit(nodes)).alias("node"),
     )
     for low in range(0, bits, RADIX_BITS):
         window = ((1 << min(RADIX_BITS, bits - low)) - 1) << low
         partner = F.col("node").bitwiseAND(F.lit(nodes - 1 - window)).bitwiseOR(F.pmod("digest", F.lit(nodes)).cast("int").bitwiseAND(F.lit(window)))
-        received = level.withColumn("node", partner).repartition(nodes, "node")
+        received = level.withColumn("node", partner).repartitionById(nodes, F.col("node"))  # a task a node
         # grouped within the node: the planner sorts by these keys and merges neighbours, without another exchange
         level = received.groupBy("node", "digest", "sha", "norm_len").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
-    return level.select("digest", "sha", "norm_len", (-F.col("best.neg")).alias("keep_id"), F.col("size").alias("group_size"))
+    return level.select("digest", "sha", "norm_len", F.bitwise_not(F.col("best.id")).alias("keep_id"), F.col("size").alias("group_size"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
