@@ -34,6 +34,7 @@ Defined results: null text and text without words have an empty set, linked with
 nothing; fewer words than a shingle are one shingle; rows that share an id are
 handled as one document each, and the component is the smallest id; a row
 without an id has no component and links nothing; extra columns are ignored; an empty table gives an empty result.
+Texts of any length are taken whole; bytes grow with a text's words.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ islands does not improve its best fitness.  Bins that stay badly filled are deal
 again over all shards and packed as blocks, so the shards' edges cost nothing.
 
 Defined results: null text counts as empty and is the end token alone; repeated
-rows are packed each; extra columns are ignored; an empty table gives an empty
-result.  Long texts are cut only above ``capacity`` tokens.
+rows are packed each; a row without an id is packed too and keeps its null id; extra columns are ignored; an empty table gives an empty
+result.  Texts of any length are tokenised whole, in one task, and cut only above ``capacity`` tokens.
 """
 
 from __future__ import annotations

@@ -14,8 +14,8 @@ evaluates them once; so time grows in proportion to the text, however many
 matches it has.
 
 Defined results: null text counts as empty and has no spans; rows are handled
-one by one, so repeated ids each get their row; extra columns are ignored;
-positions count code points.
+one by one, so repeated ids each get their row; extra columns are ignored; an
+empty table gives an empty result; positions count code points.
 """
 
 from __future__ import annotations

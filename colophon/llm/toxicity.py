@@ -19,7 +19,7 @@ Defined results: null and empty texts are scored as texts without words; rows
 with labels that are null or not 0 or 1 are not learnt from; a document labelled
 twice counts as toxic if one label says so; without toxic or without other
 labels the score is the share of toxic labels, at most 0.29; repeated rows are
-scored each; extra columns are ignored.
+scored each; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
