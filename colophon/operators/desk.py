@@ -68,9 +68,12 @@ def acronym_mentions(questions: DataFrame, titles: DataFrame) -> DataFrame:
     """(query_id, acronym): capitals of three letters and more in a title that stand, lower case, in the question."""
     words = titles.select(F.explode(F.regexp_extract_all("title", F.lit("([A-Z]{2,})"), F.lit(1))).alias("w")).where(F.length("w") >= 3).select(F.lower("w").alias("acronym")).distinct()
     low = questions.select("query_id", F.lower("text").alias("text"))
-    at = F.sequence(F.lit(1), F.length("text") - 2)
-    asked = low.where(F.length("text") >= 3).select("query_id", "text", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(3))))).alias("gram"))
-    return asked.join(words.withColumn("gram", F.substring("acronym", 1, 3)), "gram").where(F.contains("text", F.col("acronym"))).select("query_id", "acronym").distinct()
+    # questions are cut into pieces of the acronyms' lengths, so the join is on the whole acronym
+    lengths = F.broadcast(words.select(F.length("acronym").alias("n")).distinct().agg(F.collect_list("n").alias("ns")))  # one row of few lengths
+    sized = low.crossJoin(lengths).select("query_id", "text", F.explode("ns").alias("n")).where(F.length("text") >= F.col("n"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substring(F.col("text"), i, F.col("n")))
+    asked = sized.select("query_id", F.explode(F.array_distinct(pieces)).alias("acronym"))
+    return asked.join(words, "acronym").select("query_id", "acronym").distinct()
 
 
 def marked_pages(pages: DataFrame, key: str, page: str, text: str) -> DataFrame:

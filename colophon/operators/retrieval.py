@@ -123,6 +123,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         sent = spark.sparkContext.broadcast((asked, terms.dictionary, term[order], query[order], held.column("weight").to_numpy()[order], avgdl))
         part = rows.mapInArrow(_scorer(sent, k), "query_id long, doc_id long, score double")
         found = part if found is None else found.unionByName(part)
+    weights.unpersist()  # every block's terms have been collected
     return ranked(found, k)
 
 
