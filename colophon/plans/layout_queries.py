@@ -7,10 +7,11 @@ captions, labels and table rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colophon.functions import text as T
-from colophon.operators import fonts, markers, scientific, visuals
+from colophon.operators import fonts, markers, scientific, tables, visuals
 from colophon.plans.base import query, read
 
 # --- figure and table text ---------------------------------------------------
@@ -186,3 +187,49 @@ def scientific_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 scientific_segments.texts = formula_texts
+
+
+# --- tables ------------------------------------------------------------------
+
+WORD_BOXES = r"""
+ln AS (SELECT doc_id AS page, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+wl AS (SELECT page, i, list_filter(string_split_regex(line, '\s+'), lambda w: w <> '')[1:12] AS ws FROM ln),
+w0 AS (SELECT page, i, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS j FROM wl),
+w1 AS (SELECT page, i, j, CASE WHEN i % 12 = 0 AND j = 0 THEN 'Table ' || i || '.' WHEN i % 7 = 3 THEN length(w) || '.' || j WHEN i % 31 = 30 AND j = 0 THEN i || '. A' ELSE w END AS text FROM w0),
+wb AS (SELECT page, i, j, text, 20.0 + coalesce(sum(length(text) * 5 + CASE WHEN i % 3 = 1 THEN 12 ELSE 3 END) OVER (PARTITION BY page, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x0, i * 9.0 + j % 3 * 0.5 AS top FROM w1),
+wd AS (SELECT page, i, j, text, x0, x0 + length(text) * 5 AS x1, top, top + 8 AS bottom FROM wb)"""
+
+
+def word_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """The first words of each line of a document as boxes; some lines are captions, numbers, or spread out."""
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    words = F.slice(F.filter(F.split("line", r"\s+"), lambda w: w != ""), 1, 12)
+    rows = rows.select("page", "i", F.posexplode(words).alias("j", "w"))
+    i, j = F.col("i"), F.col("j")
+    text = F.when((i % 12 == 0) & (j == 0), F.concat(F.lit("Table "), i.cast("string"), F.lit("."))).when(i % 7 == 3, F.concat(F.length("w").cast("string"), F.lit("."), j.cast("string")))
+    rows = rows.withColumn("text", text.when((i % 31 == 30) & (j == 0), F.concat(i.cast("string"), F.lit(". A"))).otherwise(F.col("w")))
+    before = W.partitionBy("page", "i").orderBy("j").rowsBetween(W.unboundedPreceding, -1)
+    x0 = 20.0 + F.coalesce(F.sum(F.length("text") * 5 + F.when(i % 3 == 1, 12).otherwise(3)).over(before), F.lit(0))
+    top = i * 9.0 + j % 3 * 0.5
+    return rows.select("page", "i", "j", "text", x0.alias("x0"), (x0 + F.length("text") * 5).alias("x1"), top.alias("top"), (top + 8).alias("bottom"))
+
+
+@query(rf"""WITH RECURSIVE {WORD_BOXES},
+ba AS (SELECT page, CAST(i AS BIGINT) AS id, CASE i % 36 WHEN 0 THEN 'all' WHEN 12 THEN 'left' ELSE 'right' END AS side, top + 9 AS y0, top + 250 AS y1 FROM wd WHERE i % 12 = 0 AND j = 0),
+sd AS (SELECT *, 'all' AS side FROM wd UNION ALL SELECT *, CASE WHEN x0 < 300 THEN 'left' ELSE 'right' END FROM wd),
+tp AS (SELECT page, CAST(round_even(top / 4, 0) AS BIGINT) AS row, min(top) AS top FROM wd GROUP BY ALL),
+gp AS (SELECT page, side, CAST(round_even(top / 4, 0) AS BIGINT) AS row, bottom, text, x0, x0 - lag(x1) OVER (PARTITION BY page, side, CAST(round_even(top / 4, 0) AS BIGINT) ORDER BY x0, x1, text) > 8 AS gap FROM sd),
+rw AS (SELECT page, side, row, max(bottom) AS bottom, string_agg(text, '' ORDER BY x0, text) AS text, count(*) FILTER (gap) AS gaps FROM gp GROUP BY ALL),
+rk AS (SELECT page, side, row, tp.top, bottom, text, gaps >= 2 OR len(regexp_extract_all(text, '\d')) > 0.3 * length(text) OR (length(text) < 45 AND (regexp_matches(text, '\[\d+\]') OR len(regexp_extract_all(text, '\d')) >= 3)) AS r,
+  regexp_matches(text, '{tables.HEADING}') OR regexp_matches(text, '{tables.CAPTION}') AS title FROM rw JOIN tp USING (page, row)),
+wk AS (SELECT ba.page, ba.id, rk.bottom, rk.r, title, length(text) >= 45 AND len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]')) >= 20 AS prose, row_number() OVER (PARTITION BY ba.page, ba.id ORDER BY rk.row) AS n FROM ba JOIN rk ON rk.page = ba.page AND rk.side = ba.side AND rk.top >= y0 - 2 AND rk.top <= y1),
+st AS (SELECT page, id, CAST(0 AS BIGINT) AS n, 0 AS neutral, CAST(NULL AS DOUBLE) AS body_bottom, CAST(0 AS BIGINT) AS n_rows FROM ba
+  UNION ALL SELECT st.page, st.id, wk.n, CASE WHEN r THEN 0 ELSE neutral + 1 END, CASE WHEN r THEN CAST(wk.bottom AS DOUBLE) ELSE body_bottom END, n_rows + CAST(r AS BIGINT)
+  FROM st JOIN wk ON wk.page = st.page AND wk.id = st.id AND wk.n = st.n + 1 WHERE NOT title AND (r OR (NOT prose AND neutral < 20)))
+SELECT page, id, body_bottom, n_rows FROM st QUALIFY row_number() OVER (PARTITION BY page, id ORDER BY n DESC) = 1""")
+def table_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Tables below every twelfth line, over the whole page or in one of its columns."""
+    words = word_boxes(spark, d)
+    i = F.col("i")
+    bands = words.where("i % 12 = 0 AND j = 0").select("page", i.cast("long").alias("id"), F.when(i % 36 == 0, "all").when(i % 36 == 12, "left").otherwise("right").alias("side"), (F.col("top") + 9).alias("y0"), (F.col("top") + 250).alias("y1"))
+    return tables.table_bodies(bands, words, 600.0)
