@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from math import ceil, log2
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, join_hot, keep, partitions
@@ -42,23 +42,32 @@ def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.sortWithinPartitions("digest")
 
 
+def node_labels(spark: SparkSession, nodes: int) -> list[int]:
+    """A label for each node, such that Spark's hash of it is the node's number: every node has a task of its own."""
+    tried = 64 * nodes  # each number is hit about 64 times
+    found = spark.range(tried).select(F.col("id").cast("int").alias("label")).groupBy(F.pmod(F.hash("label"), F.lit(nodes)).alias("node")).agg(F.min("label").alias("label"))
+    return [r.label for r in found.orderBy("node").collect()]  # a row a node
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
     """(digest, sha, norm_len, keep_id, group_size): one row for each distinct text."""
     bits = max(1, ceil(log2(max(2, partitions(runs.sparkSession)))))
     nodes = 1 << bits
+    labels = node_labels(runs.sparkSession, nodes)
+    label = F.lit(labels) if len(labels) == nodes else F.sequence(F.lit(0), F.lit(nodes - 1))
     level = runs.select(
         "digest", "sha", "norm_len",
         # the complement turns the order of ids and cannot overflow
         F.struct(F.col("n_chars").alias("n"), F.bitwise_not("id").alias("id")).alias("best"),
         F.lit(1).cast("long").alias("size"),
-        F.pmod(F.spark_partition_id(), F.lit(nodes)).alias("node"),
+        F.pmod(F.spark_partition_id(), F.lit(nodes)).alias("number"),
     )
     for low in range(0, bits, RADIX_BITS):
         window = ((1 << min(RADIX_BITS, bits - low)) - 1) << low
-        partner = F.col("node").bitwiseAND(F.lit(nodes - 1 - window)).bitwiseOR(F.pmod("digest", F.lit(nodes)).cast("int").bitwiseAND(F.lit(window)))
-        received = level.withColumn("node", partner).repartitionById(nodes, F.col("node"))  # a task a node
+        partner = F.col("number").bitwiseAND(F.lit(nodes - 1 - window)).bitwiseOR(F.pmod("digest", F.lit(nodes)).cast("int").bitwiseAND(F.lit(window)))
+        received = level.withColumn("number", partner).withColumn("node", F.get(label, F.col("number"))).repartition(nodes, "node")
         # grouped within the node: the planner sorts by these keys and merges neighbours, without another exchange
-        level = received.groupBy("node", "digest", "sha", "norm_len").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
+        level = received.groupBy("node", "number", "digest", "sha", "norm_len").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
     return level.select("digest", "sha", "norm_len", F.bitwise_not(F.col("best.id")).alias("keep_id"), F.col("size").alias("group_size"))
 
 

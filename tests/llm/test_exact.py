@@ -11,10 +11,11 @@ from colophon.llm.common import partitions
 def test_no_idle_node(spark):
     rows = spark.createDataFrame([(i, f"text {i % 900}") for i in range(4000)], "doc_id long, text string")
     merged = exact_dedup.merge_runs(exact_dedup.digest_runs(rows))
-    plan = merged._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(node" not in plan and "shufflepartitionidpassthrough" in plan
+    for nodes in (2, 8, 256):
+        labels = spark.createDataFrame([(k, x) for k, x in enumerate(exact_dedup.node_labels(spark, nodes))], "k int, x int")
+        assert labels.count() == nodes and labels.where(F.pmod(F.hash("x"), F.lit(nodes)) != F.col("k")).isEmpty()
     held = {r.p: r["count"] for r in merged.groupBy(F.spark_partition_id().alias("p")).count().collect()}
-    assert sum(held.values()) == 900 and len(held) in (1, partitions(spark))  # one only where small partitions are put together
+    assert sum(held.values()) == 900 and len(held) == partitions(spark)
 
 
 def test_least_and_largest_ids(spark):
