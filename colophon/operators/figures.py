@@ -21,7 +21,7 @@ TALLEST, BLANK = 0.6, 0.4
 #: Height of a band, in points.
 BAND = 64.0
 LABEL = r"(?i)^(fig(?:ure)?\.?|table)\s*(\d+[a-z]?|[IVXLCDM]+)"
-BLOCKS = "array<struct<type string, bbox array<double>, page_idx int, image_caption array<string>, table_caption array<string>>>"
+BLOCK = "struct<type: string, bbox: array<double>, page_idx: int, image_caption: array<string>, table_caption: array<string>>"
 
 
 def clamped(x0: Column, x1: Column, cap_x0: Column, cap_x1: Column, width: float) -> tuple[Column, Column]:
@@ -118,7 +118,9 @@ def parsed_blocks(layouts: DataFrame, width: float, height: float) -> DataFrame:
     Boxes are thousandths of a page; thin and tiny ones, and entries that are not whole, are passed
     over.  ``page`` is the struct (doc, page) and ``id`` the entry's place.
     """
-    items = layouts.select("doc", F.posexplode(F.from_json("content", BLOCKS)).alias("id", "b")).select("doc", F.col("id").cast("long").alias("id"), "b.*")
+    # the list, or an object that holds it; entries are parsed one by one, so that a broken one costs only itself
+    entries = F.from_json(F.coalesce(F.get_json_object("content", "$.content_list"), F.col("content")), "array<string>")
+    items = layouts.select("doc", F.posexplode(F.transform(entries, lambda e: F.from_json(e, BLOCK))).alias("id", "b")).select("doc", F.col("id").cast("long").alias("id"), "b.*")
     items = items.where("type IN ('image', 'chart', 'table') AND size(bbox) = 4 AND NOT exists(bbox, x -> x IS NULL) AND page_idx >= 0")
     texts = F.when(F.col("type") == "table", F.col("table_caption")).otherwise(F.col("image_caption"))
     texts = F.filter(F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda c: c != "")

@@ -120,3 +120,13 @@ def test_nearest_and_labels(spark):
     lists = [["GT"], ["Fig. 2 x", "Figure 11. y", "Table 11 z"], ["fig 3b", "Table IV"], [], ["see Fig. 3"]]
     df = spark.createDataFrame([(x,) for x in lists], "c array<string>").select(figures.picked_label(F.col("c")).alias("p"))
     assert [r.p for r in df.collect()] == ["", "Figure 11. y", "fig 3b", "", ""]
+
+
+def test_layout_replies(spark):
+    """Lists and objects; broken entries cost only themselves; a figure without any caption goes, a table stays."""
+    whole = '{"type":"image","bbox":[0,0,500,500],"page_idx":0,"image_caption":[" ","Figure 1. x"]}'
+    bare = '{"type":"chart","bbox":[0,600,500,900],"page_idx":0}'
+    contents = ["not json", None, "[]", f'[1, null, {{"type":"image"}}, {{"type":"image","bbox":"x","page_idx":0}}, {whole}, {{"type":"text","bbox":[0,0,900,900],"page_idx":0}}]', f'{{"content_list": [{bare}, {{"type":"table","bbox":[0,0,100,500],"page_idx":1}}]}}', f"[{bare}]", '[{"type":"image","bbox":[0,0,1,1],"page_idx":0}]']
+    lines = spark.createDataFrame([((4, 1), 700.0, 0, "Figure 9. near"), ((4, 1), 10.0, 1, "Figure 8. far")], "page struct<doc: long, page: int>, y0 double, place long, text string")
+    got = figures.layout_regions(spark.createDataFrame(list(enumerate(contents)), "doc long, content string"), lines, 600.0, 800.0).collect()
+    assert sorted((r.page.doc, r.page.page, r.kind, r.caption) for r in got) == [(3, 1, "figure", "Figure 1. x"), (4, 1, "figure", "Figure 9. near"), (4, 2, "table", "")]
