@@ -9,7 +9,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from colophon.llm import queries, token_align
-from tests.llm.test_whole import texts_of_all_kinds
+from .test_whole import texts_of_all_kinds
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, digest string, n long, block int"
