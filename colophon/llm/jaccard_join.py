@@ -56,6 +56,8 @@ from .common import BUCKET_BYTES, batch, components, join_hot, keep, mix64, part
 WORDS = 4
 #: Bytes of a posting in a scan, and the buckets that a class's sketch is counted for, at most: both only size the buckets.
 _ROW_BYTES, MOST_COPIES = 24, 1024
+#: Buckets of a scan, at least: so many that a class of usual size has about one posting in each of its own, at any size of the corpus.
+SCAN_BUCKETS = 256
 #: Documents link when DEN * intersection >= NUM * union.
 NUM, DEN = 85, 100
 #: What a posting costs against a subset key: it may have to be compared and verified.
@@ -514,11 +516,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not stars.isEmpty():
         state = keep(state, "scan0")
         lists = keep(_open(lists, state), "lists")
-    touched = keep(_touched(lists, state, buckets, num, den), "touched")
+    touched = keep(_touched(lists, state, max(buckets, SCAN_BUCKETS), num, den), "touched")
     state = keep(state.join(touched, "c", "left_semi"), "scan0")
     lists = keep(lists.join(touched, "c", "left_semi").select("key", "c", "n"), "lists")
     sets = keep(_sets(docs, classes.join(touched, "c", "left_semi").select(F.col("first").alias("id"), "c"), words), "sets")
-    scan_buckets = _buckets(lists, state, partitions(spark))
+    scan_buckets = _buckets(lists, state, max(partitions(spark), SCAN_BUCKETS))
     for turn in range(200):
         names = NAMES[turn] if turn < len(NAMES) else NAMES[-1] * 4 ** min(turn - len(NAMES) + 1, 6)
         named = keep(_named(lists, state, scan_buckets, names, num, den), "named")
