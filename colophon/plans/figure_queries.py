@@ -23,7 +23,8 @@ def layout(spark: SparkSession, d: str) -> DataFrame:
     """(page, id, kind, part, supp, x0, y0, x1, y1, caption)."""
     lines = read(spark, d, "lineitem")
     page, order = F.floor(F.col("l_orderkey") / 8), F.col("l_orderkey") % 8
-    rows = lines.groupBy(page.alias("page"), (((F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")) * 8 + order).alias("id"))
+    lines = lines.withColumn("page", page).repartition("page")  # what follows works page by page
+    rows = lines.groupBy("page", (((F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")) * 8 + order).alias("id"))
     rows = rows.agg(F.min("l_linenumber").alias("kind"), F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), (F.min("l_quantity") * 11).alias("x0"), (F.min(F.floor("l_extendedprice")) % 700 + 0.5).cast("double").alias("y0"))
     text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     part = F.col("part") % 4

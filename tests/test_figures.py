@@ -130,3 +130,32 @@ def test_layout_replies(spark):
     lines = spark.createDataFrame([((4, 1), 700.0, 0, "Figure 9. near"), ((4, 1), 10.0, 1, "Figure 8. far")], "page struct<doc: long, page: int>, y0 double, place long, text string")
     got = figures.layout_regions(spark.createDataFrame(list(enumerate(contents)), "doc long, content string"), lines, 600.0, 800.0).collect()
     assert sorted((r.page.doc, r.page.page, r.kind, r.caption) for r in got) == [(3, 1, "figure", "Figure 1. x"), (4, 1, "figure", "Figure 9. near"), (4, 2, "table", "")]
+
+
+def test_full_and_sparse_pages_agree(spark, monkeypatch):
+    """One pass over sorted pages and the grid with its stars give the same regions, with null numbers and boxes of no side among them."""
+    rng = random.Random(3)
+    rows = [(i % 4, i, rng.choice([None, "a", "b"]), x := float(10 * rng.randrange(60)), y := float(10 * rng.randrange(70)), x + rng.randrange(90), y + rng.randrange(60)) for i in range(200)]
+    rows += [(9, i, None, None, 0.0, 1.0, 1.0) for i in range(2)] + [(None, 1, "a", 0.0, 0.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "page long, id long, number string, x0 double, y0 double, x1 double, y1 double")
+    few = sorted(regions.joint_regions(df).collect(), key=lambda r: (r.page, r.region))
+    monkeypatch.setattr(regions, "FULL", 1)
+    assert sorted(regions.joint_regions(df).collect(), key=lambda r: (r.page, r.region)) == few and len(few) < 202
+
+
+def test_sparse_pages_take_no_rounds(spark, monkeypatch):
+    """Pages of bounded length need neither stars nor checkpoints of edges."""
+    monkeypatch.setattr(regions, "components", None)
+    monkeypatch.setattr(regions, "touching", None)
+    df = spark.createDataFrame([(p, i, "a", 0.0, 50.0 * i, 30.0, 50.0 * i + 30) for p in range(3) for i in range(40)], "page long, id long, number string, x0 double, y0 double, x1 double, y1 double")
+    assert sorted((r.page, r.region, r.n) for r in regions.joint_regions(df).collect()) == [(p, 0, 40) for p in range(3)]
+
+
+def test_gaps_of_just_the_limit(spark, monkeypatch):
+    """A gap of 40 points counts, whichever way its sum is rounded, on sparse and on full pages."""
+    tops = [(a, b) for a in range(400) for b in (a + 50,) if (b + 0.5) / 1000 * 800 - (a + 0.5) / 1000 * 800 <= 40]
+    rows = [(a, 1, "a", 0.0, 0.0, 50.0, (a + 0.5) / 1000 * 800) for a, _ in tops] + [(a, 2, "a", 0.0, (b + 0.5) / 1000 * 800, 50.0, 700.0) for a, b in tops]
+    df = spark.createDataFrame(rows, "page long, id long, number string, x0 double, y0 double, x1 double, y1 double")
+    for full in (256, 1):
+        monkeypatch.setattr(regions, "FULL", full, raising=False)
+        assert {r.n for r in regions.joint_regions(df).collect()} == {2}
