@@ -200,19 +200,19 @@ def blocks_to_resume(spark: SparkSession, d: str) -> DataFrame:
 TTL = 1800
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT user_id, CAST(epoch(ts) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT user_id, k, t AS stored, false AS hit FROM e WHERE k = 1
-  UNION ALL SELECT e.user_id, e.k, CASE WHEN e.t - stored <= {TTL} THEN stored ELSE e.t END, e.t - stored <= {TTL} FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+  UNION ALL SELECT e.user_id, e.k, CASE WHEN e.t - stored <= {TTL} * 1000000 THEN stored ELSE e.t END, e.t - stored <= {TTL} * 1000000 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
 SELECT user_id, count(*) AS n, CAST(count(*) FILTER (hit) AS BIGINT) AS hits FROM r GROUP BY user_id""")
 def cache_hits(spark: SparkSession, d: str) -> DataFrame:
     """Requests that find their key's result stored at most half an hour ago; others store it anew."""
-    rows = read(spark, d, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "ts")
+    rows = read(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))  # whole seconds would move the limit
 
     def step(state, row):
-        hit = state is not None and row.t - state <= TTL
+        hit = state is not None and row.t - state <= TTL * 1_000_000
         return (state if hit else row.t), hit
 
-    out = folds.sorted_fold(rows.select("user_id", "event_id", "t", F.col("ts").cast("string").alias("ts")), "user_id", ["t", "ts", "event_id"], step, "hit", "boolean")
+    out = folds.sorted_fold(rows, "user_id", ["t", "event_id"], step, "hit", "boolean")
     return out.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
 
 

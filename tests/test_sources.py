@@ -1,14 +1,18 @@
 """Payload rows, alike titles against all pairs, and an index in a folder."""
 
+import datetime
 import difflib
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from colophon.functions import payloads as J
 from colophon.operators import fuzzy, index
+from colophon.plans import source_queries
+from colophon.plans.base import ORACLE_SQL
 from colophon.sources import works
 
 
@@ -72,3 +76,16 @@ def test_unicode(spark):
 
     df = spark.createDataFrame([("ﬁne Ｔext①",), ("Straße",), (None,)], "t string")
     assert [tuple(r) for r in df.select(U.nfkc(F.col("t")), U.match_key(F.col("t"))).collect()] == [("fine Text1", "finetext1"), ("Straße", "strasse"), (None, None)]
+
+
+def test_cache_hits_by_the_microsecond(spark, tmp_path):
+    """Stored results last half an hour to the fraction of a second, in the query and in its SQL."""
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    times = {1: (0.9, 1800.95), 2: (0.4, 1800.6), 3: (0.4, 1800.4), 4: (0.6, 1800.5), 5: (0.4, 1800.6, 3600.5)}
+    rows = [(10 * user + i, user, at(s)) for user, of in times.items() for i, s in enumerate(of)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    want = [(1, 2, 0), (2, 2, 0), (3, 2, 1), (4, 2, 1), (5, 3, 1)]
+    assert sorted(map(tuple, source_queries.cache_hits(spark, str(tmp_path)).collect())) == want
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(db.execute(ORACLE_SQL["cache_hits"]).fetchall()) == want
