@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -16,8 +15,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
 #: Queries and rows that meet in one task of a dense search, about.
 QUERY_BLOCK, ROW_BLOCK = 1024, 16384
-#: Scores that one array operation of a keyword search holds.
-CELLS = 1 << 22
+#: Scores that one array operation of a keyword search and of a dense one holds.
+CELLS, DENSE_CELLS = 1 << 22, 1 << 20
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -33,20 +32,41 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     q = q.select(F.col("block").cast("int").alias("qblock"), F.col("part").cast("int").alias("qpart"), F.col("id").alias("qid"), F.col("v").alias("qv"))
     x = x.select(F.col("block").cast("int"), F.col("part").cast("int"), "id", "v")
 
-    def work(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        right = right.sort_values("id")
-        unit = lambda s: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))(np.array(s.tolist(), np.float64))
-        score = np.round(unit(left["qv"]) @ unit(right["v"]).T, 6)
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        ids = right["id"].to_numpy()
-        return pd.DataFrame({"query_id": np.repeat(left["qid"].to_numpy(), top.shape[1]), "doc_id": ids[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
-
-    found = q.groupBy("qblock", "qpart").cogroup(x.groupBy("block", "part")).applyInPandas(work, "query_id long, doc_id long, score double")
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("id")
+        row, at, score = _best(_units(left.column("qv")), _units(right.column("v")), k)
+        return pa.table({"query_id": left.column("qid").take(row), "doc_id": right.column("id").take(at), "score": score})
+
+    found = q.groupBy("qblock", "qpart").cogroup(x.groupBy("block", "part")).applyInArrow(work, "query_id long, doc_id long, score double")
     return ranked(found, k)
 
 
+def _units(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors in double precision; a group's vectors never become Python objects."""
+    lists = vectors.combine_chunks()
+    if lists.null_count or len(set(pc.min_max(pc.list_value_length(lists)).as_py().values())) > 1:
+        raise ValueError("vectors are of one length and not null")
+    m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _best(asked: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's k best rows, equal scores by the row's place; DENSE_CELLS scores are held at a time."""
+    n, none = len(rows), np.zeros(0, np.int64)
+    found = [(none, none, np.zeros(0))]
+    step = max(1, DENSE_CELLS // max(1, n))
+    for lo in range(0, len(asked) if n else 0, step):
+        score = np.round(asked[lo : lo + step] @ rows.T, 6)
+        least = np.partition(score, n - k, axis=1)[:, n - k, None] if k < n else -np.inf
+        query, row = np.nonzero(~(score < least))
+        value = score[query, row]
+        order = np.lexsort((row, -value, query))
+        query, row, value = query[order], row[order], value[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+        found.append((query[kept] + lo, row[kept], value[kept]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def per_paper_topk(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, paper, doc_id, score, rank): each paper's k best chunks; chunks have (id, v, paper), queries (id, v).
 
@@ -59,18 +79,16 @@ def per_paper_topk(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFra
     x = chunks.select("id", "v", "paper", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     kind = chunks.schema["paper"].dataType.simpleString()
 
-    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        unit = lambda s: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))(np.array(s.tolist(), np.float64))
-        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "paper": right["paper"][:0], "doc_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
-        if len(left):
-            asked, ids = unit(left["v"]), left["id"].to_numpy()
-            for paper, rows in right.sort_values("id").groupby("paper"):
-                score = np.round(asked @ unit(rows["v"]).T, 6)
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "paper": paper, "doc_id": rows["id"].to_numpy()[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()}))
-        return pd.concat(out)
-
-    found = q.groupBy("block", "part").cogroup(x.groupBy("block", "part")).applyInPandas(work, f"query_id long, paper {kind}, doc_id long, score double")
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.filter(right.column("paper").is_valid()).sort_by([("paper", "ascending"), ("id", "ascending")])
+        asked, rows = _units(left.column("v")), _units(right.column("v"))
+        paper = right.column("paper").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        ends = np.append(np.flatnonzero(np.diff(paper)) + 1, len(paper))
+        found = [(row, at + lo, score) for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True) for row, at, score in [_best(asked, rows[lo:hi], k)]]
+        row, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"query_id": left.column("id").take(row), "paper": right.column("paper").take(at), "doc_id": right.column("id").take(at), "score": score})
+
+    found = q.groupBy("block", "part").cogroup(x.groupBy("block", "part")).applyInArrow(work, f"query_id long, paper {kind}, doc_id long, score double")
     order = W.partitionBy("query_id", "paper").orderBy(F.col("score").desc(), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

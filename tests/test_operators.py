@@ -1,5 +1,9 @@
 """Truth tables of the library's operators."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colophon.functions import text as T
@@ -70,3 +74,20 @@ def test_quotes_across_word_boundaries(spark):
     q, d = spark.createDataFrame(quotes, s).withColumnRenamed("id", "item_id"), spark.createDataFrame(docs, s).withColumnRenamed("id", "doc_id")
     assert {(1, 1), (2, 1), (3, 1)} <= set(want)
     assert sorted(map(tuple, library.verify_quotes(q, d).collect())) == want
+
+
+def test_dense_groups_are_small(spark):
+    """A full group's scores are held a few at a time and its vectors as arrays; equal scores go by the row's place."""
+    rng = np.random.default_rng(1)
+    lists = lambda n: pa.chunked_array([pa.FixedSizeListArray.from_arrays(pa.array(rng.integers(-2, 3, n * 8).astype(np.float32)), 8).cast(pa.list_(pa.float32()))])
+    asked, rows = lists(retrieval.QUERY_BLOCK), lists(retrieval.ROW_BLOCK)
+    tracemalloc.start()
+    a, b = retrieval._units(asked), retrieval._units(rows)
+    query, at, score = retrieval._best(a, b, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64e6  # all scores at once would be 134 MB, and their order as much again
+    for q in (0, 700, len(a) - 1):
+        want = np.round(a[q] @ b.T, 6)
+        assert at[query == q].tolist() == np.argsort(-want, kind="stable")[:5].tolist()
+    assert len(query) == 5 * len(a) and retrieval._best(a, b[:3], 5)[1].reshape(-1, 3).max() == 2 and not len(retrieval._best(a, b[:0], 5)[0])
