@@ -19,6 +19,16 @@ def subtree_ends(sections: DataFrame, key: str, ordinal: str, level: str, levels
     return sections.withColumn("next_ordinal", out)
 
 
+def spread(docs: DataFrame, key: str, text: str, size: int = 16 << 20) -> DataFrame:
+    """The documents dealt out by key into parts of about ``size`` bytes of text.
+
+    What groups their words by the key afterwards, or by the key and more, shuffles no word; the parts'
+    number follows the texts, since words take far more room in a task than their text.
+    """
+    parts = -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // size)
+    return docs.repartition(max(1, parts), key)
+
+
 def rebuild_inverted(index: DataFrame, key: str, word: str, positions: str) -> DataFrame:
     """(key, text): texts from an inverted index of word positions."""
     at = index.select(key, word, F.explode(positions).alias("pos"))

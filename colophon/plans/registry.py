@@ -421,7 +421,8 @@ def section_subtree(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, md5(array_to_string({TOKENS}, ' ')) AS digest FROM documents WHERE len({TOKENS}) > 0")
 def inverted_abstract(spark: SparkSession, d: str) -> DataFrame:
-    w = read(spark, d, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word"))
+    docs = sections.spread(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    w = docs.select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "word"))
     index = w.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
     out = sections.rebuild_inverted(index, "doc_id", "word", "positions")
     return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
