@@ -195,8 +195,15 @@ OUTLINE = "o AS (SELECT l_orderkey AS k, l_linenumber AS ordinal, min(l_partkey)
 TITLE = "CASE p % 3 WHEN 0 THEN q || '. Method' WHEN 1 THEN 'More' ELSE 'Where little meets' END"
 
 
-def order_outline(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ordinal"))
+#: Lines in a part of an outline whose pages are listed: each gives several rows, so the parts' number follows the lines.
+OUTLINE_LINES = 250_000
+
+
+def order_outline(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
+    rows = read(spark, d, "lineitem")
+    if spread:  # by the key of all later steps, which then need no other exchange
+        rows = rows.repartition(max(1, -(-rows.count() // OUTLINE_LINES)), "l_orderkey")
+    rows = rows.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ordinal"))
     return rows.agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("long").alias("q"))
 
 
@@ -231,7 +238,7 @@ g AS (SELECT k, unnest(generate_series(1, 9)) AS page FROM (SELECT DISTINCT k FR
 
 
 def sections_and_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = order_outline(spark, d)
+    o = order_outline(spark, d, spread=True)
     s = o.select("k", "ordinal", F.concat(F.lit("s"), F.col("p").cast("string")).alias("title"), F.col("ordinal").cast("long").alias("page_start"), (F.col("ordinal") + F.col("q") % 3).alias("page_end"))
     return s, o.select("k").distinct().select("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))).alias("page"))
 

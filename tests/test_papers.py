@@ -1,10 +1,13 @@
 """Truth tables of the paper rules, folds, matches and job states."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from colophon.functions import papers as P
 from colophon.functions import venues as V
 from colophon.operators import folds, matching, outline, retrieval
+from colophon.plans import paper_queries, registry
 from colophon.plans.library_queries import job_events
 from colophon.streaming import jobs
 
@@ -96,3 +99,22 @@ def test_intents(spark):
     assert all(r.got == r.want for r in df.withColumn("got", P.intent(F.col("t"))).collect())
     text = "PSNR SSIM Set5\nSSIM and PSNR rise on all the sets here\n1.25 2.50 3.75 99\nplain"
     assert spark.createDataFrame([(text,)], "t string").select(P.without_table_rows(F.col("t"))).first()[0] == "SSIM and PSNR rise on all the sets here\nplain"
+
+
+def test_parts_of_outlines_follow_the_lines(spark, tmp_path, monkeypatch):
+    """Sections and pages of many orders are dealt into parts of bounded size once; no later step gathers them into fewer."""
+    rows = [(k, i, 7 * k + i, float(i)) for k in range(40) for i in range(1, 4)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(paper_queries, "OUTLINE_LINES", 10, raising=False)
+    for name in ("owner_of_pages", "section_of_pages"):
+        out = registry.QUERIES[name](spark, str(tmp_path))
+        assert out.count() == 360
+        exchanges = re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", out._jdf.queryExecution().executedPlan().toString())
+        assert exchanges and set(exchanges) == {"12"}
+
+
+def test_inverted_index_shuffles_texts_only(spark, tmp_path):
+    spark.createDataFrame([(i, "b a b " * i) for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.QUERIES["inverted_abstract"](spark, str(tmp_path))
+    assert out.count() == 4
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
