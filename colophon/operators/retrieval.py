@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +19,8 @@ VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
 QUERY_BLOCK, ROW_BLOCK = 1024, 16384
 #: Scores that one array operation of a keyword search and of a dense one holds.
 CELLS, DENSE_CELLS = 1 << 22, 1 << 20
+#: Words of the documents that a keyword search scores together.
+SLICE = 1 << 18
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -145,13 +149,24 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return ranked(found, k)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (id, words) in slices of about SLICE words, since a word makes several numbers for each query that asks for it."""
+    for b in batches:
+        words = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False))])
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(words, words[lo] + SLICE, "right")) - 1)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def _scorer(sent, k: int):
     def work(batches):
         asked, terms, term, query, weight, avgdl = sent.value
         n_terms, n_asked = len(terms), len(asked)
         begin = np.searchsorted(term, np.arange(n_terms + 1))
         best: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        for b in batches:
+        for b in _slices(batches):
             ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
             size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             known = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)

@@ -91,3 +91,13 @@ def test_dense_groups_are_small(spark):
         want = np.round(a[q] @ b.T, 6)
         assert at[query == q].tolist() == np.argsort(-want, kind="stable")[:5].tolist()
     assert len(query) == 5 * len(a) and retrieval._best(a, b[:3], 5)[1].reshape(-1, 3).max() == 2 and not len(retrieval._best(a, b[:0], 5)[0])
+
+
+def test_keyword_slices_are_small():
+    """Rows are scored in slices of bounded words; longer rows, empty ones and nulls come through whole and in order."""
+    lists = [["a"] * n if n is not None else None for n in [3, 0, None, retrieval.SLICE + 5, 1, *[1000] * 600, 0]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], names=["id", "w"])
+    parts = list(retrieval._slices([batch, batch.slice(0, 0), batch.slice(1, 3)]))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == [*range(len(lists)), 1, 2, 3]
+    assert all(p.num_rows == 1 or len(p.column(1).flatten()) <= retrieval.SLICE for p in parts)
+    assert [len(x) if x is not None else None for p in parts for x in p.column(1).to_pylist()][: len(lists)] == [len(x) if x is not None else None for x in lists]
