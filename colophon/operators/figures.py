@@ -1,16 +1,21 @@
 """Regions of figures: what a caption absorbs, blocks of a layout model, and captions that no region covers.
 
-Pages are sorted once for all their captions: a caption is one more row in the
-order of its page's graphics, and finds its graphics by an equi-join on the run
-it falls into.  Full pages are cut into bands (:mod:`colophon.operators.sweeps`).
+Captions meet their page's graphics in one pass over sorted pages.  Full pages are cut into bands
+(:mod:`colophon.operators.sweeps`): a caption is one more row in the order of its page's graphics,
+and finds its graphics by an equi-join on the run it falls into.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from colophon.operators import regions, spatial
+from colophon.operators import pages, regions, spatial
 from colophon.operators.graph import with_checkpoints
 from colophon.operators.sweeps import running
 
@@ -32,15 +37,47 @@ def clamped(x0: Column, x1: Column, cap_x0: Column, cap_x1: Column, width: float
 
 
 def absorbed(captions: DataFrame, graphics: DataFrame, gap: float = GAP) -> DataFrame:
-    """captions (page, id, y0, upper, ...) with n, top, bottom, left, right of the graphics above that each absorbs, and ``any_above``.
+    """captions (page, id, x0, y0, x1, y1, upper, ...) with n, top, bottom, left, right of the graphics above that each absorbs, and ``any_above``.
 
     From two points above the caption upwards, by falling lower edge, a graphic joins while it
     begins at most ``gap`` below what is joined already; those that end above ``upper``
-    stay out.  Where a page's graphics, taken by falling lower edge, leave a larger gap, a run ends
+    stay out.  Pages of up to ``regions.FULL`` boxes pass through one task together, fuller ones are cut into bands.
+    """
+    with_checkpoints(captions.sparkSession)
+    captions, graphics = captions.where("page IS NOT NULL AND id IS NOT NULL"), graphics.where("page IS NOT NULL AND y0 IS NOT NULL AND y1 IS NOT NULL").select("page", *spatial.CORNERS)
+    boxes = captions.select("page").unionByName(graphics.select("page")).groupBy("page").agg(F.count("*").alias("_n"))
+    full = boxes.where(F.col("_n") > regions.FULL).select("page").checkpoint()  # one row for FULL boxes at most
+    if full.isEmpty():
+        return _page_absorbed(captions, graphics, gap)
+    part = lambda how: [df.join(full, "page", how).select(df.columns) for df in (captions, graphics)]
+    return _page_absorbed(*part("left_anti"), gap).unionByName(_full_page_absorbed(*part("left_semi"), gap))
+
+
+def _page_absorbed(captions: DataFrame, graphics: DataFrame, gap: float) -> DataFrame:
+    """:func:`absorbed` where no page has more than FULL boxes: a page's boxes pass through one task together."""
+    found = [StructField("n", LongType()), *[StructField(c, DoubleType()) for c in ("top", "bottom", "left", "right")], StructField("any_above", BooleanType())]
+    schema, names = StructType([*captions.schema.fields, *found]), captions.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pages.whole_pages(batches, "page"):
+            new = pages.absorbed(rows, "_caption", gap)
+            caps = rows.filter(rows.column("_caption")).select(names)
+            none = new["n"] == 0
+            for f in found:
+                caps = caps.append_column(f.name, pa.array(new[f.name], mask=np.zeros(len(none), bool) if f.name == "any_above" else none | np.isnan(new[f.name])))
+            yield from caps.combine_chunks().to_batches()
+
+    rows = captions.withColumn("_caption", F.lit(True)).unionByName(graphics.withColumn("_caption", F.lit(False)), allowMissingColumns=True)
+    return rows.repartition("page").sortWithinPartitions("page", "_caption").mapInArrow(work, schema)
+
+
+def _full_page_absorbed(captions: DataFrame, graphics: DataFrame, gap: float) -> DataFrame:
+    """:func:`absorbed` for pages of any size.
+
+    Where a page's graphics, taken by falling lower edge, leave a larger gap, a run ends
     for every caption alike; so runs are numbered once a page, and a caption
     belongs to the run that is open ``gap`` above it.
     """
-    with_checkpoints(captions.sparkSession)
     captions, top = captions.checkpoint(), F.col("y0") - 2  # both tables are read by several steps
     boxes = graphics.groupBy("page", F.col("y0").alias("top"), F.col("y1").alias("bottom")).agg(F.min("x0").alias("left"), F.max("x1").alias("right"), F.count("*").alias("n")).checkpoint()
     rows = boxes.select("page", F.col("bottom").alias("at"), F.lit(0).alias("rank"), "top", "bottom", "left", "right", "n", F.lit(None).cast("long").alias("id"))

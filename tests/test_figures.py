@@ -159,3 +159,20 @@ def test_gaps_of_just_the_limit(spark, monkeypatch):
     for full in (256, 1):
         monkeypatch.setattr(regions, "FULL", full, raising=False)
         assert {r.n for r in regions.joint_regions(df).collect()} == {2}
+
+
+def test_captions_of_sparse_pages_take_no_bands(spark, monkeypatch):
+    """Pages of bounded length are one pass, and both ways agree; nulls and captions without graphics among them."""
+    rng = random.Random(5)
+    graphics = [(rng.randrange(6), i, x := float(rng.randrange(500)), y := float(rng.randrange(-20, 780)), x + rng.randrange(100), y + rng.choice([1, 5, 30, 120])) for i in range(150)]
+    graphics += [(1, 900, None, 100.0, 50.0, 130.0), (2, 901, 9.0, None, 50.0, 130.0), (None, 902, 0.0, 0.0, 9.0, 9.0), (8, 903, 0.0, 0.0, 9.0, 9.0)]
+    captions = [(rng.randrange(7), 9000 + i, x := float(rng.randrange(500)), y := float(rng.randrange(780)), x + rng.randrange(200), y + 9, rng.choice([0.0, 50.0, max(0.0, y - 100), None])) for i in range(60)]
+    captions += [(1, 9900, 5.0, None, 9.0, 9.0, 0.0), (None, 9901, 5.0, 5.0, 9.0, 9.0, 0.0)]
+    args = spark.createDataFrame(captions, BOX + ", upper double"), spark.createDataFrame(graphics, BOX)
+    columns = ["page", "id", "upper", "n", "top", "bottom", "left", "right", "any_above"]
+    rows = lambda: sorted((tuple(r) for r in figures.absorbed(*args).select(columns).collect()), key=repr)
+    monkeypatch.setattr(regions, "FULL", 0)
+    want = rows()
+    monkeypatch.setattr(regions, "FULL", 256)
+    monkeypatch.setattr(figures, "running", None)
+    assert rows() == want and len(want) == 61 and any(r[3] for r in want)
