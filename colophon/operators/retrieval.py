@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colophon.functions.text import tokens
+from colophon.operators.graph import with_checkpoints
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
@@ -21,6 +22,8 @@ QUERY_BLOCK, ROW_BLOCK = 1024, 16384
 CELLS, DENSE_CELLS = 1 << 22, 1 << 20
 #: Words of the documents that a keyword search scores together.
 SLICE = 1 << 18
+#: Words of one paper that meet a block of queries in one task of a search within papers, about, and what a paper counts besides.
+PART_WORDS, PAPER_WORDS = 1 << 19, 1 << 14
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -161,37 +164,38 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scorer(sent, k: int):
-    def work(batches):
-        asked, terms, term, query, weight, avgdl = sent.value
-        n_terms, n_asked = len(terms), len(asked)
-        begin = np.searchsorted(term, np.arange(n_terms + 1))
-        best: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        for b in _slices(batches):
-            ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
-            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            known = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(ids)), size)
-            pair, tf = np.unique((row * n_terms + known)[known >= 0], return_counts=True)
-            row, of = pair // max(n_terms, 1), pair % max(n_terms, 1)
-            value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / avgdl))
-            step = max(1, CELLS // max(1, n_asked))
-            for lo in range(0, len(ids), step):
-                mine = slice(*np.searchsorted(row, [lo, lo + step]))
-                fan = begin[of[mine] + 1] - begin[of[mine]]
-                post = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan - begin[of[mine]], fan)
-                cell = query[post] * step + np.repeat(row[mine] - lo, fan)
-                score = np.bincount(cell, np.repeat(value[mine], fan) * weight[post], n_asked * step).reshape(n_asked, step)[:, : len(ids) - lo]
-                score = np.round(score, 6)
-                rank = np.lexsort((np.broadcast_to(ids[lo : lo + step], score.shape), -score), axis=1)[:, :k]
-                new = [np.repeat(asked, rank.shape[1]), ids[lo : lo + step][rank].ravel(), np.take_along_axis(score, rank, 1).ravel()]
-                best = [np.concatenate(x) for x in zip(best, new, strict=True)]
-                order = np.lexsort((best[1], -best[2], best[0]))
-                best = [x[order] for x in best]
-                first = np.searchsorted(best[0], best[0])
-                best = [x[np.arange(len(first)) - first < k] for x in best]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query_id", "doc_id", "score"])
-
-    return work
+    return lambda batches: _scores(batches, *sent.value, k)
+
+
+def _scores(batches, asked, terms, term, query, weight, avgdl: float, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best (query_id, doc_id, score) of each asked query among rows (id, words); ``term``, ``query`` and ``weight`` are sorted by term."""
+    n_terms, n_asked = len(terms), len(asked)
+    begin = np.searchsorted(term, np.arange(n_terms + 1))
+    best: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    for b in _slices(batches):
+        ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(ids)), size)
+        pair, tf = np.unique((row * n_terms + known)[known >= 0], return_counts=True)
+        row, of = pair // max(n_terms, 1), pair % max(n_terms, 1)
+        value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / avgdl))
+        step = max(1, min(len(ids), CELLS // max(1, n_asked)))
+        for lo in range(0, len(ids), step):
+            mine = slice(*np.searchsorted(row, [lo, lo + step]))
+            fan = begin[of[mine] + 1] - begin[of[mine]]
+            post = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan - begin[of[mine]], fan)
+            cell = query[post] * step + np.repeat(row[mine] - lo, fan)
+            score = np.bincount(cell, np.repeat(value[mine], fan) * weight[post], n_asked * step).reshape(n_asked, step)[:, : len(ids) - lo]
+            score = np.round(score, 6)
+            rank = np.lexsort((np.broadcast_to(ids[lo : lo + step], score.shape), -score), axis=1)[:, :k]
+            new = [np.repeat(asked, rank.shape[1]), ids[lo : lo + step][rank].ravel(), np.take_along_axis(score, rank, 1).ravel()]
+            best = [np.concatenate(x) for x in zip(best, new, strict=True)]
+            order = np.lexsort((best[1], -best[2], best[0]))
+            best = [x[order] for x in best]
+            first = np.searchsorted(best[0], best[0])
+            best = [x[np.arange(len(first)) - first < k] for x in best]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query_id", "doc_id", "score"])
 
 
 def minmax(found: DataFrame) -> DataFrame:
@@ -244,28 +248,64 @@ def ranking_metrics(found: DataFrame, k: int = 5) -> DataFrame:
 def paper_bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, paper, doc_id, score, rank): BM25 with each paper's own statistics; chunks have (id, paper, text), queries (id, text).
 
-    Chunks without a shared term score 0 and fill up the list by id.  A query's
-    rows in a paper are its chunks that share a term and at most as many others plus k.
+    Chunks without a shared term score 0 and fill up the list by id.  Chunks of a
+    paper meet the weighted terms of a block of queries in groups of bounded size, and each group
+    sends k rows for a query and paper.  So a stop word never pairs chunks with queries over a shuffle.
     """
-    words = chunks.select("paper", F.col("id").alias("doc_id"), tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    stats = words.groupBy("paper").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    tf = words.select("paper", "doc_id", "len", F.explode("w").alias("term")).groupBy("paper", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("paper", "term").agg(F.count("*").alias("df")).join(stats, "paper")
+    with_checkpoints(chunks.sparkSession)
+    words = chunks.where("paper IS NOT NULL").select("paper", F.col("id").alias("doc_id"), tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+    stats = words.groupBy("paper").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
+    stats = stats.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("words") / PART_WORDS)).cast("long")).checkpoint()  # a row a paper
+    terms = words.select("paper", F.explode(F.array_distinct("w")).alias("term"))
+    df = terms.groupBy("paper", "term").agg(F.count("*").alias("df")).join(stats.select("paper", "n", "avgdl"), "paper")
     raw = df.select("paper", "term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.groupBy("paper").agg(F.avg("raw").alias("mean"))
     asked = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
     weights = raw.join(asked, "term").join(mean, "paper").select("query_id", "paper", "term", "avgdl", (F.col("qtf") * idf).alias("weight"))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    hits = tf.join(weights, ["paper", "term"]).groupBy("query_id", "paper", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    found = hits.groupBy("query_id", "paper").agg(F.count("*").alias("h"))
-    every = queries.select(F.col("id").alias("query_id")).distinct().crossJoin(stats.select("paper"))  # a list for each query and paper is the result's size
-    every = every.join(found, ["query_id", "paper"], "left").withColumn("h", F.coalesce("h", F.lit(0)))
-    place = words.select("paper", "doc_id", F.row_number().over(W.partitionBy("paper").orderBy("doc_id")).alias("place"))
-    rest = place.join(every, "paper").where(F.col("place") <= F.col("h") + k).join(hits, ["query_id", "paper", "doc_id"], "left_anti")
-    both = hits.unionByName(rest.select("query_id", "paper", "doc_id", F.lit(0.0).alias("score")))
+
+    size = stats.agg(F.sum("words").alias("words"), F.count("*").alias("papers")).first()
+    buckets = max(1, -(-((size.words or 0) + size.papers * PAPER_WORDS) // PART_WORDS))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    bucket = lambda part: F.pmod(F.xxhash64("paper", part.cast("long")), F.lit(buckets)).cast("int").alias("bucket")
+    long = F.broadcast(stats.where("parts > 1").select("paper", "parts"))  # one row for PART_WORDS words at most
+    x = words.join(long, "paper", "left").withColumn("bucket", bucket(F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))))
+    x = x.select("bucket", "paper", "doc_id", "w", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).toDF("bucket", "paper", "doc_id", "w", "block")  # columns of their own
+    held = stats.select("paper", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("paper", bucket(F.col("part"))).distinct()
+    q = weights.join(held, "paper").select(block, "bucket", "query_id", "paper", "term", "avgdl", "weight")
+    each = queries.select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")).distinct()
+    q = q.unionByName(each.select(block, "bucket", "query_id"), allowMissingColumns=True)  # queries that share no term have lists too
+    kind = chunks.schema["paper"].dataType.simpleString()
+    found = q.groupBy("block", "bucket").cogroup(x.groupBy("block", "bucket")).applyInArrow(lambda left, right: _paper_scores(left, right, k), f"query_id long, paper {kind}, doc_id long, score double")
     order = W.partitionBy("query_id", "paper").orderBy(F.col("score").desc(), "doc_id")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _by_paper(rows: pa.Table) -> Iterator[tuple[object, pa.Table]]:
+    """The rows of each paper."""
+    rows = rows.sort_by("paper")
+    code = rows.column("paper").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    ends = np.append(np.flatnonzero(np.diff(code)) + 1, len(code))
+    return ((rows.column("paper")[lo].as_py(), rows.slice(lo, hi - lo)) for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=True) if hi > lo)
+
+
+def _paper_scores(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """(query_id, paper, doc_id, score): each paper's k best rows of ``right`` for the queries of ``left``."""
+    asked = np.unique(left.column("query_id").to_numpy())
+    weighted = dict(_by_paper(left.filter(left.column("term").is_valid())))
+    kind, found = right.schema.field("paper").type, []
+    for paper, rows in _by_paper(right) if len(asked) else ():
+        held = weighted.get(paper, left.slice(0, 0))
+        terms = held.column("term").combine_chunks().dictionary_encode()
+        term = terms.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(term, kind="stable")
+        query = np.searchsorted(asked, held.column("query_id").to_numpy())
+        avgdl = held.column("avgdl")[0].as_py() if len(held) else 1.0
+        best = _scores(rows.select(["doc_id", "w"]).to_batches(), asked, terms.dictionary, term[order], query[order], held.column("weight").to_numpy()[order], avgdl, k)
+        found += [pa.table({"query_id": b["query_id"], "paper": pa.array([paper] * len(b), kind), "doc_id": b["doc_id"], "score": b["score"]}) for b in best]
+    none = pa.schema([("query_id", pa.int64()), ("paper", kind), ("doc_id", pa.int64()), ("score", pa.float64())]).empty_table()
+    return pa.concat_tables([none, *found])
 
 
 def paper_search(chunks: DataFrame, queries: DataFrame, k: int = 8, section: str | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Truth tables of the paper rules, folds, matches and job states."""
 
+import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -118,3 +120,28 @@ def test_inverted_index_shuffles_texts_only(spark, tmp_path):
     out = registry.QUERIES["inverted_abstract"](spark, str(tmp_path))
     assert out.count() == 4
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_keyword_search_within_papers(spark, monkeypatch):
+    """Long papers in several parts and several papers in one; queries without a shared term, texts without words, repeated words."""
+    rng = random.Random(4)
+    for name, value in (("PART_WORDS", 60), ("PAPER_WORDS", 20), ("QUERY_BLOCK", 2)):
+        monkeypatch.setattr(retrieval, name, value, raising=False)
+    text = lambda n: " ".join(rng.choice("the the the of a b c d e f g h".split()) for _ in range(n))
+    chunks = [(i, min(rng.randrange(12), 5), rng.choice([text(rng.randrange(12)), text(8), "", None])) for i in range(150)] + [(900, None, "the")]
+    queries = [(1, "the of the a"), (2, "h g"), (3, "nothing here"), (4, ""), (5, "the")]
+    out = retrieval.paper_bm25(spark.createDataFrame(chunks, "id long, paper int, text string"), spark.createDataFrame(queries, "id long, text string"), 4)
+    exchanges = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", out._jdf.queryExecution().executedPlan().toString())
+    assert exchanges and not any("doc_id" in e for e in exchanges)  # pairs of queries and chunks are not shuffled
+    want = []
+    for paper in range(6):
+        docs = {i: (t or "").split() for i, p, t in chunks if p == paper}
+        known = [len((t or "").split()) for _, p, t in chunks if p == paper and t is not None]
+        df = {w: sum(w in d for d in docs.values()) for d in docs.values() for w in d}
+        raw = {w: math.log(len(docs) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+        idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+        mean = sum(known) / len(known)
+        for q, asked in queries:
+            score = {i: round(sum(idf[w] * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for w in asked.split() if w in d), 6) for i, d in docs.items()}
+            want += [(q, paper, i, r) for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:4], 1)]
+    assert sorted((r.query_id, r.paper, r.doc_id, r["rank"]) for r in out.collect()) == sorted(want)
