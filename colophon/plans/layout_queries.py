@@ -200,16 +200,22 @@ wb AS (SELECT page, i, j, text, 20.0 + coalesce(sum(length(text) * 5 + CASE WHEN
 wd AS (SELECT page, i, j, text, x0, x0 + length(text) * 5 AS x1, top, top + 8 AS bottom FROM wb)"""
 
 
-def word_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """The first words of each line of a document as boxes; some lines are captions, numbers, or spread out."""
-    rows = read(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    words = F.slice(F.filter(F.split("line", r"\s+"), lambda w: w != ""), 1, 12)
-    rows = rows.select("page", "i", F.posexplode(words).alias("j", "w"))
-    i, j = F.col("i"), F.col("j")
-    text = F.when((i % 12 == 0) & (j == 0), F.concat(F.lit("Table "), i.cast("string"), F.lit("."))).when(i % 7 == 3, F.concat(F.length("w").cast("string"), F.lit("."), j.cast("string")))
-    rows = rows.withColumn("text", text.when((i % 31 == 30) & (j == 0), F.concat(i.cast("string"), F.lit(". A"))).otherwise(F.col("w")))
-    before = W.partitionBy("page", "i").orderBy("j").rowsBetween(W.unboundedPreceding, -1)
-    x0 = 20.0 + F.coalesce(F.sum(F.length("text") * 5 + F.when(i % 3 == 1, 12).otherwise(3)).over(before), F.lit(0))
+def word_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(page, i, words): the first words of each line of a document, clustered by document, since what follows works page by page."""
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("page"), "text").repartition("page")
+    rows = rows.select("page", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return rows.select("page", "i", F.slice(F.filter(F.split("line", r"\s+"), lambda w: w != ""), 1, 12).alias("words"))
+
+
+def word_boxes(lines: DataFrame) -> DataFrame:
+    """The words as boxes; some lines are captions, numbers, or spread out."""
+    i, table, number = F.col("i"), F.col("i") % 12 == 0, F.col("i") % 7 == 3
+    words = F.when(number, F.transform("words", lambda w, j: F.concat(F.length(w).cast("string"), F.lit("."), j.cast("string")))).otherwise(F.col("words"))
+    first = F.when(table, F.concat(F.lit("Table "), i.cast("string"), F.lit("."))).when(~number & (i % 31 == 30), F.concat(i.cast("string"), F.lit(". A")))
+    rows = lines.where(F.size("words") > 0).select("page", "i", words.alias("words"), first.alias("first"))
+    rows = rows.withColumn("words", F.when(F.col("first").isNull(), F.col("words")).otherwise(F.concat(F.array("first"), F.slice("words", 2, 11))))
+    rows, j = rows.select("page", "i", "words", F.posexplode("words").alias("j", "text")), F.col("j")
+    x0 = 20.0 + F.length(F.array_join(F.slice("words", F.lit(1), j), "")) * 5 + j * F.when(i % 3 == 1, 12).otherwise(3)
     top = i * 9.0 + j % 3 * 0.5
     return rows.select("page", "i", "j", "text", x0.alias("x0"), (x0 + F.length("text") * 5).alias("x1"), top.alias("top"), (top + 8).alias("bottom"))
 
@@ -229,7 +235,7 @@ st AS (SELECT page, id, CAST(0 AS BIGINT) AS n, 0 AS neutral, CAST(NULL AS DOUBL
 SELECT page, id, body_bottom, n_rows FROM st QUALIFY row_number() OVER (PARTITION BY page, id ORDER BY n DESC) = 1""")
 def table_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Tables below every twelfth line, over the whole page or in one of its columns."""
-    words = word_boxes(spark, d)
-    i = F.col("i")
-    bands = words.where("i % 12 = 0 AND j = 0").select("page", i.cast("long").alias("id"), F.when(i % 36 == 0, "all").when(i % 36 == 12, "left").otherwise("right").alias("side"), (F.col("top") + 9).alias("y0"), (F.col("top") + 250).alias("y1"))
-    return tables.table_bodies(bands, words, 600.0)
+    lines, i = word_lines(spark, d), F.col("i")
+    side, top = F.when(i % 36 == 0, "all").when(i % 36 == 12, "left").otherwise("right"), i * 9.0
+    bands = lines.where("i % 12 = 0 AND size(words) > 0").select("page", i.cast("long").alias("id"), side.alias("side"), (top + 9).alias("y0"), (top + 250).alias("y1"))
+    return tables.table_bodies(bands, word_boxes(lines), 600.0)

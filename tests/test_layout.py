@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from colophon.functions import text as T
 from colophon.operators import markers, visuals
+from colophon.plans import registry
 
 POOL = [
     "Fig. 3. A short caption", "Figure 4: ends here.", "表 2. 说明", "TABLE IV. of all", "label", "two labels", "a = b", "x = y + z (12)", "1. Introduction", "IV. Results", "", "  ", "12.5 3.4 0.1", "+ 26.56", "Method PSNR SSIM", "算法 #12",
@@ -144,3 +145,13 @@ def test_caption_spacing(spark):
     texts += ["Table1Manga109datasetforDF2K.Then", "DF2K", "ViT", "x4", "4x", "a1b2c3de", "a1b2c3def", ""]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.caption_spacing(F.col("t")).alias("s")).collect()
     assert [(r.t, r.s) for r in got if r.s != plain_spacing(r.t)] == []
+
+
+def test_words_of_tables_are_shuffled_by_page_only(spark, tmp_path):
+    """Lines, rows and columns of words are found where their document lies."""
+    text = "\n".join(["Table one a b", "1.5 2.5 3.5", "plain words here", "4 5 6"] * 5)
+    spark.createDataFrame([(i, text) for i in range(5)] + [(7, None), (8, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.QUERIES["table_bodies"](spark, str(tmp_path))
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", out._jdf.queryExecution().executedPlan().toString())
+    assert keys and not any("row#" in k or ", i#" in k for k in keys)
+    assert sorted((r.page, r.id) for r in out.collect()) == [(p, i) for p in range(5) for i in (0, 12)]
