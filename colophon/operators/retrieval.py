@@ -251,29 +251,33 @@ def paper_bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Chunks without a shared term score 0 and fill up the list by id.  Chunks of a
     paper meet the weighted terms of a block of queries in groups of bounded size, and each group
     sends k rows for a query and paper.  So a stop word never pairs chunks with queries over a shuffle.
+    A paper's terms are dealt into as many parts as its chunks, so a few long papers are no few hot groups.
     """
     with_checkpoints(chunks.sparkSession)
     words = chunks.where("paper IS NOT NULL").select("paper", F.col("id").alias("doc_id"), tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
     stats = words.groupBy("paper").agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
     stats = stats.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("words") / PART_WORDS)).cast("long")).checkpoint()  # a row a paper
+    long = F.broadcast(stats.where("parts > 1").select("paper", "parts"))  # one row for PART_WORDS words at most
+    part = lambda c: F.pmod(F.xxhash64(c), F.coalesce("parts", F.lit(1)))
+    parts = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     terms = words.select("paper", F.explode(F.array_distinct("w")).alias("term"))
-    df = terms.groupBy("paper", "term").agg(F.count("*").alias("df")).join(stats.select("paper", "n", "avgdl"), "paper")
-    raw = df.select("paper", "term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.groupBy("paper").agg(F.avg("raw").alias("mean"))
+    df = terms.groupBy("paper", "term").agg(F.count("*").alias("df")).join(long, "paper", "left").select("paper", part("term").alias("part"), "term", "df")
+    df = df.join(stats.select("paper", F.explode(parts).alias("part"), "parts", "n", "avgdl"), ["paper", "part"])
+    raw = df.select("paper", "part", "parts", "term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.groupBy("paper").agg(F.avg("raw").alias("mean"), F.max("parts").alias("parts")).select("paper", F.explode(parts).alias("part"), "mean")
     asked = queries.select(F.col("id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    weights = raw.join(asked, "term").join(mean, "paper").select("query_id", "paper", "term", "avgdl", (F.col("qtf") * idf).alias("weight"))
+    weights = raw.join(asked, "term").join(mean, ["paper", "part"]).select("query_id", "paper", "parts", "term", "avgdl", (F.col("qtf") * idf).alias("weight"))
 
     size = stats.agg(F.sum("words").alias("words"), F.count("*").alias("papers")).first()
     buckets = max(1, -(-((size.words or 0) + size.papers * PAPER_WORDS) // PART_WORDS))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    bucket = lambda part: F.pmod(F.xxhash64("paper", part.cast("long")), F.lit(buckets)).cast("int").alias("bucket")
-    long = F.broadcast(stats.where("parts > 1").select("paper", "parts"))  # one row for PART_WORDS words at most
-    x = words.join(long, "paper", "left").withColumn("bucket", bucket(F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))))
+    bucket = lambda part: F.pmod(F.xxhash64("paper", part.cast("long")), F.lit(buckets)).cast("int")
+    x = words.join(long, "paper", "left").withColumn("bucket", bucket(part("doc_id")))
     x = x.select("bucket", "paper", "doc_id", "w", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).toDF("bucket", "paper", "doc_id", "w", "block")  # columns of their own
-    held = stats.select("paper", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("paper", bucket(F.col("part"))).distinct()
-    q = weights.join(held, "paper").select(block, "bucket", "query_id", "paper", "term", "avgdl", "weight")
+    held = F.array_distinct(F.transform(parts, bucket))
+    q = weights.select(block, F.explode(held).alias("bucket"), "query_id", "paper", "term", "avgdl", "weight")
     each = queries.select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")).distinct()
     q = q.unionByName(each.select(block, "bucket", "query_id"), allowMissingColumns=True)  # queries that share no term have lists too
     kind = chunks.schema["paper"].dataType.simpleString()

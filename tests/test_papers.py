@@ -145,3 +145,23 @@ def test_keyword_search_within_papers(spark, monkeypatch):
             score = {i: round(sum(idf[w] * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for w in asked.split() if w in d), 6) for i, d in docs.items()}
             want += [(q, paper, i, r) for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:4], 1)]
     assert sorted((r.query_id, r.paper, r.doc_id, r["rank"]) for r in out.collect()) == sorted(want)
+
+
+def test_terms_of_a_paper_are_dealt_into_parts(spark, monkeypatch):
+    """No join gathers a paper's terms in one group, however few papers there are; the lists are those of whole papers."""
+    rng = random.Random(5)
+    chunks = [(i, i % 3, " ".join(f"t{rng.randrange(60)}" for _ in range(rng.randrange(20)))) for i in range(200)]
+    queries = [(i, " ".join(f"t{rng.randrange(70)}" for _ in range(5))) for i in range(6)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lists = []
+        for words in (1 << 19, 40):
+            monkeypatch.setattr(retrieval, "PART_WORDS", words)
+            monkeypatch.setattr(retrieval, "PAPER_WORDS", words // 4)
+            out = retrieval.paper_bm25(spark.createDataFrame(chunks, "id long, paper int, text string"), spark.createDataFrame(queries, "id long, text string"), 4)
+            keys = re.findall(r"SortMergeJoin \[(.*?)\], \[", out._jdf.queryExecution().executedPlan().toString())
+            assert keys and not [k for k in keys if re.fullmatch(r"paper#\d+L?", k)]
+            lists.append(sorted((r.query_id, r.paper, r.doc_id, r.score, r["rank"]) for r in out.collect()))
+        assert len(lists[0]) == 72 and lists[0] == lists[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
